@@ -1,7 +1,7 @@
 """The registered corpus queries and their SQL."""
 
 
-from tessera.llm import licenses, mixing, packing, preference, quality, secrets, sharding
+from tessera.llm import jaccard, licenses, mixing, packing, preference, quality, secrets, sharding
 from tessera.llm.common import read
 
 
@@ -35,11 +35,15 @@ def op8_source_mixing(spark, d):
     return mixing.mix_documents(read(spark, d, "documents"))
 
 
+def op9_jaccard_join(spark, d):
+    return jaccard.similar_documents(read(spark, d, "documents"))
+
+
 def op10_sharding(spark, d):
     return sharding.shard_documents(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
