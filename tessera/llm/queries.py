@@ -1,7 +1,7 @@
 """The registered corpus queries and their SQL."""
 
 
-from tessera.llm import jaccard, licenses, mixing, packing, preference, quality, secrets, sharding
+from tessera.llm import cover_tree, jaccard, licenses, mixing, packing, preference, quality, secrets, sharding, suffix_dedup
 from tessera.llm.common import read
 
 
@@ -11,6 +11,14 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_suffix_dedup(spark, d):
+    return suffix_dedup.remove_repeats(read(spark, d, "documents"))
+
+
+def op2_embedding_dedup(spark, d):
+    return cover_tree.near_duplicates(read(spark, d, "embeddings"))
+
+
 def op3_quality_rules(spark, d):
     return quality.apply_rules(read(spark, d, "documents"))
 
@@ -43,7 +51,7 @@ def op10_sharding(spark, d):
     return sharding.shard_documents(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
