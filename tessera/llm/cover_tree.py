@@ -24,8 +24,9 @@ from tessera.llm.components import components
 THRESHOLD = 0.9
 #: Classes of a block, and the pivots that gather near classes.
 BLOCK_ROWS, PIVOTS = 8192, 16
-#: Radii of the levels below the root, as distances of unit vectors.
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Radii of the levels, as distances of unit vectors. Nodes of radius 1 and more reach past orthogonal vectors and
+#: could prune nothing, so the walk starts at the level below them.
+RADII = (0.5, 0.25, 0.125)
 SLACK = 1e-4
 
 
@@ -41,6 +42,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """(centres, owner of each row): a greedy net in row order, worked on in chunks."""
     bound = 1 - radius * radius / 2  # cosine at this distance
+    x = x.astype(np.float32)
     centres: list[int] = []
     owner = np.full(len(x), -1)
     for at in range(0, len(x), 512):
@@ -48,15 +50,20 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         todo = np.arange(len(part))
         if centres:
             cos = part @ x[centres].T
-            best = cos.argmax(axis=1)
-            inside = cos[todo, best] >= bound
-            owner[at + todo[inside]] = best[inside]
+            inside = cos.max(axis=1) >= bound
+            owner[at + todo[inside]] = cos[inside].argmax(axis=1)
             todo = todo[~inside]
         if not len(todo):
             continue
         own = part[todo] @ part[todo].T
         left = np.ones(len(todo), bool)
+        alone = (own >= bound).sum(axis=1) <= 1
         for i in range(len(todo)):
+            if alone[i]:
+                owner[at + todo[i]] = len(centres)
+                centres.append(at + int(todo[i]))
+                left[i] = False
+                continue
             if left[i]:
                 take = left & (own[i] >= bound)
                 take[i] = True
@@ -142,8 +149,11 @@ def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, raw_a: np.ndarray, ra
             xa = a.x[[a.centre[n] for n in part]].astype(np.float32)
             ra = np.array([a.radius[n] for n in part], np.float32)
             cos = xa @ xb.T
-            reach = ra[:, None] + (rb[None, :] + np.float32(eps + SLACK))
-            i, j = np.nonzero(cos >= 1 - reach * reach / 2 - SLACK)
+            most = float(ra.max() + rb.max()) + eps + SLACK
+            i, j = np.nonzero(cos >= np.float32(1 - most * most / 2 - SLACK))
+            reach = ra[i] + rb[j] + np.float32(eps + SLACK)
+            near = cos[i, j] >= 1 - reach * reach / 2 - SLACK
+            i, j = i[near], j[near]
             found += [(part[x], nb[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
         return found
 
@@ -241,7 +251,11 @@ def link_counts(classes: DataFrame, threshold: float = THRESHOLD, block_rows: in
         lo, hi = key[0].as_py(), key[1].as_py()
         block = table.column("block").to_numpy()
         nid, weight = table.column("nid").to_numpy(), table.column("weight").to_numpy()
-        vectors = table.column("embedding").to_pylist()
+        vectors = np.empty(table.num_rows, object)
+        lists = table.column("embedding").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i in range(len(vectors)):
+            vectors[i] = flat[ends[i] : ends[i + 1]]
         sides = []
         for w in (lo, hi) if lo != hi else (lo,):
             sides.append(np.flatnonzero(block == w))
@@ -249,7 +263,7 @@ def link_counts(classes: DataFrame, threshold: float = THRESHOLD, block_rows: in
         dims = {len(vectors[i]) for i in range(len(vectors))}
         for dim in dims:  # vectors of different lengths have no cosine
             at = [np.array([i for i in s if len(vectors[i]) == dim], np.int64) for s in sides]
-            raws = [np.array([vectors[i] for i in s], np.float64).reshape(len(s), dim) for s in at]
+            raws = [np.concatenate([*vectors[s], np.empty(0)]).reshape(len(s), dim) for s in at]
             raws = [r / np.where(len(r), np.abs(r).max(axis=1, keepdims=True, initial=0), 1) for r in raws]
             if not all(len(r) for r in raws):
                 continue
