@@ -2,10 +2,10 @@
 
 Documents with equal shingle sets form one class. Shingles are ordered rare
 first; two sets can only be similar enough if they share a shingle of their
-prefixes, at places and with lengths that leave room for the overlap. Classes
-that share a prefix shingle are first compared with one pivot of that
-shingle's group, which links most of a large group in linear work; pairs that
-are still in different components are then compared one by one. Each pair is
+prefixes, at places and with lengths that leave room for the overlap. In large
+groups that share a prefix shingle, all members are first compared with a few
+pivots, which links most of such a group in linear work; all pairs that are
+still in different components are then compared one by one. Each pair is
 verified once, on its whole sets.
 
 Null and wordless texts have empty sets and link with nothing. Repeated rows
@@ -24,6 +24,10 @@ from tessera.llm.components import components
 
 #: Shingle counts are kept in this many cells, a fixed size for any corpus; they only order shingles.
 CELL_BITS, CHUNKS = 19, 256
+#: Groups of more rows are first compared with so many pivots, in so many rounds. No pair is left out by this.
+LARGE_GROUP, PIVOTS, ROUNDS = 16, 8, 2
+#: Ranges of hash in which a set's members are counted for the suffix filter.
+RANGE_BITS = 6
 #: Rows compared with one pivot in one task.
 PIVOT_ROWS = 512
 WORD_CACHE = 1_000_000
@@ -58,7 +62,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     width = min(size, n)
     acc = np.zeros(n - width + 1, np.uint64)
     for j in range(width):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + _mix(w[j : n - width + 1 + j] + np.uint64(j + 1))
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + w[j : n - width + 1 + j]
     return np.unique(_mix(acc + np.uint64(width)))
 
 
@@ -121,7 +125,7 @@ def _counts(survey: DataFrame) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(nid, set_key, text_key, n, prefix) for each distinct non-empty set; prefix holds the rarest shingles in order."""
+    """(nid, set_key, text_key, n, prefix, ranges) for each distinct non-empty set; prefix holds the rarest shingles in order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -135,14 +139,14 @@ def _classes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                     continue
                 seen.add(k)
                 order = np.lexsort((s, shared.value[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
-                rows.append((k, key, len(s), s[order[: prefix_length(len(s), percent)]].astype(np.int64)))
+                rows.append((k, key, len(s), s[order[: prefix_length(len(s), percent)]].astype(np.int64), range_counts(s)))
             if rows:
-                k, key, n, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(key, pa.string()), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))], ["set_key", "text_key", "n", "prefix"])
+                k, key, n, p, c = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(key, pa.string()), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.int32()))], ["set_key", "text_key", "n", "prefix", "ranges"])
 
-    made = docs.select("text", F.md5("text").alias("text_key")).mapInArrow(run, "set_key binary, text_key string, n int, prefix array<long>")
-    one = made.groupBy("set_key").agg(F.first(F.struct("text_key", "n", "prefix")).alias("c"))
-    return stored(one.select(F.monotonically_increasing_id().alias("nid"), "set_key", "c.text_key", "c.n", "c.prefix"))
+    made = docs.select("text", F.md5("text").alias("text_key")).mapInArrow(run, "set_key binary, text_key string, n int, prefix array<long>, ranges array<int>")
+    one = made.groupBy("set_key").agg(F.first(F.struct("text_key", "n", "prefix", "ranges")).alias("c"))
+    return stored(one.select(F.monotonically_increasing_id().alias("nid"), "set_key", "c.text_key", "c.n", "c.prefix", "c.ranges"))
 
 
 def _room(percent: int):
@@ -164,19 +168,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
     def run(batches):
-        key, head, bins = None, None, None
+        key, head = None, None
         for batch in batches:
             out = []
             for b, part, a, t in zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), batch.column("a").to_pylist(), batch.column("text"), strict=True):
                 s = shingle_set(t.as_py(), size)
                 if a is None:
-                    key, head, bins = (b, part), s, _spread(s)
+                    key, head = (b, part), s
                     continue
                 if key != (b, part):
                     raise ValueError("a pair came without its pivot")
                 need = least_overlap(len(s), len(head), percent)
-                if np.minimum(bins, _spread(s)).sum() < need:
-                    continue
                 at = np.searchsorted(head, s)
                 at[at == len(head)] = 0
                 if int((head[at] == s).sum()) >= need:
@@ -189,9 +191,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _spread(s: np.ndarray) -> np.ndarray:
-    """Suffix filter: members in 16 ranges of hash; the least of two counts bounds the overlap in a range."""
-    return np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16)
+def range_counts(s: np.ndarray) -> np.ndarray:
+    """Members of a set in each range of hash."""
+    return np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32)
+
+
+def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap can be large enough: it is at most the sum of the lesser counts over the ranges."""
+    side = lambda x: classes.select(F.col("nid").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -200,33 +210,74 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(one.join(wanted, "text_key").select("nid", "text"))
 
 
+def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """members + root, the component so far."""
+    if found is None:
+        return members.withColumn("root", F.col("nid"))
+    at = members.join(found.withColumnRenamed("node", "nid"), "nid", "left")
+    return at.select("token", "nid", "n", "pos", "own", F.coalesce("root", "nid").alias("root"))
+
+
+def _pivot_pairs(at: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b) of the members of large groups with pivots in other components.
+
+    Pivots are members with the fewest prefix shingles of their own, which lie
+    in the middle of a group of variants; seeded hashes break ties. Least
+    values find them, so a group's rows never meet in one task.
+    """
+    head = lambda i: F.min(F.struct("own", F.xxhash64("nid", F.lit(turn * PIVOTS + i)).alias("h"), "nid", "root", "n", "pos"))
+    stats = at.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), *[head(i).alias(f"p{i}") for i in range(PIVOTS)])
+    large = stats.filter((F.col("c") > LARGE_GROUP) & (F.col("lo") < F.col("hi"))).select("token", F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("ps"))
+    seen = at.join(stored(large), "token").select("token", "nid", "n", "pos", "root", F.explode("ps").alias("p"))
+    named = seen.select("nid", "n", "pos", "root", F.col("p.nid").alias("b"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos"), F.col("p.root").alias("other_root"))
+    hit = named.filter((F.col("root") != F.col("other_root")) & _room(percent))
+    return hit.select(F.col("nid").alias("a"), "b").distinct()
+
+
+def _fresh(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Pairs that were not verified before, in either direction."""
+    if done is None:
+        return pairs
+    both = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over the classes that have links."""
     tokens = classes.select("nid", "n", F.posexplode("prefix").alias("pos", "token"))
-    head = F.struct(F.xxhash64("nid").alias("h"), "nid", "n", "pos")
-    groups = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(head).alias("p")).filter("c > 1")
-    groups = stored(groups.select("token", F.col("p.nid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos")))
+    groups = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     members = stored(tokens.join(groups, "token"))
-    pairs = members.filter((F.col("nid") != F.col("other")) & _room(percent))
-    pairs = stored(pairs.select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct())
-    near = members.select("nid").distinct().join(classes.select("nid", "text_key"), "nid")
-    texts = _texts(docs, near)
-    links = stored(_verify(pairs, texts, size, percent))
-    found = components(links)
+    own = members.groupBy("nid", "n").agg(F.count("*").alias("c")).select("nid", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("c")).alias("own"))
+    members = stored(members.join(own, "nid"))
+    near = members.select("nid").distinct()
+    texts = _texts(docs, near.join(classes.select("nid", "text_key"), "nid"))
+    links = found = done = None
+    for turn in range(ROUNDS):
+        pairs = _fresh(_pivot_pairs(_rooted(members, found), turn, percent), done)
+        pairs = stored(_suffix_filter(pairs, classes, percent))
+        if pairs.isEmpty():
+            break
+        more = stored(_verify(pairs, texts, size, percent))
+        links = more if links is None else links.unionByName(more)
+        done = pairs if done is None else done.unionByName(pairs)
+        found = components(links)
     # What is left: rows of one shingle that are still in different components.
-    at = members.select("token", "nid", "n", "pos").join(found.withColumnRenamed("node", "nid"), "nid", "left")
-    at = stored(at.select("token", "nid", "n", "pos", F.coalesce("root", "nid").alias("root")))
+    at = _rooted(members, found)
     split = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     open_ = stored(at.join(split, "token"))
     others = open_.select("token", F.col("nid").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
-    rest = open_.join(others, "token").filter((F.col("nid") < F.col("other")) & (F.col("root") != F.col("other_root")) & _room(percent))
-    rest = rest.select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return found
+    n, m = F.col("n").cast("long"), F.col("other_n").cast("long")
+    close = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    apart = open_.join(others, "token").filter((F.col("nid") < F.col("other")) & (F.col("root") != F.col("other_root")) & close)
+    # Positional filter at the last common prefix shingle: those up to it count, of the rest the shorter one.
+    met = apart.groupBy(F.col("nid").alias("a"), F.col("other").alias("b"), n.alias("n"), m.alias("m")).agg(
+        F.count("*").alias("c"), F.max("pos").alias("p"), F.max("other_pos").alias("q")
+    )
+    reach = F.col("c") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
+    rest = met.filter(reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent).select("a", "b")
+    rest = stored(_suffix_filter(_fresh(rest, done), classes, percent))
     more = _verify(rest, texts, size, percent)
-    return components(links.unionByName(more))
+    return components(more if links is None else links.unionByName(more))
 
 
 def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
