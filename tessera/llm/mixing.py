@@ -150,7 +150,6 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> Da
         if members[p]
     ]
     plan = spark.createDataFrame(table, "members array<string>, source_size long, target double, _whole long, _rest double")
-    # Bounded by MAX_PATTERNS rows; Spark broadcasts it only below its own threshold.
     return _spread(sized, plan, max_repeats)
 
 
@@ -172,7 +171,8 @@ def _spread(sized: DataFrame, plan: DataFrame, max_repeats: int) -> DataFrame:
         .select("members", F.col("c._bucket").alias("_cut"), F.col("c._before").alias("_base"))
     )
     facts = plan.join(cut, "members", "left")
-    rows = keyed.join(facts, "members")
+    # At most MAX_PATTERNS rows, so a source with a third of all documents is not dealt by its name.
+    rows = keyed.join(F.broadcast(facts), "members")
     edge = F.col("_bucket") == F.col("_cut")
     inside = rows.filter(edge)
     order = Window.partitionBy("members").orderBy("_key", "doc_id", "size")
