@@ -14,6 +14,8 @@ from tessera.llm.common import NOT_GAP, let, stored, text_or_empty, words_of
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PCT = "#*$%&|<>", 8, 20, 30
 #: A host is rejected when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
+#: Up to so many rejected hosts travel to all executors; more are joined by a shuffle.
+MAX_BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight in documents.
 MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
 
@@ -92,7 +94,9 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
 
 
 def rejected_hosts(feats: DataFrame, host: str = "source") -> DataFrame:
-    return host_rates(feats, host).filter(F.col("shrunk") > MAX_HOST_RATE).select(F.col(host).alias("_host"))
+    """(_host), marked for broadcast only if their counted number is small, so texts are not dealt by host."""
+    bad = stored(host_rates(feats, host).filter(F.col("shrunk") > MAX_HOST_RATE).select(F.col(host).alias("_host")))
+    return F.broadcast(bad) if bad.count() <= MAX_BROADCAST_HOSTS else bad
 
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
