@@ -266,15 +266,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     split = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     open_ = stored(at.join(split, "token"))
     others = open_.select("token", F.col("nid").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
-    n, m = F.col("n").cast("long"), F.col("other_n").cast("long")
-    close = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    apart = open_.join(others, "token").filter((F.col("nid") < F.col("other")) & (F.col("root") != F.col("other_root")) & close)
-    # Positional filter at the last common prefix shingle: those up to it count, of the rest the shorter one.
-    met = apart.groupBy(F.col("nid").alias("a"), F.col("other").alias("b"), n.alias("n"), m.alias("m")).agg(
-        F.count("*").alias("c"), F.max("pos").alias("p"), F.max("other_pos").alias("q")
-    )
-    reach = F.col("c") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
-    rest = met.filter(reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent).select("a", "b")
+    apart = open_.join(others, "token").filter((F.col("nid") < F.col("other")) & (F.col("root") != F.col("other_root")) & _room(percent))
+    rest = apart.select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
     rest = stored(_suffix_filter(_fresh(rest, done), classes, percent))
     more = _verify(rest, texts, size, percent)
     return components(more if links is None else links.unionByName(more))
