@@ -27,6 +27,11 @@ from tessera.llm.common import stored, text_or_empty
 WINDOW, KGRAM = 200, 50
 #: Bytes hashed at once, and strings sorted at once.
 SLICE_BITS, SORT_STRINGS = 20, 300_000
+#: Anchors of more segments are split by distance from the anchor, in ranges of these widths, until their groups are
+#: no larger. Every string keeps all its equals.
+LARGE_GROUP, WIDTHS = 2000, (25, 5, 1)
+#: Up to so many keys of large groups travel to all executors; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 100_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -143,35 +148,42 @@ def _repeats(anchors: DataFrame) -> DataFrame:
     """Segments whose anchor's hash occurs again: WHOLE ones repeat as they are, OPEN ones are to be sorted with
     the others of their anchor, among them one PARTNER for each kind of WHOLE ones."""
 
-    def judge(t: pa.Table) -> pa.RecordBatch | None:
+    def judge(t: pa.Table, seen: int, first: bool, final: bool):
+        """(rows out, the last run's first row, its rows seen beyond that, whether it is its anchor's first run).
+
+        Rows come by anchor and digest. Of a run that may go on, only the first row is held; `seen` and `first` tell
+        of the rows of t's first run that came before.
+        """
         h, d = t.column("h").to_numpy(), t.column("digest").to_numpy()
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new_d = new_h | np.concatenate(([True], d[1:] != d[:-1]))
-        kinds = np.add.reduceat(new_d.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-        same = np.diff(np.append(np.flatnonzero(new_d), len(d)))[np.cumsum(new_d) - 1]
-        whole, open_ = same > 1, (same == 1) & (kinds > 1)
-        partner = whole & new_d & (kinds > 1)
+        new_h = np.concatenate(([first], h[1:] != h[:-1]))
+        new_d = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+        starts, run = np.flatnonzero(new_d), np.cumsum(new_d) - 1
+        size = np.diff(np.append(starts, len(d)))
+        size[0] += seen
+        many = ~(new_h[starts] & np.append(h[starts[1:]] != h[starts[1:] - 1], True))
+        many[-1] &= final
+        whole = (size > 1)[run]
+        open_, partner = (many & (size == 1))[run], new_d & (many & (size > 1))[run]
+        whole[0] &= not seen
         rows = np.concatenate((np.flatnonzero(whole), np.flatnonzero(open_), np.flatnonzero(partner)))
+        held = t.slice(int(starts[-1]), 1), int(size[-1]) - 1, bool(new_h[starts[-1]])
         if not len(rows):
-            return None
+            return None, *held
         kind = np.repeat(np.array([WHOLE, OPEN, PARTNER], np.int32), [whole.sum(), open_.sum(), partner.sum()])
         out = t.take(pa.array(rows)).combine_chunks()
         cols = [pa.array(kind)] + [out.column(c).combine_chunks() for c in ("h", "text_key", "at", "n", "lead")]
-        return pa.RecordBatch.from_arrays(cols, ["kind", "h", "text_key", "at", "n", "lead"])
+        return pa.RecordBatch.from_arrays(cols, ["kind", "h", "text_key", "at", "n", "lead"]), *held
 
     def run(batches):
-        rest = None
+        rest, seen, first = None, 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            h = t.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
-            rest = t.slice(cut)
-            if cut and (out := judge(t.slice(0, cut))) is not None:
+            out, rest, seen, first = judge(t if rest is None else pa.concat_tables([rest, t]), seen, first, False)
+            if out is not None:
                 yield out
-        if rest is not None and (out := judge(rest)) is not None:
+        if rest is not None and (out := judge(rest, seen, first, True)[0]) is not None:
             yield out
 
     return anchors.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(run, REPEATS)
@@ -281,8 +293,32 @@ def repeated_strings(bodies: list[bytes], group: np.ndarray, lead: np.ndarray, c
     return flags
 
 
+PIECES = "key long, kind int, text_key binary, at int, n int, lead int, width int, bytes binary"
+
+
+def pieces(key: int, n: int, lead: int, raw: bytes, width: int, window: int = WINDOW):
+    """(key, first string, n, lead, bytes) of a segment's parts: strings whose distances from the anchor lie in one
+    range of `width`. The key hashes the bytes that all strings of the range share, so equal strings have equal keys;
+    at width 1 these are the whole string."""
+    far, least = lead, lead - n + 1
+    while far >= least:
+        block = far // width * width
+        near = max(least, block)
+        core = raw[lead - block : lead - block - width + 1 + window]
+        digest = xxhash.xxh3_64_intdigest(core, (key + block) % 2**64)
+        yield (digest ^ 1 << 63) - (1 << 63), lead - far, far - near + 1, far, raw[lead - far : lead - near + window]
+        far = near - 1
+
+
+def _packed(rows) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["key", "kind", "text_key", "at", "n", "lead", "width", "bytes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
 def _cut(joined: DataFrame) -> DataFrame:
-    """The bytes of OPEN and PARTNER segments."""
+    """The bytes of OPEN and PARTNER segments; those of large anchors in pieces of WIDTHS[0]."""
+    width = WIDTHS[0]
 
     def run(batches):
         for batch in batches:
@@ -290,18 +326,65 @@ def _cut(joined: DataFrame) -> DataFrame:
             for key, body, parts in zip(batch.column("text_key").to_pylist(), batch.column("body"), batch.column("parts").to_pylist(), strict=True):
                 raw = body.as_py()
                 for p in parts:
-                    rows.append((p["kind"], p["h"], key, p["at"], p["n"], p["lead"], raw[p["at"] : p["at"] + p["n"] - 1 + WINDOW]))
-                if len(rows) > 20_000:
-                    yield pack(rows)
-                    rows = []
+                    held = raw[p["at"] : p["at"] + p["n"] - 1 + WINDOW]
+                    if p["large"]:
+                        rows += [(k, p["kind"], key, p["at"] + i, n, r, width, b) for k, i, n, r, b in pieces(p["h"], p["n"], p["lead"], held, width)]
+                    else:
+                        rows.append((p["h"], p["kind"], key, p["at"], p["n"], p["lead"], 0, held))
+                    if len(rows) > 20_000:
+                        yield _packed(rows)
+                        rows = []
             if rows:
-                yield pack(rows)
+                yield _packed(rows)
+
+    return joined.select("text_key", "body", "parts").mapInArrow(run, PIECES)
 
-    def pack(rows):
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "h", "text_key", "at", "n", "lead", "bytes"])
 
-    return joined.select("text_key", "body", "copies", "parts").mapInArrow(run, REPEATS + ", bytes binary")
+def _narrower(cut: DataFrame, width: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for p in batch.to_pylist():
+                rows += [(k, p["kind"], p["text_key"], p["at"] + i, n, r, width, b) for k, i, n, r, b in pieces(p["key"], p["n"], p["lead"], p["bytes"], width)]
+            if rows:
+                yield _packed(rows)
+
+    return cut.select("key", "kind", "text_key", "at", "n", "lead", "bytes").mapInArrow(run, PIECES)
+
+
+def _marked(keys: DataFrame) -> tuple[DataFrame, bool]:
+    """keys, for broadcast only where their counted number is small, and whether there are any."""
+    keys = stored(keys)
+    n = keys.count()
+    return (F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys), n > 0
+
+
+def _settled(cut: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(pieces to be sorted, spans found without): groups of more than LARGE_GROUP pieces are split until they are
+    small, or are one string, which then is known to repeat."""
+    cut = stored(cut)
+    sorts, rows = [cut.filter("width = 0")], cut.filter("width > 0")
+    spans = None
+    for width in (*WIDTHS[1:], 0):
+        sums = [F.count("*").alias("c")] if width else [F.count("*").alias("c"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")]
+        large = rows.groupBy("key").agg(*sums).filter(F.col("c") > LARGE_GROUP)
+        if not width:
+            # Groups that a hash collision put together are sorted like small ones.
+            large = large.filter("lo = hi")
+        keys, some = _marked(large.select("key"))
+        if not some:
+            sorts.append(rows)
+            break
+        sorts.append(rows.join(keys, "key", "left_anti"))
+        rows = rows.join(keys, "key", "left_semi")
+        if width:
+            rows = stored(_narrower(rows, width))
+        else:
+            spans = rows.filter(F.col("kind") == OPEN).select("text_key", F.col("at").alias("s"), (F.col("at") + WINDOW).cast("int").alias("e"))
+    out = sorts[0]
+    for more in sorts[1:]:
+        out = out.unionByName(more)
+    return out, spans
 
 
 SPANS = "text_key binary, s int, e int"
@@ -331,7 +414,7 @@ def _sorted_spans(cut: DataFrame) -> DataFrame:
     def run(batches):
         rows, strings, last = [], 0, None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("h", "kind", "text_key", "at", "n", "lead", "bytes")]
+            cols = [batch.column(c).to_pylist() for c in ("key", "kind", "text_key", "at", "n", "lead", "bytes")]
             for r in zip(*cols, strict=True):
                 if strings > SORT_STRINGS and r[0] != last:
                     if (out := settle(rows)) is not None:
@@ -343,7 +426,7 @@ def _sorted_spans(cut: DataFrame) -> DataFrame:
         if rows and (out := settle(rows)) is not None:
             yield out
 
-    return cut.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    return cut.drop("width").repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
 
 
 KEPT = "text_key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -390,9 +473,17 @@ def remove_repeats(docs: DataFrame, bodies: bool = False) -> DataFrame:
     keyed = docs.select("doc_id", F.unhex(F.md5(text_or_empty())).alias("text_key"), body.alias("body"))
     repeats = stored(_repeats(_anchors(keyed.select("text_key", "body"))))
     texts = keyed.groupBy("text_key").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    parts = repeats.filter(F.col("kind") != WHOLE).groupBy("text_key").agg(F.collect_list(F.struct("kind", "h", "at", "n", "lead")).alias("parts"))
-    found = _sorted_spans(_cut(texts.join(parts, "text_key")))
+    open_ = repeats.filter(F.col("kind") != WHOLE)
+    large, some = _marked(open_.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > LARGE_GROUP).select("h"))
+    told = open_.join(large.withColumn("large", F.lit(True)), "h", "left")
+    parts = told.groupBy("text_key").agg(F.collect_list(F.struct("kind", "h", "at", "n", "lead", F.coalesce("large", F.lit(False)).alias("large"))).alias("parts"))
+    cut, known = _cut(texts.join(parts, "text_key")), None
+    if some:
+        cut, known = _settled(cut)
+    found = _sorted_spans(cut)
     whole = repeats.filter(F.col("kind") == WHOLE).select("text_key", F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + WINDOW).cast("int").alias("e"))
+    if known is not None:
+        found = found.unionByName(known)
     spans = found.unionByName(whole).groupBy("text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     kept = _remove(texts.join(spans, "text_key", "left"), bodies)
     return keyed.select("doc_id", "text_key").join(kept, "text_key").drop("text_key")

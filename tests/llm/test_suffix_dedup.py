@@ -67,6 +67,31 @@ def test_long_text_in_slices(spark, monkeypatch):
     assert sorted(tuple(r) for r in S.remove_repeats(docs).collect()) == brute(texts)
 
 
+def test_large_anchors_are_split(spark, monkeypatch):
+    """A passage with other neighbours in each text, near 200 bytes and longer; groups of three pieces count as large."""
+    monkeypatch.setattr(S, "LARGE_GROUP", 3)
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, edge = make(420), make(180)
+    texts = [make(150) + passage + make(150) for _ in range(12)] + [make(90) + passage[:203] + make(90) for _ in range(6)]
+    texts += [edge + passage + make(20) for _ in range(5)] + [texts[0], "", None, passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute(texts)
+    assert sorted(tuple(r) for r in S.remove_repeats(docs).collect()) == want
+    monkeypatch.setattr(S, "MAX_BROADCAST_KEYS", 0)
+    assert sorted(tuple(r) for r in S.remove_repeats(docs).collect()) == want
+
+
+def test_runs_over_many_batches(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = corpus()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(tuple(r) for r in S.remove_repeats(docs).collect()) == brute(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
