@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,11 +94,15 @@ def segments(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW, kgram:
     return a, starts[first], starts[last], h[a].astype(np.int64)
 
 
-ANCHORS = "h long, digest long, text_key binary, at int, n int, lead int"
+ANCHORS = "h long, digest long, text_key binary, at int, n int, lead int, known boolean, deal long"
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """A row for each segment. A task passes on two copies of a text at most; that it repeats is then known."""
+    """A row for each segment. A task passes on two copies of a text at most; that it repeats is then known.
+
+    The same holds for equal segments of one slice: two meet the others of their anchor, further ones are `known` to
+    repeat and are dealt out by their place, so a line that is everywhere is not dealt to one task.
+    """
     most = (1 << SLICE_BITS) - 1
 
     def emit(items):
@@ -111,9 +116,17 @@ def _anchors(docs: DataFrame) -> DataFrame:
         shift = np.array([s for _, _, s in items])[doc]
         view = memoryview(data)
         digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i : j + WINDOW], 1) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(a))
+        digest = digest.astype(np.int64)
         keys = pa.array([k for k, _, _ in items], pa.binary()).take(pa.array(doc))
-        cols = [h, digest.astype(np.int64), keys, (first - begin[doc] + shift).astype(np.int32), (last - first + 1).astype(np.int32), (a - first).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["h", "digest", "text_key", "at", "n", "lead"])
+        at = (first - begin[doc] + shift).astype(np.int32)
+        order = np.lexsort((digest, h))
+        same = (h[order[2:]] == h[order[:-2]]) & (digest[order[2:]] == digest[order[:-2]])
+        known = np.zeros(len(a), bool)
+        known[order[2:]] = same
+        text = np.frombuffer(b"".join(k[:8] for k, _, _ in items), np.uint64)[doc]
+        deal = np.where(known, _mix(text + _mix(at.astype(np.uint64))).astype(np.int64), h)
+        cols = [h, digest, keys, at, (last - first + 1).astype(np.int32), (a - first).astype(np.int32), known, deal]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["h", "digest", "text_key", "at", "n", "lead", "known", "deal"])
 
     def run(batches):
         copies: dict[bytes, int] = {}
@@ -180,13 +193,20 @@ def _repeats(anchors: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
+            known = t.filter(t.column("known"))
+            if known.num_rows:
+                yield from known.select(["h", "text_key", "at", "n", "lead"]).add_column(0, "kind", pa.array(np.full(known.num_rows, WHOLE, np.int32))).combine_chunks().to_batches()
+                t = t.filter(pc.invert(t.column("known")))
+                if not t.num_rows:
+                    continue
             out, rest, seen, first = judge(t if rest is None else pa.concat_tables([rest, t]), seen, first, False)
             if out is not None:
                 yield out
         if rest is not None and (out := judge(rest, seen, first, True)[0]) is not None:
             yield out
 
-    return anchors.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(run, REPEATS)
+    dealt = anchors.repartition("deal").drop("deal")
+    return dealt.sortWithinPartitions("known", "h", "digest").mapInArrow(run, REPEATS)
 
 
 class SuffixSorter:
