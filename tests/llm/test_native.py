@@ -195,3 +195,12 @@ def test_sharding(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(texts)
     assert sharding.shard_documents(documents(spark, [])).count() == 0
+
+
+def test_sharding_spreads_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, f"t{i % 900}", "x") for i in range(1000)], "doc_id long, text string, shard string")
+    got = sharding.shard_documents(docs, 2).collect()
+    assert len(got) == 1000 and len({r["shard"] for r in got}) == 1
+    assert sorted(r["slot"] for r in got) == list(range(1000))
+    keys = sharding.bucket_of([F.col("doc_id"), F.col("text")], 10)
+    assert docs.select(keys.alias("b")).distinct().count() == 10
