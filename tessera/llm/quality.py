@@ -83,14 +83,13 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     """
     per = feats.groupBy(host).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
     per = per.withColumn("rate", F.col("failed") / F.col("n"))
-    all_ = per.agg(
-        (F.sum("failed") / F.sum("n")).alias("m"),
-        (F.sum(F.col("failed") * F.col("rate")) / F.sum("n")).alias("m2"),
-    ).withColumn("v", F.col("m2") - F.col("m") * F.col("m"))
-    raw = F.when(F.col("v") > 1e-12, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(MAX_PRIOR)
-    prior = F.least(F.greatest(raw, F.lit(MIN_PRIOR)), F.lit(MAX_PRIOR))
-    shrunk = (F.col("failed") + F.col("m") * prior) / (F.col("n") + prior)
-    return per.join(F.broadcast(all_)).select(host, "n", "failed", "rate", shrunk.alias("shrunk"))
+    m, m2 = per.agg(F.sum("failed") / F.sum("n"), F.sum(F.col("failed") * F.col("rate")) / F.sum("n")).first()
+    if m is None:
+        m = m2 = 0.0
+    v = m2 - m * m
+    prior = min(max(m * (1 - m) / v - 1 if v > 1e-12 else MAX_PRIOR, MIN_PRIOR), MAX_PRIOR)
+    shrunk = (F.col("failed") + m * prior) / (F.col("n") + prior)
+    return per.select(host, "n", "failed", "rate", shrunk.alias("shrunk"))
 
 
 def rejected_hosts(feats: DataFrame, host: str = "source") -> DataFrame:
@@ -112,5 +111,5 @@ def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows that pass the base rules and whose host is not rejected, with their columns."""
     stats = stored(docs.select(host, word_stats(text_or_empty()).alias("_w")).select(host, base_failed(F.col("_w.n_words"), F.col("_w.n_repeat_words")).alias("base_failed")))
     bad = rejected_hosts(stats, host)
-    passed = docs.withColumn("_w", word_stats(text_or_empty())).filter(~base_failed(F.col("_w.n_words"), F.col("_w.n_repeat_words"))).drop("_w")
-    return passed.join(bad, passed[host].eqNullSafe(bad["_host"]), "left_anti").select(*docs.columns)
+    passed = docs.filter(~let(word_stats(text_or_empty()), lambda w: base_failed(w["n_words"], w["n_repeat_words"])))
+    return passed.join(bad, passed[host].eqNullSafe(bad["_host"]), "left_anti")
