@@ -273,22 +273,41 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     return components(more if links is None else links.unionByName(more))
 
 
-def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, text_key, root (null without words), component_id for each row."""
     survey = stored(_survey(docs, size))
-    light = survey.filter("chunk is null").select("doc_id", "n_shingles", "set_key")
+    light = survey.filter("chunk is null").select("doc_id", "n_shingles", "set_key", "text_key")
     classes = _classes(docs, _counts(survey), size, percent)
     roots = link_classes(docs, classes, size, percent)
     least = light.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     named = classes.select("nid", "set_key").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     named = named.select("set_key", F.coalesce("root", "nid").alias("root")).join(least, "set_key")
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = stored(named.join(whole, "root").select("set_key", "component_id"))
-    return light.join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_set = stored(named.join(whole, "root").select("set_key", "root", "component_id"))
+    worded = F.col("n_shingles") > 0
+    return light.join(by_set, "set_key", "left").select("doc_id", "n_shingles", "text_key", F.when(worded, F.col("root")).alias("root"), F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: that with the least doc_id. Wordless documents stay."""
-    found = similar_documents(docs, size, percent)
-    kept = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each component: that with the least doc_id (nulls last), then the least text key.
+
+    Rows that repeat this id and text go too. Wordless documents stay.
+    """
+    found = _grouped(docs, size, percent)
+    rows = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("c"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "c")).alias("m")
+    heads = stored(rows.filter("root is not null").groupBy("root").agg(first).select("m.doc_id", "m.text_key", "m.c"))
+    wordless = rows.filter("root is null").select("doc_id", "text_key")
+    key = F.md5("text")
+
+    def among(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & key.eqNullSafe(keys["text_key"]), "left_semi")
+
+    out = among(heads.filter("c = 1").select("doc_id", "text_key").unionByName(wordless))
+    again = heads.filter("c > 1").select("doc_id", "text_key")
+    return out if again.isEmpty() else out.unionByName(among(again).dropDuplicates(["doc_id", "text"]))

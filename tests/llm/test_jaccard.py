@@ -69,3 +69,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[i] for i in range(31)}) == 1 and len({got[i] for i in range(100, 140)}) == 1
     assert len(set(got.values())) == 3 and len(got) == 31 + 40 + 2
+
+
+def test_keep_one_of_repeated_rows_and_ids(spark):
+    rows = [(2, "A b c d", "k"), (2, "a b c d", "k"), (2, "a b c d", "k"), (2, "e f g h", "m"), (7, "e f g h", "m"), (None, "q r s", "n"), (None, "q r s", "n"), (None, "t u v", "o"), (9, None, None), (9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    got = sorted((tuple(r) for r in jaccard.keep_one(docs, 2).collect()), key=str)
+    assert [(d, t.lower() if t else t, k) for d, t, k in got] == [(2, "a b c d", "k"), (2, "e f g h", "m"), (9, None, None), (9, None, None), (None, "q r s", "n"), (None, "t u v", "o")]
