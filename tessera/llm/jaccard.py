@@ -30,7 +30,8 @@ LARGE_GROUP, PIVOTS, ROUNDS = 16, 8, 2
 RANGE_BITS = 6
 #: Rows compared with one pivot in one task.
 PIVOT_ROWS = 512
-WORD_CACHE = 1_000_000
+#: Hashes of words that a worker remembers, and shingles that it gathers before it counts them: bounds of its memory.
+WORD_CACHE, COUNT_AT = 100_000, 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -82,27 +83,37 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
     """A light row for each document, and for each task its shingle counts in CHUNKS parts."""
 
     def run(batches):
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        cells, parts, held = np.zeros(1 << CELL_BITS, np.uint32), [], 0
+
+        def count():
+            nonlocal held
+            if parts:
+                np.add(cells, np.bincount((np.concatenate(parts) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32), out=cells)
+            parts.clear()
+            held = 0
+
         for batch in batches:
-            ns, keys, parts = [], [], []
+            ns, keys = [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), size)
                 ns.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 parts.append(s)
+                held += len(s)
+                if held >= COUNT_AT:
+                    count()
             if not ns:
                 continue
-            at = (np.concatenate(parts) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            cells += np.bincount(at, minlength=1 << CELL_BITS).astype(np.uint32)
             none = [None] * len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), batch.column("text_key"), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "text_key", "chunk", "counts"],
             )
-        parts = [p.astype("<u4").tobytes() for p in np.split(cells, CHUNKS)]
+        count()
+        chunks = [p.astype("<u4").tobytes() for p in np.split(cells, CHUNKS)]
         none = [None] * CHUNKS
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.string()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())],
+            [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.string()), pa.array(range(CHUNKS), pa.int32()), pa.array(chunks, pa.binary())],
             ["doc_id", "n_shingles", "set_key", "text_key", "chunk", "counts"],
         )
 
