@@ -1,13 +1,16 @@
 """Secrets in texts, with a random forest that removes false findings.
 
-A candidate is a run of at least MIN_LENGTH key characters with a digit. It is
-described by its length, changes between character classes, dictionary
-coverage, the document's path and the neighbouring words. The forest is trained
+A candidate is a run of at least MIN_LENGTH key characters, one of several such
+runs joined by dots, or any value after a secret word and = or :, whatever its
+length and characters. It is described by its length, changes between character
+classes, dictionary coverage, the document's path and the neighbouring words;
+none of them rules a candidate out by itself. The forest is trained
 on labelled findings and then written out as a SQL expression, so that texts
 are scanned and scored in one narrow pass without a shuffle.
 
 Null texts have no candidates. A candidate that occurs twice in a document is
-one finding with as many places. Other columns pass through; an empty table
+one finding with as many places. A secret of MIN_LENGTH characters or more is
+masked wherever it occurs, a shorter one after its secret word. Other columns pass through; an empty table
 gives no rows.
 """
 
@@ -23,7 +26,8 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 RUN = r"[A-Za-z0-9+/_\-]{12,}"
-LIKELY = r"(?=[A-Za-z0-9+/_\-]{12})[A-Za-z+/_\-]*[0-9]"
+DOTTED = r"[A-Za-z0-9+/_\-]+(?:\.[A-Za-z0-9+/_\-]+)+"
+LIKELY = r"[A-Za-z0-9+/_\-.]{12}"
 CHANGES = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[+/_\-](?=[A-Za-z0-9])"
 
 # Words that count for dictionary coverage.
@@ -40,11 +44,26 @@ DICTIONARY = [
     "table", "test", "text", "the", "this", "time", "title", "topic", "type", "update", "user", "usr", "value", "version", "video",
     "web", "with", "word", "work", "year",
 ]
+# Words of prose outside the dictionary, for labelled findings that are none.
+PROSE = [
+    "administration", "allerdings", "although", "always", "because", "before", "bezeichnung", "borrowed", "characteristics", "communication",
+    "consideration", "corresponding", "desarrollo", "determination", "different", "entwicklung", "especially", "established", "evening",
+    "gesellschaft", "government", "however", "independent", "individual", "international", "investigation", "jardin", "knowledge",
+    "maintenant", "management", "mountain", "necesario", "never", "nothing", "opportunities", "particularly", "people", "quelquefois",
+    "relationship", "representation", "required", "responsibility", "river", "siempre", "smith", "sometimes", "straightforward", "through",
+    "traditionally", "transformation", "understanding", "unfortunately", "universidad", "verantwortung", "walked", "weather", "whatever",
+    "wissenschaft", "yesterday", "zusammenarbeit",
+]
+SYLLABLES = ["arbeit", "be", "ein", "er", "ge", "heit", "keit", "lich", "ment", "pflicht", "recht", "schaft", "schluss", "tion", "ung", "ver", "zeit"]
 SECRET_WORDS = "(token|secret|passw|pwd|api.?key|apikey|access.?key|private|credential|bearer|auth)"
+#: A secret word with what follows it in its name, then = or :; the value in quotes or up to the next space.
+NAMED = "(?i)(" + SECRET_WORDS.replace("(", "(?:").replace("|auth)", "|auth(?!ors?(?![a-z])))")
+NAMED += r"(?:(?!" + SECRET_WORDS[1:-1].replace("|", r")(?!") + r")[\p{L}0-9_.\-]){0,200}[\"'`\])]{0,2}[ \t]*(?::=|=>|={1,3}|:)[ \t]*\n?[ \t]*(?:(?:bearer|basic|token)[ \t]+)?)"
+ASSIGNED = NAMED + r"(?:\"([^\"\\\n]*(?:\\.[^\"\\\n]*){0,64})\"|'([^'\\\n]*(?:\\.[^'\\\n]*){0,64})'|([\"'`]?)(\S+))"
 BENIGN_WORDS = "(sha-?[0-9]*|md5|hash|checksum|commit|revision|uuid|guid|isbn|doi|version|build|example|sample|dummy|placeholder|page|file|path|url|id)[\"':=]*$"
 TEST_PATH = "(test|example|sample|demo|fixture|mock|docs?/)"
 
-FEATURES = ["length", "changes", "digits", "coverage", "distinct", "slashes", "test_path", "secret_word", "benign_word", "mixed_case"]
+FEATURES = ["length", "changes", "digits", "coverage", "distinct", "slashes", "test_path", "secret_word", "benign_word", "mixed_case", "vowels", "clusters", "symbols"]
 
 
 def describe(c: Column, before: Column, path: Column) -> list[Column]:
@@ -63,6 +82,9 @@ def describe(c: Column, before: Column, path: Column) -> list[Column]:
         flag(F.lower(before).rlike(SECRET_WORDS)),
         flag(F.lower(before).rlike(BENIGN_WORDS)),
         flag(c.rlike("[a-z]") & c.rlike("[A-Z]")),
+        F.length(F.regexp_replace(F.lower(c), r"[^aeiouyà-öø-ü]", "")) / n,
+        F.length(F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[bcdfghjklmnpqrstvwxz]{4,}"), F.lit(0)), "")) / n,
+        F.length(F.regexp_replace(c, r"[\p{L}0-9+/_\-.]", "")) / n,
     ]
 
 
@@ -105,6 +127,25 @@ def builtin_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
         (F.concat(_pick("P", words), dash, _pick("Q", words), dash, _pick("R", words), dash, _draw("S", "0123456789", 2)), _pick("T", any_ + told), 0),
         (F.concat(F.lit("XXXXXXXXXXXX"), _draw("U", "0123456789", 4)), _pick("V", told), 0),
         (F.concat(F.lit("your_"), _pick("W", words), F.lit("_here_"), _draw("X", "0123456789", 3)), _pick("Y", told), 0),
+        (F.concat(F.lit("AKIA"), _draw("1a", upper[:26], 16)), _pick("1b", prose + told), 1),
+        (_draw("1c", mixed[:52], 24), _pick("1d", told), 1),
+        (_draw("1e", mixed + "!@#$%&*.?", 9), _pick("1f", told), 1),
+        (_draw("1g", mixed[26:52], 10), _pick("1h", told), 1),
+        (F.concat(F.lit("eyJ"), _draw("1i", mixed, 17), F.lit(".eyJ"), _draw("1j", mixed, 30), F.lit("."), _draw("1k", mixed, 43)), _pick("1l", told + prose), 1),
+        (F.concat(_pick("1m", words + PROSE), _draw("1n", "!@#$%&*", 1), _draw("1o", "0123456789", 3)), _pick("1p", told), 1),
+        (_draw("1q", "0123456789", 8), _pick("1r", told), 1),
+        (_pick("1s", words), _pick("1t", any_ + told), 0),
+        (_pick("1u", PROSE), _pick("1v", any_ + told), 0),
+        (F.initcap(_pick("1w", PROSE)), _pick("1x", any_ + told), 0),
+        (F.concat(_pick("1y", words), F.lit("."), _pick("1z", words + PROSE), F.lit("."), _pick("2a", words)), _pick("2b", any_ + told), 0),
+        (F.upper(F.concat(_pick("2c", words), F.lit("_"), _pick("2d", words + PROSE))), _pick("2e", any_ + told), 0),
+        (F.concat(_pick("2f", words), F.initcap(_pick("2g", words + PROSE)), F.initcap(_pick("2h", words))), _pick("2i", any_ + told), 0),
+        (F.concat(F.lit("${"), F.upper(_pick("2j", words)), F.lit("_"), F.upper(_pick("2k", words)), F.lit("}")), _pick("2l", told), 0),
+        (F.concat(_pick("2m", words + PROSE), F.lit("-"), _pick("2n", PROSE)), _pick("2o", any_ + told), 0),
+        (F.concat(_pick("2p", words), F.lit("("), _pick("2q", words), F.lit(")")), _pick("2r", told), 0),
+        (F.upper(_pick("2s", PROSE)), _pick("2t", any_ + told), 0),
+        (F.concat(*[_pick(f"2u{i}", SYLLABLES) for i in range(4)]), _pick("2v", any_), 0),
+        (F.concat(_pick("2w", PROSE), _pick("2x", PROSE)), _pick("2y", any_), 0),
     ]
     branch = F.pmod(F.xxhash64(F.col("id"), F.lit("kind")), F.lit(len(kinds)))
     chosen = None
@@ -120,8 +161,10 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    cols = [c.alias(n) for n, c in zip(FEATURES, describe(F.col("candidate"), F.col("before"), F.col("path")), strict=True)]
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings.select(*cols, F.col("label").cast("double").alias("label")))
+    found = F.struct(F.col("candidate").alias("c"), F.col("before").alias("b"), F.col("path").alias("p"))
+    described = findings.select(let(found, lambda x: F.array(*describe(x["c"], x["b"], x["p"]))).alias("x"), F.col("label").cast("double").alias("label"))
+    cols = [F.col("x")[i].alias(n) for i, n in enumerate(FEATURES)]
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described.select(*cols, "label"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(table.select("features", "label"))
 
 
@@ -164,40 +207,72 @@ def fitted_rules(spark: SparkSession) -> list:
     return _fitted[key]
 
 
-def findings_of(text: Column, path: Column, rules: list) -> Column:
-    """array<struct<candidate, score>> of a text, by candidate; texts without a likely run are not split."""
+def assigned_in(text: Column) -> Column:
+    """array<struct<candidate, before, prefix>>: values after a secret word and = or :, also one inside another."""
+
+    def parts(g: Column) -> Column:
+        named, double, single, quote, bare = (F.regexp_extract(g, ASSIGNED, k) for k in range(1, 6))
+        trimmed = F.regexp_replace(bare, r"[\"'`,;.)\]}>]+$", "")
+        value = F.when(double != "", double).when(single != "", single).otherwise(trimmed)
+        prefix = F.concat(named, F.when(double != "", F.lit('"')).when(single != "", F.lit("'")).otherwise(quote))
+        return F.struct(value.alias("candidate"), prefix.alias("before"), prefix.alias("prefix"))
+
+    found = F.regexp_extract_all(text, F.lit("(?=(" + ASSIGNED + "))"), F.lit(1))
+    return F.filter(F.transform(found, parts), lambda x: x["candidate"] != "")
+
+
+def runs_in(w: Column, assigned: Column) -> Column:
+    """array<struct<candidate, before, prefix>>: long runs and dotted runs of words; those that are an assigned value are left to it."""
 
-    def at(w: Column, i: Column) -> Column:
+    def at(i: Column) -> Column:
         word = w[i]
-        runs = F.filter(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), lambda c: c.rlike("[0-9]"))
+        dotted = F.filter(F.regexp_extract_all(word, F.lit(DOTTED), F.lit(0)), lambda c: F.length(c) >= MIN_LENGTH)
+        runs = F.concat(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), dotted)
 
-        def judged(c: Column) -> Column:
+        def placed(c: Column) -> Column:
             head = F.substr(word, F.lit(1), F.instr(word, c) - 1)
             before = F.concat(F.when(i > 1, F.concat(w[i - 2], F.lit(" "))).otherwise(""), F.when(i > 0, F.concat(w[i - 1], F.lit(" "))).otherwise(""), head)
-            return F.struct(c.alias("candidate"), let(F.array(*describe(c, before, path)), lambda x: score(rules, x)).alias("score"))
+            return F.struct(c.alias("candidate"), before.alias("before"), F.lit("").alias("prefix"))
+
+        same = lambda x: F.exists(assigned, lambda a: a["candidate"] == x["candidate"]) & x["before"].rlike(NAMED + "[\"'`]?$")
+        return F.filter(F.transform(runs, placed), lambda x: ~same(x))
+
+    likely = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: w[i].rlike(LIKELY))
+    return F.flatten(F.transform(likely, at))
+
+
+def findings_of(text: Column, path: Column, rules: list) -> Column:
+    """array<struct<candidate, prefix, score>> of a text, by candidate; prefix is the secret word of a value, or empty. Texts with nothing likely are not split."""
+    kind = "array<struct<candidate:string,before:string,prefix:string>>"
+    none = F.array().cast(kind)
 
-        return F.transform(runs, judged)
+    def judged(x: Column) -> Column:
+        scored = let(F.array(*describe(x["candidate"], x["before"], path)), lambda f: score(rules, f))
+        return F.struct(x["candidate"].alias("candidate"), x["prefix"].alias("prefix"), scored.alias("score"))
 
-    def scan(w: Column) -> Column:
-        likely = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: w[i].rlike(LIKELY))
-        return F.array_sort(F.flatten(F.transform(likely, lambda i: at(w, i))))
+    def all_of(assigned: Column) -> Column:
+        runs = F.when(text.rlike(LIKELY), let(words_of(text), lambda w: runs_in(w, assigned))).otherwise(none)
+        return F.array_sort(F.transform(F.concat(assigned, runs), judged))
 
-    none = F.array().cast("array<struct<candidate:string,score:double>>")
-    return F.when(text.rlike(LIKELY), let(words_of(text), scan)).otherwise(none)
+    return let(F.when(text.rlike(NAMED), assigned_in(text)).otherwise(none), all_of)
 
 
-def redact(text: Column, secrets: Column) -> Column:
-    """Each secret replaced by MASK, longest first."""
-    longest = F.array_sort(secrets, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(longest, text, lambda t, s: F.replace(t, s, F.lit(MASK))))
+def redact(text: Column, found: Column) -> Column:
+    """Each secret replaced by MASK, longest first: values after their secret words, then those of MIN_LENGTH or more anywhere."""
+    order = lambda a, b: F.when(F.length(a["old"]) != F.length(b["old"]), F.length(b["old"]) - F.length(a["old"])).when(a < b, -1).when(a > b, 1).otherwise(0)
+    swap = lambda x, prefix: F.struct(F.concat(prefix, x["candidate"]).alias("old"), F.concat(prefix, F.lit(MASK)).alias("new"))
+    named = F.transform(F.filter(found, lambda x: x["prefix"] != ""), lambda x: swap(x, x["prefix"]))
+    long = F.transform(F.filter(found, lambda x: F.length(x["candidate"]) >= MIN_LENGTH), lambda x: swap(x, F.lit("")))
+    swaps = F.concat(F.array_sort(F.array_distinct(named), order), F.array_sort(F.array_distinct(long), order))
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(swaps, text, lambda t, x: F.replace(t, x["old"], x["new"])))
 
 
 def scanned(docs: DataFrame, rules: list | None = None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """docs + _findings, _secrets (distinct)."""
+    """docs + _findings, _found (those that are secrets), _secrets (distinct)."""
     rules = fitted_rules(docs.sparkSession) if rules is None else rules
     found = docs.withColumn("_findings", findings_of(text_or_empty(), F.coalesce(F.col(path), F.lit("")), rules))
-    kept = F.array_distinct(F.transform(F.filter("_findings", lambda x: x["score"] >= threshold), lambda x: x["candidate"]))
-    return found.withColumn("_secrets", kept)
+    found = found.withColumn("_found", F.filter("_findings", lambda x: x["score"] >= threshold))
+    return found.withColumn("_secrets", F.array_distinct(F.transform("_found", lambda x: x["candidate"])))
 
 
 def scan(docs: DataFrame, rules: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,14 +284,14 @@ def scan(docs: DataFrame, rules: list | None = None, threshold: float = THRESHOL
         F.size("_secrets").cast("long").alias("n_secrets"),
         F.array_max(F.transform("_findings", lambda x: x["score"])).alias("max_score"),
         F.sha2(F.array_join("_secrets", "\n"), 256).alias("secrets_sha256"),
-        F.sha2(redact(F.col("text"), F.col("_secrets")), 256).alias("redacted_sha256"),
+        F.sha2(redact(F.col("text"), F.col("_found")), 256).alias("redacted_sha256"),
     )
 
 
 def redact_documents(docs: DataFrame, rules: list | None = None) -> DataFrame:
     """docs with secrets masked; n_chars is counted anew where a text changed."""
     s = scanned(docs, rules)
-    out = s.withColumn("text", redact(F.col("text"), F.col("_secrets")))
+    out = s.withColumn("text", redact(F.col("text"), F.col("_found")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
