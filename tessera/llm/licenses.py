@@ -4,6 +4,8 @@ Null texts get a null digest and no licence. Repeated rows each get a result.
 The catalogue is part of the program and so of bounded size.
 """
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,13 @@ Permission is granted to anyone to use this software for any purpose, including
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+# The full texts beside this file, named by their ids; of those with an appendix on use, also the terms alone.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    KNOWN[_file.stem] = _file.read_text(encoding="utf-8")
+    if END_OF_TERMS in KNOWN[_file.stem]:
+        KNOWN[f"terms-{_file.stem}"] = KNOWN[_file.stem].split(END_OF_TERMS)[0] + END_OF_TERMS
+
 
 def canonical(text: Column) -> Column:
     """Lower case; copyright lines dropped; one spelling; words separated by single spaces."""

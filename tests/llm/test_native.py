@@ -116,6 +116,15 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licenses_of_the_full_catalogue(spark):
+    names = ["Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause-Regents", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0"]
+    names += ["GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "terms-Apache-2.0", "terms-GPL-2.0", "terms-GPL-3.0"]
+    texts = [" ".join(licenses.KNOWN[n].split(" ")).replace("\n", "\r\n") for n in names] + [licenses.KNOWN["GPL-3.0"][:-900]]
+    got = [r["license_id"] for r in licenses.scan(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [*names, None]
+    assert licenses.catalogue(spark).count() == len(licenses.KNOWN)
+
+
 def test_forest_on_held_out_findings(spark):
     found = secrets.builtin_findings(spark, 4000)
     rules = secrets.as_rules(secrets.train(found.filter("id % 2 = 0")))
