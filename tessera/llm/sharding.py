@@ -1,11 +1,12 @@
 """Two-pass shuffle into shards.
 
-Pass one scatters rows by seeded hash into shards, and within a shard into
-buckets of bounded size. Pass two shuffles each bucket (Fisher-Yates with
-seeded draws) and numbers its rows. The shard of a row depends on its id and
+Pass one scatters whole rows by seeded hash into shards, and within a shard into
+buckets whose mean size is bounded in bytes and in rows. Pass two shuffles each
+bucket (Fisher-Yates with seeded draws) and numbers its rows. Rows are sorted
+by bucket, which Spark spills, so no bucket has to fit in memory. The shard of a row depends on its id and
 the number of shards alone, by highest random weight: a new shard takes rows
 only into itself. Null texts have size 1; null ids fall to one shard.
-The bucket of a row depends on all its columns, so rows that share an id, or
+The bucket of a row and its place before the shuffle depend on one digest of all its columns, so rows that share an id, or
 have none, are spread over the buckets of their shard; only rows that are equal
 in all columns meet. Repeated rows get slots of their own. An empty table gives no rows.
 """
@@ -13,11 +14,9 @@ in all columns meet. Repeated rows get slots of their own. An empty table gives
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
-
 SHARDS, SEED = 16, 7
-#: Mean rows of a bucket, which one task holds and shuffles at once.
-BUCKET_ROWS = 400
+#: Mean rows and bytes of a bucket at most, which is shuffled at once.
+BUCKET_ROWS, BUCKET_BYTES = 400, 1 << 20
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -44,30 +43,52 @@ def fisher_yates(n: Column, *salt: Column) -> Column:
     return F.when(n < 2, places).otherwise(F.aggregate(F.sequence(n - 1, F.lit(1), F.lit(-1)), places, swap))
 
 
-def shuffle_rows(rows: DataFrame, total: int, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def digest_of(rows: DataFrame) -> Column:
+    """128 bits that follow from all columns of a row; nulls count by their place."""
+    columns = [x for c in rows.columns for x in (F.col(c), F.isnull(c))]
+    return F.struct(*[F.xxhash64(F.lit(i), *columns).alias(f"h{i}") for i in range(2)])
+
+
+def bytes_of(rows: DataFrame) -> Column:
+    """About the bytes of a row: its strings and binary values, or its JSON form where other columns vary in length, and 8 for each column."""
+    kinds = dict(rows.dtypes)
+    nested = [c for c, k in kinds.items() if k.startswith(("array", "struct", "map"))]
+    plain = [F.octet_length(c) for c, k in kinds.items() if k in ("string", "binary")]
+    sizes = plain + ([F.octet_length(F.to_json(F.struct(*nested)))] if nested else [])
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(8 * len(kinds)).cast("long"))
+
+
+def dealt_rows(rows: DataFrame, shards: int, seed: int, bucket_rows: int, bucket_bytes: int) -> DataFrame:
+    """r (a whole row as a struct), shard, slot; slots are gapless from 0 in each shard."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(bytes_of(rows)), F.lit(0))).first()
+    buckets = max(1, round(n / shards / bucket_rows), -(-size // (shards * bucket_bytes)))
+    digest = rows.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), digest_of(rows).alias("digest"), F.struct(*rows.columns).alias("r"))
+    placed = digest.withColumn("bucket", bucket_of([F.col("digest.h0"), F.col("digest.h1")], buckets, seed))
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n"))
+    order = fisher_yates(F.col("n").cast("int"), F.col("shard"), F.col("bucket"))
+    orders = base.select("shard", "bucket", "base", order.alias("order"))
+    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("digest.h0", "digest.h1", "r")) - 1
+    dealt = placed.withColumn("at", at).join(orders, ["shard", "bucket"])
+    slot = F.col("base") + F.array_position("order", F.col("at")) - 1
+    return dealt.select("r", F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot")).sortWithinPartitions("shard", "slot")
+
+
+def shuffle_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """rows with doc_id + shard, slot; slots are gapless from 0 in each shard."""
-    buckets = max(1, round(total / shards / bucket_rows))
-    names = rows.columns
-    place = [shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket_of([F.col(c) for c in names], buckets, seed).alias("bucket")]
-    counts = rows.select(*place).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-    scattered = rows.select(*place, F.struct(*names).alias("r")).groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    order = fisher_yates(F.size("rows"), F.col("shard"), F.col("bucket"))
-    mixed = scattered.select("shard", "bucket", "rows", order.alias("order"))
-    dealt = mixed.join(base, ["shard", "bucket"]).select("shard", "base", F.posexplode(F.transform("order", lambda k: F.col("rows")[k])).alias("at", "r"))
-    return dealt.select("r.*", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("at")).cast("long").alias("slot"))
+    return dealt_rows(rows, shards, seed, bucket_rows, bucket_bytes).select("r.*", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard: of the whole documents as they lie in their shards."""
+    out = dealt_rows(docs, shards, seed, BUCKET_ROWS, BUCKET_BYTES).select("shard", "slot", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"))
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    rows = stored(docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32")))
-    out = shuffle_rows(rows, rows.count(), shards, seed)
+    size, crc = (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32")
     grown = shard_of(F.col("doc_id"), shards + 1, seed).cast("int")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+    return out.select("doc_id", size, crc, F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Whole documents, a folder for each shard, rows in slot order within a file."""
-    out = shuffle_rows(docs, docs.count(), shards, seed)
+    out = shuffle_rows(docs, shards, seed)
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -237,3 +237,13 @@ def test_sharding_spreads_rows_without_an_id(spark):
     assert sorted(r["slot"] for r in got) == list(range(1000))
     keys = sharding.bucket_of([F.col("doc_id"), F.col("text")], 10)
     assert docs.select(keys.alias("b")).distinct().count() == 10
+
+
+def test_query_and_written_shards_agree(spark, tmp_path):
+    docs = documents(spark, EDGE + [f"t{i} " * (i % 300) for i in range(2000)] + ["long " * 200000] * 20)
+    sharding.write_shards(docs, str(tmp_path / "out"))
+    written = {(r["doc_id"], r["shard"], r["slot"], r["c"]) for r in spark.read.parquet(str(tmp_path / "out")).withColumn("c", F.crc32(F.coalesce("text", F.lit("")))).collect()}
+    assert written == {(r["doc_id"], r["shard"], r["slot"], r["text_crc32"]) for r in sharding.shard_documents(docs).collect()}
+    plan = sharding.shard_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = plan[plan.index("Window [row_number") :]
+    assert "text" in shuffled and "crc32" not in shuffled
