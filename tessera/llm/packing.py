@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CAPACITY, END_ID = 2048, 0
 #: Documents dealt to one packing group. Groups are packed apart; each leaves about one open sequence.
 GROUP_DOCS = 4096
+#: Bytes of text of a group at most on average, since a worker holds a group's ids, and tokens of a batch of pieces.
+GROUP_BYTES, BATCH_TOKENS = 64 << 20, 4 << 20
 SPECIAL = "<|endoftext|>"
 
 _encoders: dict[str, object] = {}
@@ -50,7 +52,8 @@ def encoder(json_path: str, ranks_path: str | None = None):
     return _encoders[key]
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids array<int>"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
 
 
 def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -62,17 +65,27 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece of each document: ids, then END_ID, cut only where longer than the capacity."""
 
+    def made(rows, ids):
+        doc, piece, start, length = zip(*rows, strict=True)
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+        columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), flat]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+
     def pieces(batches):
         encode = encoder(json_path, ranks_path)
         for batch in batches:
-            rows = []
+            rows, held, n = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for i, (start, length) in enumerate(cut_points(len(ids), capacity)):
-                    rows.append((doc, i, start, length, zlib.crc32(ids[start : start + length].tobytes())))
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
+                rows += [(doc, i, start, length) for i, (start, length) in enumerate(cut_points(len(ids), capacity))]
+                held.append(ids)
+                n += len(ids)
+                if n >= BATCH_TOKENS:
+                    yield made(rows, held)
+                    rows, held, n = [], [], 0
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield made(rows, held)
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
 
@@ -133,21 +146,44 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets
 
 
+def checksums(ids: pa.ListArray) -> list[int]:
+    """crc32 of each list's ids as little-endian 32-bit numbers."""
+    flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+    return [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """pieces + sequence_id, offset. Groups are dealt by document hash and packed one by one."""
-    out = PIECES + ", sequence_id long, offset long"
+    """pieces + ids_crc32, sequence_id, offset. Groups are dealt by document hash and packed one by one."""
+    names = [c.split()[0] for c in PACKED.split(", ")]
 
     def run(key, table):
-        table = table.drop(["_group"]).sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        ids = table.column("ids").combine_chunks()
+        ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks)
+        table = table.append_column("ids_crc32", pa.array(checksums(ids), pa.int64()))
+        table = table.sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = best_two_fit(table.column("length").to_numpy(), capacity)
-        ids = bins + key[0].as_py() * (1 << 40)
-        return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
+        sequences = bins + key[0].as_py() * (1 << 40)
+        return table.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets)).select(names)
 
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return keyed.groupBy("_group").applyInArrow(run, out)
+    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups)))
+    return keyed.groupBy("_group").applyInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Pieces of all documents with their place in a sequence of at most `capacity` tokens."""
-    groups = max(1, round(docs.count() / group_docs))
+    """Pieces of all documents, their ids and their place in a sequence of at most `capacity` tokens."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, round(n / group_docs), -(-size // GROUP_BYTES))
     return pack(token_pieces(docs, json_path, ranks_path, capacity), groups, capacity)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids (all tokens in order), parts (offset, length, doc_id, start of each piece): a row per sequence."""
+    part = F.struct("offset", "length", "doc_id", "start", "ids")
+    held = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(part)).alias("held"))
+    parts = F.transform("held", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"), x["doc_id"].alias("doc_id"), x["start"].alias("start")))
+    return held.select("sequence_id", F.flatten(F.transform("held", lambda x: x["ids"])).alias("ids"), parts.alias("parts"))
+
+
+def write_sequences(packed: DataFrame, path: str) -> None:
+    """Whole sequences as training data."""
+    sequences(packed).write.mode("overwrite").parquet(path)

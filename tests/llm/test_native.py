@@ -80,6 +80,27 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), js, ranks).count() == 0
 
 
+def test_packed_sequences_hold_the_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import tokenizer_paths
+
+    js, ranks = tokenizer_paths()
+    tok = Tokenizer.from_file(js)
+    texts = EDGE + [f"text {i} " * (i % 40) for i in range(60)]
+    packed = packing.pack_documents(documents(spark, texts), js, ranks)
+    packing.write_sequences(packed, str(tmp_path / "out"))
+    got = defaultdict(dict)
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        assert len(r["ids"]) == sum(p["length"] for p in r["parts"]) <= 2048
+        for p in r["parts"]:
+            got[p["doc_id"]][p["start"]] = r["ids"][p["offset"] : p["offset"] + p["length"]]
+    for i, t in enumerate(texts):
+        assert [x for s in sorted(got[i]) for x in got[i][s]] == tok.encode(t or "", add_special_tokens=False).ids + [0]
+    for r in packed.collect():
+        assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r["ids"]))
+
+
 def test_two_fit_beats_greedy():
     import numpy as np
 
