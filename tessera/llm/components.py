@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dropped, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node moves to the node of the least seeded weight within
     two steps, links are rewritten to the new nodes, and those within one node
     vanish. All sums run over least values, so hubs cost no task more than its
-    share. The expected number of rounds is logarithmic.
+    share. The expected number of rounds is logarithmic. Links with a null end
+    and links of a node to itself count for nothing; repeated ones count once.
     """
     edges = stored(links.filter("a <> b").select("a", "b"))
     moves: list[DataFrame] = []
@@ -26,11 +27,15 @@ def components(links: DataFrame) -> DataFrame:
         moves.append(move)
         left = move.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = move.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        before = edges
         edges = stored(edges.join(left, "a").join(right, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        dropped(before, near)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = moves[0]
     for move in moves[1:]:
         nxt = move.select(F.col("node").alias("root"), F.col("root").alias("next"))
         labels = labels.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return stored(labels)
+    labels = stored(labels)
+    dropped(edges, *moves)
+    return labels

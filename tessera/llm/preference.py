@@ -2,7 +2,9 @@
 
 Null roles and texts are empty. Turns with the same number are ordered by role
 and text. A side without turns gives null ids and empty texts. Repeated turns
-are turns. An empty table gives no rows.
+are turns. Pairs with equal sides have two empty completions and are marked
+`identical`. Turns without a conversation form one pair without ids and turns.
+Other columns are ignored. An empty table gives no rows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +68,7 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
         "chosen_id",
         "rejected_id",
         "n_prefix",
+        ((F.size("c") == 0) & (F.size("r") == 0)).alias("identical"),
         render(F.col("p")).alias("prompt"),
         render(F.col("c")).alias("chosen"),
         render(F.col("r")).alias("rejected"),
@@ -75,13 +78,11 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs conversation 2k as chosen with 2k + 1 as rejected, in one grouping and without a join."""
-    first = F.col("conv_id") % 2 == 0
-    return conversations.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(
+    """Pairs conversation 2k as chosen with 2k + 1 as rejected, in one grouping and without a join. Ids may be any long, negative too."""
+    first = F.pmod("conv_id", F.lit(2)) == 0
+    return conversations.groupBy(F.shiftright("conv_id", 1).alias("pair_id")).agg(
         F.min(F.when(first, F.col("conv_id"))).alias("chosen_id"),
         F.min(F.when(~first, F.col("conv_id"))).alias("rejected_id"),
         turns_of(first).alias("chosen"),
         turns_of(~first).alias("rejected"),
     )
-
-

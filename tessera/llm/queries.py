@@ -62,14 +62,15 @@ def _sql(text: str) -> str:
 
 def _canonical_sql(column: str) -> str:
     t = f"regexp_replace(lower({column}), {_sql(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
+    t = f"' ' || trim(regexp_replace({t}, {_sql(licenses.NOT_WORD)}, '  ', 'g')) || ' '"
     for other, usual in licenses.SPELLINGS:
-        t = f"replace({t}, {_sql(other)}, {_sql(usual)})"
-    return f"trim(regexp_replace({t}, {_sql(licenses.NOT_WORD)}, ' ', 'g'))"
+        t = f"replace({t}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
+    return f"regexp_replace(trim(regexp_replace({t}, ' +', ' ', 'g')), {_sql(licenses.title_pattern())}, '')"
 
 
 def _license_sql() -> str:
     known = ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in licenses.KNOWN.items())
-    return f"""with k as (select sha256({_canonical_sql('body')}) as h, min(id) as license_id from (values {known}) t(id, body) group by 1),
+    return f"""with k as (select sha256({_canonical_sql('body')}) as h, min(split_part(id, '#', 1)) as license_id from (values {known}) t(id, body) group by 1),
 d as (select doc_id, sha256({_canonical_sql('text')}) as canon_sha256 from documents)
 select doc_id, canon_sha256, license_id from d left join k on h = canon_sha256"""
 
@@ -97,12 +98,12 @@ p as (select m, least(greatest(case when m2 - m * m > 1e-12 then m * (1 - m) / (
 bad as (select source from h, p where (fl + m * a) / (n + a) > 0.5)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 not base_failed and not exists (select 1 from bad where bad.source is not distinct from b.source) as kept from b""",
-    "op5_chat_formatting": f"""with t as (select conv_id // 2 as pair_id, conv_id % 2 as side, conv_id, {{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t from conversations),
+    "op5_chat_formatting": f"""with t as (select conv_id >> 1 as pair_id, conv_id & 1 as side, conv_id, {{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t from conversations),
 p as (select pair_id, min(conv_id) filter (side = 0) as chosen_id, min(conv_id) filter (side = 1) as rejected_id,
 coalesce(list(t order by t) filter (side = 0), []) as c0, coalesce(list(t order by t) filter (side = 1), []) as r0 from t group by 1),
 n as (select *, coalesce(list_filter(range(1, least(len(c0), len(r0)) + 1), lambda i: c0[i].role <> r0[i].role or c0[i].text <> r0[i].text)[1] - 1, least(len(c0), len(r0))) as k from p),
-s as (select pair_id, chosen_id, rejected_id, cast(k as bigint) as n_prefix, c0[1:k] as p, c0[k + 1:] as c, r0[k + 1:] as r from n)
-select pair_id, chosen_id, rejected_id, n_prefix, {_RENDER.format(s='p')} as prompt, {_RENDER.format(s='c')} as chosen, {_RENDER.format(s='r')} as rejected,
+s as (select pair_id, chosen_id, rejected_id, cast(k as bigint) as n_prefix, len(c0) = k and len(r0) = k as identical, c0[1:k] as p, c0[k + 1:] as c, r0[k + 1:] as r from n)
+select pair_id, chosen_id, rejected_id, n_prefix, identical, {_RENDER.format(s='p')} as prompt, {_RENDER.format(s='c')} as chosen, {_RENDER.format(s='r')} as rejected,
 coalesce({_MASK.format(s='c')}, '') as chosen_mask, coalesce({_MASK.format(s='r')}, '') as rejected_mask from s""",
     "op6_license_scans": _license_sql(),
 }

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,6 +131,21 @@ def test_preference(spark):
     assert preference.format_pairs(preference.pair_neighbours(conv.limit(0))).count() == 0
 
 
+def test_preference_of_large_and_negative_ids_and_repeats(spark):
+    long = "word " * 300_000
+    ids = [2**60, 2**60 + 1, 2**60 + 2, 2**60 + 3, -3, -4, -1, 2**62, 2**62 + 1]
+    rows = [(c, 0, "user", "hi", 9, "x") for c in ids] + [(c, 1, "assistant", f"a{c}", 9, "x") for c in ids[:4]] + [(ids[0], 1, "assistant", f"a{ids[0]}", 9, "x")]
+    rows += [(2**62, 1, "assistant", long, 9, "x"), (2**62 + 1, 1, "assistant", long + "!", 9, "x"), (None, 0, "user", "lost", 9, "x")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id long, prompt string")
+    got = {r["pair_id"]: r for r in preference.format_pairs(preference.pair_neighbours(conv)).collect()}
+    assert set(got) == {2**59, 2**59 + 1, -2, -1, 2**61, None}
+    assert [(got[p]["chosen_id"], got[p]["rejected_id"]) for p in (2**59, 2**59 + 1, -2, -1)] == [(2**60, 2**60 + 1), (2**60 + 2, 2**60 + 3), (-4, -3), (None, -1)]
+    assert got[2**59]["chosen"].count(f"a{2**60}<") == 2 and not got[2**59]["identical"]
+    assert got[-2]["identical"] and got[-2]["n_prefix"] == 1
+    assert len(got[2**61]["rejected"]) == len(long) + 1 + len("<|assistant|>\n<|end|>\n")
+    assert got[None]["prompt"] == got[None]["chosen"] == ""
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"]
     texts = ["The MIT Licence? no", "Copyright (c) 2020 Someone\n" + mit.upper(), mit.replace("sublicense", "sub-license").replace("\n", " "), mit + " more", None, "", "Released under the MIT licence"]
@@ -146,6 +163,40 @@ def test_licenses_of_the_full_catalogue(spark):
     assert licenses.catalogue(spark).count() == len(licenses.KNOWN)
 
 
+def plain_canonical(text):
+    """The canonical form of a text without British spellings, by plain string work."""
+    lines = [x for x in text.lower().split("\n") if not x.strip().startswith(("copyright (c) 20", "all rights reserved"))]
+    words = "".join(c if c.isalnum() else " " for c in "\n".join(lines)).split()
+    return " ".join(words[2:] if words[:2] == ["mit", "license"] else words)
+
+
+def test_licenses_at_any_wrap_width(spark):
+    head = {"MIT": "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n", "BSD-3-Clause": "Copyright (c) 2021, Jane Doe\nAll rights reserved.\n\n", "ISC": "", "Zlib": "", "BSL-1.0": ""}
+    body = {n: "\n\n".join(p for p in licenses.KNOWN[n].split("\n\n") if not p.lower().startswith("copyright (c)")) for n in head}
+    wrapped = lambda n, w: head[n] + "\n\n".join(textwrap.fill(" ".join(p.split()), w) for p in body[n].split("\n\n"))
+    want = [(n, wrapped(n, w)) for n in head for w in range(40, 121)]
+    got = licenses.scan(documents(spark, [t for _, t in want])).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == [n for n, _ in want]
+    for r, (n, t) in zip(got, want, strict=True):
+        if n in ("MIT", "ISC"):
+            assert r["canon_sha256"] == hashlib.sha256(plain_canonical(t).encode()).hexdigest()
+
+
+def test_license_spellings_and_lists(spark):
+    bsd = licenses.KNOWN["BSD-2-Clause"]
+    texts = [
+        licenses.KNOWN["MIT"].replace("sublicense", "sub-\nlicense").replace("NONINFRINGEMENT", "non\ninfringement"),
+        licenses.KNOWN["MPL-2.0"].replace("License", "Licence").replace("percent (50%)", "per\ncent (50%)"),
+        bsd.replace("1. ", "- ").replace("2. ", "- "),
+        licenses.KNOWN["MIT"].replace("license", "licencer"),
+        "copyright (c) 2020 x\n" * 3,
+    ]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts * 2)], "doc_id long, text string, license_id string, canon_sha256 string")
+    got = [r["license_id"] for r in licenses.scan(docs).orderBy("doc_id").collect()]
+    assert got == ["MIT", "MPL-2.0", "BSD-2-Clause", None, None] * 2
+    assert licenses.scan(docs, {"mine": texts[4]}).filter("license_id = 'mine'").count() == 2
+
+
 def test_forest_on_held_out_findings(spark):
     found = secrets.builtin_findings(spark, 4000)
     rules = secrets.as_rules(secrets.train(found.filter("id % 2 = 0")))
