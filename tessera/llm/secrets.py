@@ -1,33 +1,42 @@
 """Secrets in texts, with a random forest that removes false findings.
 
 A candidate is a run of at least MIN_LENGTH key characters, one of several such
-runs joined by dots, or any value after a secret word and = or :, whatever its
-length and characters. It is described by its length, changes between character
-classes, dictionary coverage, the document's path and the neighbouring words;
-none of them rules a candidate out by itself. The forest is trained
-on labelled findings and then written out as a SQL expression, so that texts
-are scanned and scored in one narrow pass without a shuffle.
-
-Null texts have no candidates. A candidate that occurs twice in a document is
-one finding with as many places. A secret of MIN_LENGTH characters or more is
-masked wherever it occurs, a shorter one after its secret word. Other columns pass through; an empty table
-gives no rows.
+runs joined by dots, any value after a secret word and = or :, a password in an
+address, or the body of a private key, whatever its length and characters. It
+is described by its length, changes between character classes, dictionary
+coverage, the document's path and the neighbouring words; none of them rules a
+candidate out by itself. The forest is trained on labelled findings and then
+written out as a SQL expression, so that texts are scanned and scored in one
+narrow pass without a shuffle. Candidates are found by patterns that never step
+back over what they have passed, so the work grows with the text's length.
+
+Null texts have no candidates, a null path is empty. The neighbouring words of a
+candidate are the two before it and the start of its own word, as far as they
+lie in the CONTEXT characters before it. A candidate that occurs twice in a
+document is judged at each place, counted once, and a secret if it is one at any
+place. A secret of MIN_LENGTH characters or more is masked wherever it occurs, a
+shorter one after its secret word. Repeated rows each get a result. Other columns
+pass through, whatever their names; an empty table gives no rows.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, text_or_empty, words_of
+from tessera.llm.common import GAP, let, text_or_empty, whole_row
 
-MIN_LENGTH = 12
+MIN_LENGTH, CONTEXT = 12, 200
 #: Labelled findings that the forest is fitted on, and the size of the forest.
-TRAINING_ROWS, TREES, DEPTH, SEED = 6000, 15, 6, 7
+TRAINING_ROWS, TREES, DEPTH, SEED = 9000, 15, 7, 7
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
-RUN = r"[A-Za-z0-9+/_\-]{12,}"
-DOTTED = r"[A-Za-z0-9+/_\-]+(?:\.[A-Za-z0-9+/_\-]+)+"
-LIKELY = r"[A-Za-z0-9+/_\-.]{12}"
+KEY = r"[A-Za-z0-9+/_\-]"
+RUN = rf"(?<!{KEY}){KEY}{{12,}}+"
+DOTTED = rf"(?<!{KEY}){KEY}++(?:\.{KEY}++)++"
+#: What every dotted run holds, found faster.
+POINT = r"\." + KEY
 CHANGES = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[+/_\-](?=[A-Za-z0-9])"
 
 # Words that count for dictionary coverage.
@@ -57,13 +66,17 @@ PROSE = [
 SYLLABLES = ["arbeit", "be", "ein", "er", "ge", "heit", "keit", "lich", "ment", "pflicht", "recht", "schaft", "schluss", "tion", "ung", "ver", "zeit"]
 SECRET_WORDS = "(token|secret|passw|pwd|api.?key|apikey|access.?key|private|credential|bearer|auth)"
 #: A secret word with what follows it in its name, then = or :; the value in quotes or up to the next space.
-NAMED = "(?i)(" + SECRET_WORDS.replace("(", "(?:").replace("|auth)", "|auth(?!ors?(?![a-z])))")
+NAMED = "(?i)((?=[tspakcb])" + SECRET_WORDS.replace("(", "(?:").replace("|auth)", "|auth(?!ors?(?![a-z])))")
 NAMED += r"(?:(?!" + SECRET_WORDS[1:-1].replace("|", r")(?!") + r")[\p{L}0-9_.\-]){0,200}[\"'`\])]{0,2}[ \t]*(?::=|=>|={1,3}|:)[ \t]*\n?[ \t]*(?:(?:bearer|basic|token)[ \t]+)?)"
-ASSIGNED = NAMED + r"(?:\"([^\"\\\n]*(?:\\.[^\"\\\n]*){0,64})\"|'([^'\\\n]*(?:\\.[^'\\\n]*){0,64})'|([\"'`]?)(\S+))"
+#: A bare value ends where another secret word is given a value.
+ASSIGNED = NAMED + r"(?:\"([^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+)\"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([\"'`]?)((?:(?!" + NAMED.replace("(?i)(", "(?:") + r")\S)++))"
+#: An address with a user and a password before the host, and a private key's head and body.
+ADDRESS = r"([A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@]*+:)([^\s/@]++)@"
+PRIVATE_KEY = r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*+)([A-Za-z0-9+/=\s]++)-----END"
 BENIGN_WORDS = "(sha-?[0-9]*|md5|hash|checksum|commit|revision|uuid|guid|isbn|doi|version|build|example|sample|dummy|placeholder|page|file|path|url|id)[\"':=]*$"
 TEST_PATH = "(test|example|sample|demo|fixture|mock|docs?/)"
 
-FEATURES = ["length", "changes", "digits", "coverage", "distinct", "slashes", "test_path", "secret_word", "benign_word", "mixed_case", "vowels", "clusters", "symbols"]
+FEATURES = ["length", "changes", "digits", "coverage", "distinct", "slashes", "test_path", "secret_word", "benign_word", "mixed_case", "vowels", "clusters", "symbols", "address"]
 
 
 def describe(c: Column, before: Column, path: Column) -> list[Column]:
@@ -85,6 +98,7 @@ def describe(c: Column, before: Column, path: Column) -> list[Column]:
         F.length(F.regexp_replace(F.lower(c), r"[^aeiouyà-öø-ü]", "")) / n,
         F.length(F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[bcdfghjklmnpqrstvwxz]{4,}"), F.lit(0)), "")) / n,
         F.length(F.regexp_replace(c, r"[\p{L}0-9+/_\-.]", "")) / n,
+        flag(before.rlike("://[^/ ]*:$")),
     ]
 
 
@@ -134,6 +148,19 @@ def builtin_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
         (F.concat(F.lit("eyJ"), _draw("1i", mixed, 17), F.lit(".eyJ"), _draw("1j", mixed, 30), F.lit("."), _draw("1k", mixed, 43)), _pick("1l", told + prose), 1),
         (F.concat(_pick("1m", words + PROSE), _draw("1n", "!@#$%&*", 1), _draw("1o", "0123456789", 3)), _pick("1p", told), 1),
         (_draw("1q", "0123456789", 8), _pick("1r", told), 1),
+        (_draw("3a", mixed + "!$%*-_", 11), F.concat(_pick("3b", ["postgres", "mysql", "amqp", "https"]), F.lit("://"), _pick("3c", words), F.lit(":")), 1),
+        (F.concat(_pick("3d", words), _draw("3e", "0123456789", 2)), F.concat(_pick("3f", ["redis", "mongodb", "ftp", "http"]), F.lit("://"), _pick("3g", words), F.lit(":")), 1),
+        (F.concat(*[x for i in range(4) for x in (_draw(f"3h{i}", mixed + "+/", 64), F.lit("\n"))]), F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), 1),
+        (_draw("3i", mixed + "+/", 64), _pick("3j", ["PRIVATE KEY-----\n", "-----BEGIN EC PRIVATE KEY----- "]), 1),
+        (_draw("3k", upper + "+/abcdefghijklmnopqrstuvwxyz", 64), F.concat(_draw("3l", mixed, 64), F.lit(" "), _draw("3m", mixed, 64), F.lit(" ")), 1),
+        (F.concat(_pick("3n", ["sk_live_", "xoxb-", "AIza", "npm_", "glpat-", "SG."]), _draw("3o", mixed, 30)), _pick("3p", told + prose), 1),
+        (F.concat(_pick("4k", words), dash, _draw("4l", "0123456789", 12), dash, _draw("4m", mixed, 20)), _pick("4n", told + prose), 1),
+        (F.concat(_draw("4o", "0123456789", 10), dash, _draw("4p", "0123456789", 10), dash, _draw("4q", mixed, 32)), _pick("4r", told + prose), 1),
+        (F.concat(F.lit("sha512-"), _draw("3q", mixed + "+/", 86)), _pick("3r", ["integrity ", "integrity: ", "hash "]), 0),
+        (_draw("3s", mixed + "+/", 60), _pick("3t", ["data:image/png;base64,", "src=data:image/gif;base64,", "font data:font/woff;base64,"]), 0),
+        (F.concat(_draw("3u", hexa, 8), dash, _draw("3v", hexa, 4), dash, _draw("3w", hexa, 4), dash, _draw("3x", hexa, 4), dash, _draw("3y", hexa, 12)), _pick("3z", any_), 0),
+        (F.concat(_pick("4a", words), F.lit("/"), _pick("4b", words), F.lit("/"), _pick("4c", words), F.lit("."), _pick("4d", ["py", "js", "html", "json"])), _pick("4e", any_), 0),
+        (F.concat(_draw("4f", "0123456789", 3), dash, _draw("4g", "0123456789", 1), dash, _draw("4h", "0123456789", 4), dash, _draw("4i", "0123456789", 4)), _pick("4j", ["isbn ", "ISBN: ", "phone ", "no. "]), 0),
         (_pick("1s", words), _pick("1t", any_ + told), 0),
         (_pick("1u", PROSE), _pick("1v", any_ + told), 0),
         (F.initcap(_pick("1w", PROSE)), _pick("1x", any_ + told), 0),
@@ -147,13 +174,20 @@ def builtin_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
         (F.concat(*[_pick(f"2u{i}", SYLLABLES) for i in range(4)]), _pick("2v", any_), 0),
         (F.concat(_pick("2w", PROSE), _pick("2x", PROSE)), _pick("2y", any_), 0),
     ]
-    branch = F.pmod(F.xxhash64(F.col("id"), F.lit("kind")), F.lit(len(kinds)))
-    chosen = None
-    for i, (c, before, label) in enumerate(kinds):
-        made = F.struct(c.alias("candidate"), before.alias("before"), F.lit(label).alias("label"))
-        chosen = F.when(branch == i, made) if chosen is None else chosen.when(branch == i, made)
     path = _pick("path", ["src1", "src2", "www.site.org/page", "repo/src/main", "repo/tests/test_app", "docs/example"])
-    return spark.range(0, rows, 1, 4).select("id", chosen.alias("x"), path.alias("path")).select("id", "x.candidate", "x.before", "path", "x.label")
+    kind = F.pmod(F.xxhash64(F.col("id"), F.lit("kind")), F.lit(len(kinds)))
+
+    def among(numbers: range) -> DataFrame:
+        chosen = functools.reduce(
+            lambda e, i: e.when(kind == i, F.struct(kinds[i][0].alias("candidate"), kinds[i][1].alias("before"), F.lit(kinds[i][2]).alias("label"))),
+            numbers,
+            F.when(F.lit(False), F.lit(None)),
+        )
+        ids = spark.range(0, rows, 1, 1).filter((kind >= numbers.start) & (kind < numbers.stop))
+        return ids.select("id", chosen.alias("x"), path.alias("path")).select("id", "x.candidate", "x.before", "path", "x.label")
+
+    # In parts, since one expression over all kinds would be too large to compile.
+    return functools.reduce(DataFrame.unionByName, [among(range(i, min(i + 12, len(kinds)))) for i in range(0, len(kinds), 12)])
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
@@ -164,8 +198,10 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     found = F.struct(F.col("candidate").alias("c"), F.col("before").alias("b"), F.col("path").alias("p"))
     described = findings.select(let(found, lambda x: F.array(*describe(x["c"], x["b"], x["p"]))).alias("x"), F.col("label").cast("double").alias("label"))
     cols = [F.col("x")[i].alias(n) for i, n in enumerate(FEATURES)]
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described.select(*cols, "label"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(table.select("features", "label"))
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described.select(*cols, "label")).select("features", "label").cache()
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(table)
+    table.unpersist()
+    return model
 
 
 def as_rules(model) -> list:
@@ -207,91 +243,117 @@ def fitted_rules(spark: SparkSession) -> list:
     return _fitted[key]
 
 
+STRUCTS = "array<struct<candidate:string,before:string,prefix:string>>"
+
+
 def assigned_in(text: Column) -> Column:
-    """array<struct<candidate, before, prefix>>: values after a secret word and = or :, also one inside another."""
+    """Values after a secret word and = or :."""
 
     def parts(g: Column) -> Column:
         named, double, single, quote, bare = (F.regexp_extract(g, ASSIGNED, k) for k in range(1, 6))
-        trimmed = F.regexp_replace(bare, r"[\"'`,;.)\]}>]+$", "")
+        trimmed = F.regexp_replace(bare, r"[\"'`,;.)\]}>]++$", "")
         value = F.when(double != "", double).when(single != "", single).otherwise(trimmed)
         prefix = F.concat(named, F.when(double != "", F.lit('"')).when(single != "", F.lit("'")).otherwise(quote))
         return F.struct(value.alias("candidate"), prefix.alias("before"), prefix.alias("prefix"))
 
-    found = F.regexp_extract_all(text, F.lit("(?=(" + ASSIGNED + "))"), F.lit(1))
-    return F.filter(F.transform(found, parts), lambda x: x["candidate"] != "")
+    found = F.transform(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(0)), parts)
+    return F.filter(found, lambda x: x["candidate"] != "")
+
+
+def marked_in(text: Column, pattern: str) -> Column:
+    """Second groups of a pattern whose first group stands before them."""
+
+    def parts(g: Column) -> Column:
+        head = F.regexp_extract(g, pattern, 1)
+        return F.struct(F.regexp_replace(F.regexp_extract(g, pattern, 2), r"\s++$", "").alias("candidate"), head.alias("before"), head.alias("prefix"))
+
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), parts), lambda x: x["candidate"] != "")
+
+
+def runs_in(text: Column, pattern: str) -> Column:
+    """Matches of MIN_LENGTH characters or more, with the words before them.
 
+    What lies between two matches follows from a split at the same pattern, so
+    each match has its own place, and its neighbours cost no second search.
+    """
 
-def runs_in(w: Column, assigned: Column) -> Column:
-    """array<struct<candidate, before, prefix>>: long runs and dotted runs of words; those that are an assigned value are left to it."""
+    def placed(found: Column) -> Column:
+        gap, run = found["gaps"], found["runs"]
+        back = lambda c: F.right(c, F.lit(CONTEXT))
 
-    def at(i: Column) -> Column:
-        word = w[i]
-        dotted = F.filter(F.regexp_extract_all(word, F.lit(DOTTED), F.lit(0)), lambda c: F.length(c) >= MIN_LENGTH)
-        runs = F.concat(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), dotted)
+        def at(i: Column) -> Column:
+            one = F.concat(F.when(i > 0, back(run[F.greatest(i - 1, F.lit(0))])).otherwise(""), back(gap[i]))
+            two = F.concat(F.when(i > 1, back(run[F.greatest(i - 2, F.lit(0))])).otherwise(""), F.when(i > 0, back(gap[F.greatest(i - 1, F.lit(0))])).otherwise(""))
+            before = F.substring_index(F.regexp_replace(back(F.concat(two, one)), GAP, " "), " ", -3)
+            return F.struct(run[i].alias("candidate"), before.alias("before"), F.lit("").alias("prefix"))
 
-        def placed(c: Column) -> Column:
-            head = F.substr(word, F.lit(1), F.instr(word, c) - 1)
-            before = F.concat(F.when(i > 1, F.concat(w[i - 2], F.lit(" "))).otherwise(""), F.when(i > 0, F.concat(w[i - 1], F.lit(" "))).otherwise(""), head)
-            return F.struct(c.alias("candidate"), before.alias("before"), F.lit("").alias("prefix"))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: F.length(run[i]) >= MIN_LENGTH), at)
 
-        same = lambda x: F.exists(assigned, lambda a: a["candidate"] == x["candidate"]) & x["before"].rlike(NAMED + "[\"'`]?$")
-        return F.filter(F.transform(runs, placed), lambda x: ~same(x))
+    def beside(runs: Column) -> Column:
+        return let(F.struct(F.split(text, pattern).alias("gaps"), runs.alias("runs")), placed)
 
-    likely = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: w[i].rlike(LIKELY))
-    return F.flatten(F.transform(likely, at))
+    any_long = lambda runs: F.exists(runs, lambda c: F.length(c) >= MIN_LENGTH)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda runs: F.when(any_long(runs), beside(runs)).otherwise(F.array().cast(STRUCTS)))
 
 
 def findings_of(text: Column, path: Column, rules: list) -> Column:
-    """array<struct<candidate, prefix, score>> of a text, by candidate; prefix is the secret word of a value, or empty. Texts with nothing likely are not split."""
-    kind = "array<struct<candidate:string,before:string,prefix:string>>"
-    none = F.array().cast(kind)
+    """array<struct<candidate, prefix, score>> of a text, by candidate; prefix is what stands before a value or password, or empty."""
+    none = F.array().cast(STRUCTS)
 
     def judged(x: Column) -> Column:
         scored = let(F.array(*describe(x["candidate"], x["before"], path)), lambda f: score(rules, f))
         return F.struct(x["candidate"].alias("candidate"), x["prefix"].alias("prefix"), scored.alias("score"))
 
-    def all_of(assigned: Column) -> Column:
-        runs = F.when(text.rlike(LIKELY), let(words_of(text), lambda w: runs_in(w, assigned))).otherwise(none)
-        return F.array_sort(F.transform(F.concat(assigned, runs), judged))
-
-    return let(F.when(text.rlike(NAMED), assigned_in(text)).otherwise(none), all_of)
+    found = F.concat(
+        F.when(text.rlike(NAMED), assigned_in(text)).otherwise(none),
+        F.when(F.contains(text, F.lit("://")) & F.contains(text, F.lit("@")), marked_in(text, ADDRESS)).otherwise(none),
+        F.when(F.contains(text, F.lit("PRIVATE KEY-----")), marked_in(text, PRIVATE_KEY)).otherwise(none),
+        runs_in(text, RUN),
+        F.when(text.rlike(POINT), runs_in(text, DOTTED)).otherwise(none),
+    )
+    return F.array_sort(F.transform(found, judged))
 
 
 def redact(text: Column, found: Column) -> Column:
-    """Each secret replaced by MASK, longest first: values after their secret words, then those of MIN_LENGTH or more anywhere."""
-    order = lambda a, b: F.when(F.length(a["old"]) != F.length(b["old"]), F.length(b["old"]) - F.length(a["old"])).when(a < b, -1).when(a > b, 1).otherwise(0)
-    swap = lambda x, prefix: F.struct(F.concat(prefix, x["candidate"]).alias("old"), F.concat(prefix, F.lit(MASK)).alias("new"))
-    named = F.transform(F.filter(found, lambda x: x["prefix"] != ""), lambda x: swap(x, x["prefix"]))
-    long = F.transform(F.filter(found, lambda x: F.length(x["candidate"]) >= MIN_LENGTH), lambda x: swap(x, F.lit("")))
-    swaps = F.concat(F.array_sort(F.array_distinct(named), order), F.array_sort(F.array_distinct(long), order))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(swaps, text, lambda t, x: F.replace(t, x["old"], x["new"])))
+    """Each secret replaced by MASK, longest first: values after what stands before them, then those of MIN_LENGTH or more anywhere."""
+    order = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    # A prefix and its value as one string, told apart by the prefix's length in front.
+    named = F.transform(F.filter(found, lambda x: x["prefix"] != ""), lambda x: F.concat(F.length(x["prefix"]).cast("string"), F.lit(":"), x["prefix"], x["candidate"]))
+    long = F.transform(F.filter(found, lambda x: F.length(x["candidate"]) >= MIN_LENGTH), lambda x: x["candidate"])
+
+    def swap_named(t: Column, x: Column) -> Column:
+        size = F.substring_index(x, ":", 1)
+        both = F.substr(x, F.length(size) + 2)
+        return F.replace(t, both, F.concat(F.substr(both, F.lit(1), size.cast("int")), F.lit(MASK)))
+
+    swapped = F.aggregate(F.array_sort(F.array_distinct(named), order), text, swap_named)
+    masked = F.aggregate(F.array_sort(F.array_distinct(long), order), swapped, lambda t, x: F.replace(t, x, F.lit(MASK)))
+    return F.when(F.size(found) == 0, text).otherwise(masked)
 
 
 def scanned(docs: DataFrame, rules: list | None = None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """docs + _findings, _found (those that are secrets), _secrets (distinct)."""
+    """r (the whole row), findings, found (those that are secrets)."""
     rules = fitted_rules(docs.sparkSession) if rules is None else rules
-    found = docs.withColumn("_findings", findings_of(text_or_empty(), F.coalesce(F.col(path), F.lit("")), rules))
-    found = found.withColumn("_found", F.filter("_findings", lambda x: x["score"] >= threshold))
-    return found.withColumn("_secrets", F.array_distinct(F.transform("_found", lambda x: x["candidate"])))
+    found = docs.select(whole_row(docs).alias("r"), findings_of(text_or_empty(), F.coalesce(F.col(path), F.lit("")), rules).alias("findings"))
+    return found.withColumn("found", F.filter("findings", lambda x: x["score"] >= threshold))
 
 
 def scan(docs: DataFrame, rules: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_candidates, n_secrets, max_score, secrets_sha256, redacted_sha256 (null for a null text)."""
+    """doc_id, n_candidates and n_secrets (distinct strings), max_score, secrets_sha256, redacted_sha256 (null for a null text)."""
     s = scanned(docs, rules, threshold=threshold)
+    strings = lambda c: F.array_distinct(F.transform(c, lambda x: x["candidate"]))
     return s.select(
-        "doc_id",
-        F.size("_findings").cast("long").alias("n_candidates"),
-        F.size("_secrets").cast("long").alias("n_secrets"),
-        F.array_max(F.transform("_findings", lambda x: x["score"])).alias("max_score"),
-        F.sha2(F.array_join("_secrets", "\n"), 256).alias("secrets_sha256"),
-        F.sha2(redact(F.col("text"), F.col("_found")), 256).alias("redacted_sha256"),
+        F.col("r.doc_id").alias("doc_id"),
+        F.size(strings("findings")).cast("long").alias("n_candidates"),
+        F.size(strings("found")).cast("long").alias("n_secrets"),
+        F.array_max(F.transform("findings", lambda x: x["score"])).alias("max_score"),
+        F.sha2(F.array_join(strings("found"), "\n"), 256).alias("secrets_sha256"),
+        F.sha2(redact(F.col("r.text"), F.col("found")), 256).alias("redacted_sha256"),
     )
 
 
 def redact_documents(docs: DataFrame, rules: list | None = None) -> DataFrame:
     """docs with secrets masked; n_chars is counted anew where a text changed."""
-    s = scanned(docs, rules)
-    out = s.withColumn("text", redact(F.col("text"), F.col("_found")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    text = redact(F.col("r.text"), F.col("found"))
+    replaced = {"text": text, "n_chars": F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(F.col("r.n_chars")) if "n_chars" in docs.columns else None}
+    return scanned(docs, rules).select(*[replaced.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])

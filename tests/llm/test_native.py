@@ -199,9 +199,9 @@ def test_license_spellings_and_lists(spark):
 
 def test_forest_on_held_out_findings(spark):
     found = secrets.builtin_findings(spark, 4000)
-    rules = secrets.as_rules(secrets.train(found.filter("id % 2 = 0")))
+    rules = secrets.as_rules(secrets.train(found.filter("pmod(xxhash64(id), 2) = 0")))
     x = F.array(*secrets.describe(F.col("candidate"), F.col("before"), F.col("path")))
-    held = found.filter("id % 2 = 1").select("label", secrets.score(rules, x).alias("s")).collect()
+    held = found.filter("pmod(xxhash64(id), 2) = 1").select("label", secrets.score(rules, x).alias("s")).collect()
     assert sum((r["s"] >= 0.5) == (r["label"] == 1) for r in held) / len(held) > 0.97
 
 
@@ -210,7 +210,7 @@ def test_secret_scan(spark):
     texts = [f"thing of {key} to {key}", 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "see release_notes_2021 here", *EDGE]
     docs = documents(spark, texts)
     got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
-    assert [got[i]["n_secrets"] for i in range(4)] == [1, 1, 0, 0] and got[0]["n_candidates"] == 2
+    assert [got[i]["n_secrets"] for i in range(4)] == [1, 1, 0, 0] and got[0]["n_candidates"] == 1
     assert all(got[i]["n_secrets"] == 0 for i in range(4, len(texts))) and got[4]["redacted_sha256"] is None
     out = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs).collect()}
     assert out[0] == "thing of [SECRET] to [SECRET]" and out[5] == "" and out[4] is None
@@ -218,10 +218,11 @@ def test_secret_scan(spark):
 
 
 def test_planted_secrets_of_all_kinds(spark):
-    found = [r for r in secrets.builtin_findings(spark, 8000).collect() if r["id"] >= secrets.TRAINING_ROWS]
-    docs = documents(spark, [f"many words {r['before']}{r['candidate']} and more" for r in found], [r["path"] for r in found])
+    found = [r for r in secrets.builtin_findings(spark, secrets.TRAINING_ROWS + 3000).collect() if r["id"] >= secrets.TRAINING_ROWS]
+    end = lambda r: "@host" if "://" in r["before"] else "-----END" if "BEGIN" in r["before"] else ""
+    docs = documents(spark, [f"many words {r['before']}{r['candidate']}{end(r)} and more" for r in found], [r["path"] for r in found])
     out = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs).collect()}
-    hit = lambda rows: sum(r["candidate"] not in out[i] for i, r in rows) / len(rows)
+    hit = lambda rows: sum(r["candidate"].strip() not in out[i] for i, r in rows) / len(rows)
     planted = [(i, r) for i, r in enumerate(found) if r["label"] == 1]
     for part in (
         planted,
