@@ -2,7 +2,11 @@
 
 Pass one scatters whole rows by seeded hash into shards, and within a shard into
 buckets whose mean size is bounded in bytes and in rows. Pass two shuffles each
-bucket (Fisher-Yates with seeded draws) and numbers its rows. Rows are sorted
+bucket (Fisher-Yates with seeded draws), numbers its rows and writes them. A swap
+copies the bucket's list of places, so buckets are kept at some hundred rows: the
+work is then in proportion to all rows, and each row costs one bucket's list at
+most. Since rows fall to buckets at random and buckets are shuffled evenly, the
+order within a shard is a random one. Rows are sorted
 by bucket, which Spark spills, so no bucket has to fit in memory. The shard of a row depends on its id and
 the number of shards alone, by highest random weight: a new shard takes rows
 only into itself. Null texts have size 1; null ids fall to one shard.
@@ -14,6 +18,8 @@ in all columns meet. Repeated rows get slots of their own. An empty table gives
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored, whole_row
+
 SHARDS, SEED = 16, 7
 #: Mean rows and bytes of a bucket at most, which is shuffled at once.
 BUCKET_ROWS, BUCKET_BYTES = 400, 1 << 20
@@ -45,15 +51,15 @@ def fisher_yates(n: Column, *salt: Column) -> Column:
 
 def digest_of(rows: DataFrame) -> Column:
     """128 bits that follow from all columns of a row; nulls count by their place."""
-    columns = [x for c in rows.columns for x in (F.col(c), F.isnull(c))]
+    columns = [x for c in rows.columns for x in (F.col(f"`{c}`"), F.isnull(f"`{c}`"))]
     return F.struct(*[F.xxhash64(F.lit(i), *columns).alias(f"h{i}") for i in range(2)])
 
 
 def bytes_of(rows: DataFrame) -> Column:
     """About the bytes of a row: its strings and binary values, or its JSON form where other columns vary in length, and 8 for each column."""
     kinds = dict(rows.dtypes)
-    nested = [c for c, k in kinds.items() if k.startswith(("array", "struct", "map"))]
-    plain = [F.octet_length(c) for c, k in kinds.items() if k in ("string", "binary")]
+    nested = [f"`{c}`" for c, k in kinds.items() if k.startswith(("array", "struct", "map"))]
+    plain = [F.octet_length(f"`{c}`") for c, k in kinds.items() if k in ("string", "binary")]
     sizes = plain + ([F.octet_length(F.to_json(F.struct(*nested)))] if nested else [])
     return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(8 * len(kinds)).cast("long"))
 
@@ -62,7 +68,7 @@ def dealt_rows(rows: DataFrame, shards: int, seed: int, bucket_rows: int, bucket
     """r (a whole row as a struct), shard, slot; slots are gapless from 0 in each shard."""
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(bytes_of(rows)), F.lit(0))).first()
     buckets = max(1, round(n / shards / bucket_rows), -(-size // (shards * bucket_bytes)))
-    digest = rows.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), digest_of(rows).alias("digest"), F.struct(*rows.columns).alias("r"))
+    digest = rows.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), digest_of(rows).alias("digest"), whole_row(rows).alias("r"))
     placed = digest.withColumn("bucket", bucket_of([F.col("digest.h0"), F.col("digest.h1")], buckets, seed))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n"))
@@ -80,8 +86,9 @@ def shuffle_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: of the whole documents as they lie in their shards."""
-    out = dealt_rows(docs, shards, seed, BUCKET_ROWS, BUCKET_BYTES).select("shard", "slot", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"))
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard: read from the written shards of whole documents."""
+    written = stored(dealt_rows(docs, shards, seed, BUCKET_ROWS, BUCKET_BYTES))
+    out = written.select("shard", "slot", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"))
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     size, crc = (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32")
     grown = shard_of(F.col("doc_id"), shards + 1, seed).cast("int")
