@@ -1,6 +1,12 @@
-"""A training-corpus pipeline: rules, near duplicates, secrets, mixing, packing."""
+"""A training-corpus pipeline: rules, near duplicates, secrets, mixing, packing.
 
-from pyspark.sql import functions as F
+All stages but the last take and return the columns of the documents, whatever
+other columns there are and however they are named. Null texts have no words, so
+the first stage removes them; null sources are one host and one source. Of rows
+that repeat an id and a text, the near duplicates keep one; rows that share an id
+but not their text are documents of their own in every stage. Ties are broken by
+the least id, then by the text's digest. An empty table passes all stages.
+"""
 
 from tessera.llm import jaccard, mixing, packing, quality, secrets
 from tessera.llm.common import read, stored
@@ -27,10 +33,7 @@ def secret_scan(spark, docs, sf_dir):
 
 def source_mix(spark, docs, sf_dir):
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix_documents(docs).filter("taken > 0")
-    times = mixed.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    joined = docs.join(times.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return mixing.mixed_copies(docs)
 
 
 def packed(spark, docs, sf_dir):
