@@ -4,9 +4,11 @@ Documents with equal shingle sets form one class. Shingles are ordered rare
 first; two sets can only be similar enough if they share a shingle of their
 prefixes, at places and with lengths that leave room for the overlap. In large
 groups that share a prefix shingle, all members are first compared with a few
-pivots, which links most of such a group in linear work; all pairs that are
-still in different components are then compared one by one. Each pair is
-verified once, on its whole sets.
+pivots, which links most of such a group in linear work. All pairs that are
+still in different components are then put to the length, positional and suffix
+filters inside the task that holds the group, so none leaves it unfiltered; a
+large group is dealt to tasks in pairs of blocks. Each pair is verified once, on
+its whole sets.
 
 Null and wordless texts have empty sets and link with nothing. Repeated rows
 and repeated ids are rows of the same class. Other columns are ignored. An
@@ -19,17 +21,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dropped, stored
 from tessera.llm.components import components
 
 #: Shingle counts are kept in this many cells, a fixed size for any corpus; they only order shingles.
 CELL_BITS, CHUNKS = 19, 256
 #: Groups of more rows are first compared with so many pivots, in so many rounds. No pair is left out by this.
 LARGE_GROUP, PIVOTS, ROUNDS = 16, 8, 2
+#: Tasks that the classes of one component are dealt to when they look up its least id.
+SALTS = 8
 #: Ranges of hash in which a set's members are counted for the suffix filter.
 RANGE_BITS = 6
-#: Rows compared with one pivot in one task.
-PIVOT_ROWS = 512
+#: Rows compared with one pivot in one task; rows of a block of a group, and cells of a filter's array at once.
+PIVOT_ROWS, BLOCK_ROWS, CELLS = 512, 1024, 1 << 20
 #: Hashes of words that a worker remembers, and shingles that it gathers before it counts them: bounds of its memory.
 WORD_CACHE, COUNT_AT = 100_000, 1 << 18
 
@@ -253,35 +257,112 @@ def _fresh(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left_anti")
 
 
+def close_rows(n: np.ndarray, pos: np.ndarray, root: np.ndarray, ranges: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """(left, right) rows of one shingle, in different components, whose overlap can be large enough by length, place and ranges of hash."""
+    found = []
+    step = max(1, CELLS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i = left[at : at + step][:, None]
+        j = right[None, :]
+        both = n[i] + n[j]
+        need = -(-both * percent // (100 + percent))
+        fits = (root[i] != root[j]) & (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        if left is right:
+            fits &= i < j
+        x, y = np.nonzero(fits)
+        need = need[x, y]
+        x, y = left[at + x], right[y]
+        for part in range(0, len(x), CELLS // 64):
+            p, q = x[part : part + CELLS // 64], y[part : part + CELLS // 64]
+            most = np.minimum(ranges[p], ranges[q]).sum(axis=1, dtype=np.int64)
+            good = most >= need[part : part + CELLS // 64]
+            found.append((p[good], q[good]))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none
+    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+
+
+def _close_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of open_(token, c, nid, n, pos, root, ranges) that pass all filters; c counts the rows of the token.
+
+    A group of more than BLOCK_ROWS rows is dealt in blocks, and each pair of
+    blocks is a task's group of its own; rows travel once for each block.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
+    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("nid", "token"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = other.select("token", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "nid", "n", "pos", "root", "ranges")
+
+    def judge(t: pa.Table):
+        block, nid = t.column("block").to_numpy(), t.column("nid").to_numpy()
+        n, pos, root = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "root"))
+        lists = t.column("ranges").combine_chunks()
+        ranges = lists.flatten().to_numpy().reshape(len(n), -1)
+        key = [t.column(c).to_numpy() for c in ("token", "lo", "hi")]
+        cuts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in key], axis=0), [True])))
+        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = np.arange(at, end)
+            lo, hi = key[1][at], key[2][at]
+            left = rows[block[at:end] == lo]
+            right = left if lo == hi else rows[block[at:end] == hi]
+            p, q = close_rows(n, pos, root, ranges, left, right, percent)
+            if len(p):
+                a, b = np.minimum(nid[p], nid[q]), np.maximum(nid[p], nid[q])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = np.ones(t.num_rows, bool)
+            for c in ("token", "lo", "hi"):
+                v = t.column(c).to_numpy()
+                last &= v == v[-1] if len(v) else last
+            whole = int(np.flatnonzero(~last)[-1]) + 1 if (~last).any() else 0
+            if whole:
+                yield from judge(t.slice(0, whole))
+            rest = t.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield from judge(rest)
+
+    return keyed.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over the classes that have links."""
     tokens = classes.select("nid", "n", F.posexplode("prefix").alias("pos", "token"))
     groups = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    members = stored(tokens.join(groups, "token"))
-    own = members.groupBy("nid", "n").agg(F.count("*").alias("c")).select("nid", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("c")).alias("own"))
-    members = stored(members.join(own, "nid"))
+    shared = stored(tokens.join(groups, "token"))
+    own = shared.groupBy("nid", "n").agg(F.count("*").alias("c")).select("nid", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("c")).alias("own"))
+    members = stored(shared.join(own, "nid"))
+    dropped(shared)
     near = members.select("nid").distinct()
     texts = _texts(docs, near.join(classes.select("nid", "text_key"), "nid"))
     links = found = done = None
+    held = []
     for turn in range(ROUNDS):
         pairs = _fresh(_pivot_pairs(_rooted(members, found), turn, percent), done)
         pairs = stored(_suffix_filter(pairs, classes, percent))
+        held.append(pairs)
         if pairs.isEmpty():
             break
         more = stored(_verify(pairs, texts, size, percent))
+        held.append(more)
         links = more if links is None else links.unionByName(more)
         done = pairs if done is None else done.unionByName(pairs)
+        dropped(found)
         found = components(links)
     # What is left: rows of one shingle that are still in different components.
     at = _rooted(members, found)
-    split = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    open_ = stored(at.join(split, "token"))
-    others = open_.select("token", F.col("nid").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
-    apart = open_.join(others, "token").filter((F.col("nid") < F.col("other")) & (F.col("root") != F.col("other_root")) & _room(percent))
-    rest = apart.select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
-    rest = stored(_suffix_filter(_fresh(rest, done), classes, percent))
+    split = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("token", "c")
+    open_ = at.join(split, "token").join(classes.select("nid", "ranges"), "nid")
+    rest = stored(_fresh(_close_pairs(open_, percent), done))
     more = _verify(rest, texts, size, percent)
-    return components(more if links is None else links.unionByName(more))
+    out = components(more if links is None else links.unionByName(more))
+    dropped(members, texts, rest, found, *held)
+    return out
 
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -292,9 +373,13 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     roots = link_classes(docs, classes, size, percent)
     least = light.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     named = classes.select("nid", "set_key").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-    named = named.select("set_key", F.coalesce("root", "nid").alias("root")).join(least, "set_key")
-    whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = stored(named.join(whole, "root").select("set_key", "root", "component_id"))
+    named = stored(named.select("set_key", F.coalesce("root", "nid").alias("root"), F.col("root").isNotNull().alias("linked")).join(least, "set_key"))
+    # Only classes with links look their component up; those of one component are dealt to SALTS tasks.
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    whole = named.filter("linked").groupBy("root").agg(F.min("least").alias("component_id")).select("root", "component_id", salt)
+    linked = named.filter("linked").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(SALTS))).join(whole, ["root", "salt"]).select("set_key", "root", "component_id")
+    by_set = stored(linked.unionByName(named.filter("not linked").select("set_key", "root", F.col("least").alias("component_id"))))
+    dropped(classes, named, roots)
     worded = F.col("n_shingles") > 0
     return light.join(by_set, "set_key", "left").select("doc_id", "n_shingles", "text_key", F.when(worded, F.col("root")).alias("root"), F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.llm import jaccard
 from tessera.llm.components import components
 
@@ -76,3 +78,43 @@ def test_keep_one_of_repeated_rows_and_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
     got = sorted((tuple(r) for r in jaccard.keep_one(docs, 2).collect()), key=str)
     assert [(d, t.lower() if t else t, k) for d, t, k in got] == [(2, "a b c d", "k"), (2, "e f g h", "m"), (9, None, None), (9, None, None), (None, "q r s", "n"), (None, "t u v", "o")]
+
+
+def test_texts_of_few_words(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcde", k=250)) for _ in range(400)]
+    texts += [" ".join([*t.split()[:248], "a", "b"]) for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    formed = []
+    plain = jaccard._close_pairs
+
+    def watched(open_, percent):
+        out = plain(open_, percent)
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_close_pairs", watched)
+    want = brute(texts, 3, 90)
+    assert sorted(tuple(r) for r in jaccard.similar_documents(docs).collect()) == want
+    assert formed[0] < len(texts) ** 2 / 2 / 50
+    # Groups dealt in many blocks lose no pair.
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "CELLS", 64)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    assert sorted(tuple(r) for r in jaccard.similar_documents(docs).collect()) == want
+
+
+def test_close_rows_keeps_what_can_link():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(5)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) < 0.95], rng.integers(0, 2**63, 2).astype(np.uint64)])) for s in sets for _ in range(8)]
+    n, pos, root = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64), np.arange(len(sets))
+    rows = np.arange(len(sets))
+    p, q = jaccard.close_rows(n, pos, root, np.array([jaccard.range_counts(s) for s in sets]), rows, rows, 80)
+    found = set(zip(p.tolist(), q.tolist(), strict=True))
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= 80 * (n[i] + n[j] - inter):
+                assert (i, j) in found
+    assert len(found) < len(sets) ** 2 / 4
