@@ -1,16 +1,20 @@
 """Exact cosine links between embeddings, by dual traversal of cover trees.
 
 Equal vectors form one class with a multiplicity. Classes are dealt into blocks
-of bounded size, near ones together. Each block gets a cover tree: nested
-levels whose centres lie at least a radius apart and cover their members within
-it, radii halving from level to level. Pairs of blocks walk two trees at once:
-a pair of nodes is dropped when even its nearest members could not link, taken
-whole when even its farthest ones must, and else split; single pairs are
-decided by their cosine in double precision.
+around pivots, each with a centre and a covering radius. A vector is sent to a
+block's task only where the distance to the block's centre leaves room for a
+link, so blocks apart from each other never meet. Each block gets a cover tree:
+a root, and nested levels whose centres lie at least a radius apart and cover
+their members within it, radii halving from level to level. Pairs of blocks walk
+two trees at once, both nodes being split together: a pair of nodes is dropped
+when even its nearest members could not link, taken whole when even its farthest
+ones must, and else split; single pairs are decided by their cosine in double
+precision.
 
 Vectors that are null, zero, or hold null or non-finite components link with
-nothing. Repeated rows and ids are vectors. Other columns are ignored. An empty
-table gives no rows.
+nothing; neither do vectors of different lengths. Repeated rows and ids are
+vectors: rows that share an id each count, and share a component if they link.
+Other columns are ignored. An empty table gives no rows.
 """
 
 import numpy as np
@@ -22,11 +26,10 @@ from tessera.llm.common import stored
 from tessera.llm.components import components
 
 THRESHOLD = 0.9
-#: Classes of a block, and the pivots that gather near classes.
-BLOCK_ROWS, PIVOTS = 8192, 16
-#: Radii of the levels, as distances of unit vectors. Nodes of radius 1 and more reach past orthogonal vectors and
-#: could prune nothing, so the walk starts at the level below them.
-RADII = (0.5, 0.25, 0.125)
+#: Classes of a block; vectors that pivots are chosen from, and pivots at most.
+BLOCK_ROWS, SAMPLE, MAX_PIVOTS = 8192, 8192, 1024
+#: Radii of the levels below the root, as distances of unit vectors.
+RADII = (1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-4
 
 
@@ -74,33 +77,40 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Nodes of a cover tree over unit rows: centre, covering radius, members, children."""
+    """Nodes of a cover tree over unit rows: centre, covering radius, members, children. Node 0 is the root."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.members: list[np.ndarray] = []
-        self.children: list[list[int]] = []
-        self.top = self._split(np.arange(len(x)), 0)
-
-    def _split(self, rows: np.ndarray, level: int) -> list[int]:
+        self.children: list[np.ndarray] = []
+        rows = np.arange(len(x))
+        self._add(int((x @ x.sum(axis=0)).argmax()), rows)
+        self.children[0] = self._split(rows, 0)
+        self.centres = x[self.centre].astype(np.float32)
+        self.radii = np.array(self.radius)
+
+    def _add(self, centre: int, own: np.ndarray) -> int:
+        far = float(np.sqrt(max(0.0, (2 - 2 * (self.x[own] @ self.x[centre])).max()))) if len(own) > 1 else 0.0
+        self.centre.append(centre)
+        self.radius.append(far)
+        self.members.append(own)
+        self.children.append(np.empty(0, np.int64))
+        return len(self.centre) - 1
+
+    def _split(self, rows: np.ndarray, level: int) -> np.ndarray:
         centres, owner = net(self.x[rows], RADII[level])
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
         out = []
         for k, c in enumerate(rows[centres].tolist()):
             own = rows[order[cuts[k] : cuts[k + 1]]]
-            far = float(np.sqrt(max(0.0, (2 - 2 * (self.x[own] @ self.x[c])).max()))) if len(own) > 1 else 0.0
-            node = len(self.centre)
-            self.centre.append(c)
-            self.radius.append(far)
-            self.members.append(own)
-            self.children.append([])
+            node = self._add(c, own)
             if len(own) > 1 and level + 1 < len(RADII):
                 self.children[node] = self._split(own, level + 1)
             out.append(node)
-        return out
+        return np.array(out, np.int64)
 
 
 def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, same: bool, threshold: float = THRESHOLD):
@@ -139,25 +149,22 @@ def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, raw_a: np.ndarray, ra
         edges.extend(zip(p[rows].tolist(), q[of_row[rows]].tolist(), strict=True))
         edges.extend(zip(p[some[of_col[cols]]].tolist(), q[cols].tolist(), strict=True))
 
-    def pairs(na: list[int], nb: list[int]) -> list[tuple[int, int]]:
+    def pairs(na: np.ndarray, nb: np.ndarray) -> list[tuple[int, int]]:
         """Node pairs that are not pruned by their covering radii."""
         found = []
-        xb = b.x[[b.centre[n] for n in nb]].astype(np.float32)
-        rb = np.array([b.radius[n] for n in nb], np.float32)
+        xb, rb = b.centres[nb], b.radii[nb].astype(np.float32)
         for at in range(0, len(na), 1024):
             part = na[at : at + 1024]
-            xa = a.x[[a.centre[n] for n in part]].astype(np.float32)
-            ra = np.array([a.radius[n] for n in part], np.float32)
-            cos = xa @ xb.T
+            ra = a.radii[part].astype(np.float32)
+            cos = a.centres[part] @ xb.T
             most = float(ra.max() + rb.max()) + eps + SLACK
             i, j = np.nonzero(cos >= np.float32(1 - most * most / 2 - SLACK))
             reach = ra[i] + rb[j] + np.float32(eps + SLACK)
             near = cos[i, j] >= 1 - reach * reach / 2 - SLACK
-            i, j = i[near], j[near]
-            found += [(part[x], nb[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            found += zip(part[i[near]].tolist(), nb[j[near]].tolist(), strict=True)
         return found
 
-    stack = pairs(a.top, b.top)
+    stack = [(0, 0)]
     while stack:
         m, n = stack.pop()
         p, q = a.members[m], b.members[n]
@@ -167,12 +174,10 @@ def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, raw_a: np.ndarray, ra
             continue
         if d + reach < eps - SLACK:
             whole(p, q, wa, wb, ca, cb, edges, same)
-        elif not a.children[m] and not b.children[n] or len(p) * len(q) <= 64:
+        elif not len(a.children[m]) and not len(b.children[n]) or len(p) * len(q) <= 64:
             exact(p, q)
-        elif a.children[m] and (a.radius[m] >= b.radius[n] or not b.children[n]):
-            stack += [(c, n) for c in a.children[m]]
         else:
-            stack += [(m, c) for c in b.children[n]]
+            stack += pairs(a.children[m] if len(a.children[m]) else np.array([m]), b.children[n] if len(b.children[n]) else np.array([n]))
     return ca, cb, edges
 
 
@@ -206,32 +211,74 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(classes: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    """classes + block. Pivots are a bounded sample; cells of one pivot are cut by hash where they are too large."""
-    sample = classes.orderBy(F.xxhash64("nid")).limit(PIVOTS).select("embedding").collect()
+def far_apart(x: np.ndarray, k: int) -> np.ndarray:
+    """k rows, each farthest from those before."""
+    chosen, cos = [0], x @ x[0]
+    while len(chosen) < min(k, len(x)):
+        nxt = int(cos.argmin())
+        if cos[nxt] >= 1 - 1e-9:
+            break
+        chosen.append(nxt)
+        cos = np.maximum(cos, x @ x[nxt])
+    return x[chosen]
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y.T)))
+
+
+def choose_pivots(sample: np.ndarray, n: int, block_rows: int, eps: float) -> np.ndarray:
+    """Pivots by a bounded sample: as many as blocks are needed, or more of them where vectors would then be sent to fewer tasks in all."""
+    need, best = max(1, -(-n // block_rows)), None
+    for k in sorted({min(MAX_PIVOTS, need), min(MAX_PIVOTS, 4 * need), min(MAX_PIVOTS, 16 * need), min(MAX_PIVOTS, 64 * need)}):
+        pivots = far_apart(sample, k)
+        d = distances(sample, pivots)
+        cell = d.argmin(axis=1)
+        radius = np.zeros(len(pivots))
+        np.maximum.at(radius, cell, d[np.arange(len(sample)), cell])
+        parts = np.maximum(1, np.ceil(np.bincount(cell, minlength=len(pivots)) / len(sample) * n / block_rows))
+        sent = ((d <= radius + eps) * parts).sum() / len(sample)
+        if best is None or sent < best[0] * 0.9:
+            best = (sent, pivots)
+    return best[1]
+
+
+CELLED = "nid long, weight long, embedding array<double>, cell int, far double"
+
+
+def _cells(classes: DataFrame, block_rows: int, eps: float) -> tuple[DataFrame, np.ndarray, int]:
+    """classes + cell (its nearest pivot's) and far (the distance to it); pivots; their length. Vectors of other lengths have cell -1."""
+    n = classes.count()
+    sample = classes.orderBy(F.xxhash64("nid")).limit(SAMPLE).select("embedding").collect() if n else []
     if not sample:
-        return classes.withColumn("block", F.lit(0)), 0
-    width = max(len(r["embedding"]) for r in sample)
-    fit = lambda e: np.pad(np.asarray(e, np.float64)[:width], (0, max(0, width - len(e))))
-    pivots = unit(np.array([fit(r["embedding"]) for r in sample]))
+        return classes, np.empty((0, 0)), 0
+    lengths = [len(r["embedding"]) for r in sample]
+    width = max(sorted(set(lengths)), key=lengths.count)
+    rows = np.array([r["embedding"] for r in sample if len(r["embedding"]) == width], np.float64)
+    pivots = choose_pivots(unit(rows / np.abs(rows).max(axis=1, keepdims=True)), n, block_rows, eps)
 
     def run(batches):
         for batch in batches:
-            rows = np.array([fit(e) for e in batch.column("embedding").to_pylist()]).reshape(-1, width)
-            scale = np.abs(rows).max(axis=1, keepdims=True, initial=0)
-            cell = (rows / np.where(scale > 0, scale, 1) @ pivots.T).argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
-
-    celled = stored(classes.mapInArrow(run, "nid long, weight long, embedding array<double>, cell int"))
-    base, first = 0, {}
-    for r in celled.groupBy("cell").count().orderBy("cell").collect():
-        n = max(1, round(r["count"] / block_rows + 0.49))
-        first[r["cell"]] = (base, n)
-        base += n
-    starts = F.create_map(*[x for k, (s, _) in first.items() for x in (F.lit(k), F.lit(s))])
-    sizes = F.create_map(*[x for k, (_, n) in first.items() for x in (F.lit(k), F.lit(n))])
-    block = starts[F.col("cell")] + F.pmod(F.xxhash64("nid", F.lit("block")), sizes[F.col("cell")].cast("long"))
-    return celled.withColumn("block", block.cast("int")).drop("cell"), base
+            x, at = _matrix(batch.column("embedding"), width)
+            cell, far = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            if len(at):
+                d = distances(x, pivots)
+                cell[at] = d.argmin(axis=1)
+                far[at] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["nid", "weight", "embedding", "cell", "far"])
+
+    return stored(classes.select("nid", "weight", "embedding").mapInArrow(run, CELLED)), pivots, width
+
+
+def _matrix(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the vectors of one length, and their places."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy()
+    at = np.flatnonzero(np.diff(ends) == width)
+    if not len(at):
+        return np.empty((0, width)), at
+    x = flat[ends[at][:, None] + np.arange(width)]
+    return unit(x / np.abs(x).max(axis=1, keepdims=True)), at
 
 
 OUT = "nid long, links long, other long"
@@ -239,13 +286,44 @@ OUT = "nid long, links long, other long"
 
 def link_counts(classes: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(nid, links, null) with links to other classes' vectors, and (nid, null, other) edges that span the links."""
-    dealt, blocks = _blocks(classes, block_rows)
-    if not blocks:
+    eps = float(np.sqrt(2 - 2 * threshold))
+    celled, pivots, width = _cells(classes, block_rows, eps)
+    if not width:
         return classes.sparkSession.createDataFrame([], OUT)
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    paired = dealt.select("nid", "weight", "embedding", "block", other.alias("o")).select(
-        "nid", "weight", "embedding", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi")
-    )
+    # A cell's blocks share its centre and covering radius; there are MAX_PIVOTS cells at most.
+    first, parts, radius, base = {}, {}, np.zeros(len(pivots)), 0
+    for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("cell").collect():
+        first[r["cell"]], parts[r["cell"]] = base, -(-r["n"] // block_rows)
+        base += parts[r["cell"]]
+        if r["cell"] >= 0:
+            radius[r["cell"]] = r["far"]
+    known = sorted(c for c in first if c >= 0)
+    centres, reach = pivots[known], radius[known] + eps + SLACK
+    others = [[first[c] + i for i in range(parts[c])] for c in known]
+
+    def sent(batches):
+        for batch in batches:
+            cell, nid = batch.column("cell").to_numpy(), batch.column("nid").to_numpy()
+            x, at = _matrix(batch.column("embedding"), width)
+            near = np.zeros((batch.num_rows, len(known)), bool)
+            if len(at):
+                near[at] = distances(x, centres) <= reach
+            rows, lo, hi, own = [], [], [], []
+            for i in range(batch.num_rows):
+                c = int(cell[i])
+                block = first[c] + int(_mix_one(int(nid[i])) % parts[c])
+                for o in [first[-1] + k for k in range(parts[-1])] if c < 0 else [o for k in np.flatnonzero(near[i]) for o in others[k]]:
+                    rows.append(i)
+                    own.append(block)
+                    lo.append(min(block, o))
+                    hi.append(max(block, o))
+                if len(rows) > 20_000:
+                    yield _dealt(batch, rows, own, lo, hi)
+                    rows, lo, hi, own = [], [], [], []
+            if rows:
+                yield _dealt(batch, rows, own, lo, hi)
+
+    paired = celled.mapInArrow(sent, "nid long, weight long, embedding array<double>, block int, lo int, hi int")
 
     def run(key, table):
         lo, hi = key[0].as_py(), key[1].as_py()
@@ -290,6 +368,17 @@ def link_counts(classes: DataFrame, threshold: float = THRESHOLD, block_rows: in
     return stored(paired.groupBy("lo", "hi").applyInArrow(run, OUT))
 
 
+def _mix_one(x: int) -> int:
+    x = (x ^ (x >> 31)) * 0x7FB5D329728EA185 & (2**64 - 1)
+    return x ^ (x >> 27)
+
+
+def _dealt(batch, rows, own, lo, hi):
+    picked = batch.take(pa.array(rows))
+    kinds = [pa.array(v, pa.int32()) for v in (own, lo, hi)]
+    return pa.RecordBatch.from_arrays([picked.column("nid"), picked.column("weight"), picked.column("embedding"), *kinds], ["nid", "weight", "embedding", "block", "lo", "hi"])
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     e = F.transform("embedding", lambda x: x.cast("double"))

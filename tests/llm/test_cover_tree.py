@@ -56,5 +56,48 @@ def test_tree_covers():
     for node in range(len(t.centre)):
         d = np.linalg.norm(x[t.members[node]] - x[t.centre[node]], axis=1)
         assert d.max() <= t.radius[node] + 1e-6
-        if t.children[node]:
+        if len(t.children[node]):
             assert sorted(np.concatenate([t.members[c] for c in t.children[node]])) == sorted(t.members[node])
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    rows = [(5, base.tolist()), (5, base.tolist()), (5, (base * 2).tolist()), (3, (base + 0.01).tolist()), (None, base.tolist()), (9, rng.normal(size=8).tolist())]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, nid int, component_id int")
+    got = sorted((tuple(r) for r in C.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 4, 3, False)] * 3 + [(3, 4, 3, True), (None, 4, 3, False), (9, 0, 9, True)], key=str)
+
+
+def clustered(n, dim=32, clusters=24):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(clusters, dim))
+    return [(centres[i % clusters] + rng.normal(size=dim) * rng.choice([0.02, 0.1, 0.2])).tolist() for i in range(n)]
+
+
+def test_blocks_apart_never_meet(spark):
+    rows = clustered(1500)
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in C.near_duplicates(df, block_rows=64).collect())
+    assert got == brute(rows)
+    x = C.unit(np.array(rows, np.float32).astype(float))
+    pivots = C.choose_pivots(x, len(x), 64, 0.4473)
+    d = C.distances(x, pivots)
+    cell = d.argmin(axis=1)
+    radius = np.array([d[cell == k, k].max(initial=0) for k in range(len(pivots))])
+    share = (d <= radius + 0.4473).mean()
+    print("share of vectors and cells that meet:", share)
+    assert share < 0.15
+
+
+def test_walk_prunes():
+    x, y = C.unit(np.array(clustered(600))), C.unit(np.array(clustered(600))[::-1] * -1)
+    a, b = C.Tree(x), C.Tree(y)
+    ones = np.ones(600, np.int64)
+    for p, q, same in ((a, a, True), (a, b, False)):
+        cos = p.x @ q.x.T >= 0.9
+        if same:
+            np.fill_diagonal(cos, False)
+        ca, cb, edges = C.dual(p, q, ones, ones, p.x, q.x, same)
+        assert (ca == cos.sum(axis=1)).all() and (same or (cb == cos.sum(axis=0)).all())
+        assert all(cos[i, j] or (same and i == j) for i, j in edges)
