@@ -24,18 +24,35 @@ def round_f16(x: Column) -> Column:
 
 
 def div_floor(x: Column, n: int) -> Column:
-    """Integer quotient of a non-negative id."""
-    return F.floor(x / F.lit(n)).cast("long")
+    """Integer quotient of an id, rounded down; exact for all ids, as no doubles are used."""
+    x = x.cast("long")
+    return F.call_function("div", x - F.pmod(x, F.lit(n)), F.lit(n))
 
 
 def ceil_div(x: Column, n: int) -> Column:
-    return F.floor((x + (n - 1)) / F.lit(n)).cast("long")
+    return -div_floor(-x.cast("long"), n)
 
 
 def round_up(x: Column, n: int = BLOCK) -> Column:
     return ceil_div(x, n) * n
 
 
+def round_exact(x: Column, places: int) -> Column:
+    """x rounded to so many places by the exact value of the double, ties to even, as printf does.
+
+    x is split in two halves whose products with 2 * 10^places are exact, so the
+    comparison with the middle between two candidates is exact too.
+    """
+    scale = 10.0**places
+    mag = F.abs(x)
+    wide = mag * 134217729.0
+    high = wide - (wide - mag)
+    below = F.floor(mag * scale)
+    over = (high * (2 * scale) - (below * 2 + 1)) + (mag - high) * (2 * scale)
+    up = (over > 0) | ((over == 0) & (below % 2 == 1))
+    return F.signum(x) * (below + up.cast("int")) / scale
+
+
 def dense_b_value(k: Column, n: Column) -> Column:
     """The deterministic integer entries 1..10 of the synthetic dense operand."""
     return (F.lit(1) + (k * 31 + n * 17) % 10).cast("double")

@@ -1,25 +1,30 @@
 """Distributed running sums."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import div_floor
+
 STRIDE = 1 << 16
 
 
-def running_start(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Adds the sum of `value` over all rows with a smaller `key` (unique, non-negative).
+def running_start(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds the sum of `value` over all rows with a smaller `key` (unique, non-negative), within each group of `by`.
 
     Two levels: sums of key ranges of STRIDE keys, a running sum over that small
     table, then a window inside each range. No task sees more than STRIDE keys,
-    so no global sort of the whole table meets in one task.
+    so no global sort of the whole table, or of one large group, meets in one task.
     """
-    tagged = df.withColumn("_range", F.floor(F.col(key) / STRIDE))
-    sums = tagged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    by = list(by)
+    tagged = df.withColumn("_range", div_floor(F.col(key), STRIDE))
+    sums = tagged.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        tagged.join(base, "_range")
+        tagged.join(base, [*by, "_range"])
         .withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
         .drop("_range", "_base")
     )

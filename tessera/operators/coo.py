@@ -1,6 +1,6 @@
 """Coordinate matrices: DataFrame(row long, col long, val double), the canonical form."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import round_f16
@@ -38,12 +38,10 @@ def count_out_of_bounds(coo: DataFrame, m: int, k: int) -> DataFrame:
     return coo.agg(F.count_if(bad).alias("dropped"), F.count("*").alias("total"))
 
 
-def expand_symmetry(coo: DataFrame, sign: float = 1.0) -> DataFrame:
-    """Adds the mirrored entry of each off-diagonal one (sign -1 for skew)."""
-    mirror = coo.filter("row <> col").select(
-        F.col("col").alias("row"), F.col("row").alias("col"), (F.col("val") * sign).alias("val")
-    )
-    return coo.select("row", "col", "val").unionByName(mirror)
+def expand_symmetry(coo: DataFrame, sign: float | Column = 1.0) -> DataFrame:
+    """Adds the mirrored entry of each off-diagonal one (sign -1 for skew). Keeps all columns."""
+    mirror = coo.filter("row <> col").withColumns({"row": F.col("col"), "col": F.col("row"), "val": F.col("val") * sign})
+    return coo.unionByName(mirror)
 
 
 def to_f16(coo: DataFrame) -> DataFrame:

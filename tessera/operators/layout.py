@@ -1,6 +1,6 @@
 """Derived layouts: row-compressed, blocked, and column-condensed blocks."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import BLOCK, ceil_div, div_floor, fill_fraction, fill_mean, fill_per_block
@@ -54,7 +54,7 @@ def _densify(cells: DataFrame, keys: list[str], block: int) -> DataFrame:
 def condensed_positions(coo: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rw, col, pos): place of each distinct column among its window's sorted columns."""
     cols = coo.select(div_floor(F.col("row"), block).alias("rw"), "col").distinct()
-    return cols.withColumn("pos", (F.row_number().over(Window.partitionBy("rw").orderBy("col")) - 1).cast("long"))
+    return running_start(cols.withColumn("one", F.lit(1)), "col", "one", "pos", by=["rw"]).select("rw", "col", "pos")
 
 
 def condensed_window_blocks(coo: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -87,8 +87,7 @@ def gather_list(coo: DataFrame, block: int = BLOCK) -> DataFrame:
 def condensed_cells(coo: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rw, blk, off, col, val): entries at their place in condensed blocks; repeats added up."""
     cells = coo.groupBy("row", "col").agg(F.sum("val").alias("val")).withColumn("rw", div_floor(F.col("row"), block))
-    pos = F.dense_rank().over(Window.partitionBy("rw").orderBy("col")) - 1
-    return cells.withColumn("pos", pos).select(
+    return cells.join(condensed_positions(coo, block), ["rw", "col"]).select(
         "rw",
         div_floor(F.col("pos"), block).alias("blk"),
         ((F.col("row") % block) * block + F.col("pos") % block).cast("int").alias("off"),

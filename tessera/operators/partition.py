@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import div_floor
 from tessera.functions.prefix import running_start
 
 
@@ -20,19 +21,20 @@ def core_split(window_blocks: DataFrame, cores: int = 24) -> DataFrame:
         F.coalesce(F.sum("nblocks"), F.lit(0)).alias("total"), F.coalesce(F.max("rw") + 1, F.lit(0)).alias("n")
     )
     c = F.col("core")
-    base, extra = F.floor(F.col("total") / cores), F.col("total") % cores
+    base, extra = div_floor(F.col("total"), cores), F.col("total") % cores
     bounds = spark.range(cores).withColumnRenamed("id", "core").join(total).select(
         c.cast("int").alias("core"),
         "n",
         (c * base + F.least(c, extra)).alias("g0"),
         ((c + 1) * base + F.least(c + 1, extra)).alias("g1"),
     )
-    busy = bounds.filter("g1 > g0")
+    # One row for each core, so it may be broadcast.
+    busy = F.broadcast(bounds.filter("g1 > g0"))
     at = starts.filter("nblocks > 0")
-    first = busy.join(at, (F.col("g0") >= F.col("start")) & (F.col("g0") < F.col("start") + F.col("nblocks"))).select(
+    first = at.join(busy, (F.col("g0") >= F.col("start")) & (F.col("g0") < F.col("start") + F.col("nblocks"))).select(
         "core", F.col("rw").alias("rw_first"), (F.col("g0") - F.col("start")).alias("blk_start")
     )
-    last = busy.join(at, (F.col("g1") > F.col("start")) & (F.col("g1") <= F.col("start") + F.col("nblocks"))).select(
+    last = at.join(busy, (F.col("g1") > F.col("start")) & (F.col("g1") <= F.col("start") + F.col("nblocks"))).select(
         "core", (F.col("rw") + 1).alias("rw_end"), (F.col("g1") - F.col("start")).alias("blk_end")
     )
     previous_end = F.coalesce(F.lag("rw_end").over(Window.orderBy("core")), F.lit(0))

@@ -1,10 +1,14 @@
 """Analytics over performance records."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round_exact
+
 # Speedups beyond these count as a change.
 IMPROVED, REGRESSED = 1.005, 0.995
+# Columns of a log that a comparison carries along.
+CARRIED = ("m", "block_num")
 
 
 def by_group(df: DataFrame, group: str = "category", value: str = "perf_us") -> DataFrame:
@@ -20,30 +24,90 @@ def with_grand_total(df: DataFrame, group: str = "category", value: str = "perf_
 
 
 def compare(base: DataFrame, opt: DataFrame, keys=("category", "sample"), value: str = "perf_us") -> DataFrame:
-    """(keys, base, opt, diff, speedup, verdict) for the samples on both sides."""
+    """(keys, base, opt, diff, speedup, verdict) for the samples on both sides, with the base's other columns m and block_num if it has them.
+
+    An optimised time of 0 or less counts as an infinite speedup.
+    """
     keys = list(keys)
-    b, o = base.select(*keys, F.col(value).alias("base")), opt.select(*keys, F.col(value).alias("opt"))
-    speedup = F.try_divide(F.col("base"), F.col("opt"))
+    carried = [c for c in CARRIED if c in base.columns and c not in keys]
+    b, o = base.select(*keys, F.col(value).alias("base"), *carried), opt.select(*keys, F.col(value).alias("opt"))
+    speedup = F.when(F.col("opt") > 0, F.try_divide(F.col("base"), F.col("opt"))).when(F.col("opt") <= 0, F.lit(float("inf")))
     verdict = F.when(speedup > IMPROVED, "improved").when(speedup < REGRESSED, "regressed").otherwise("unchanged")
     return b.join(o, keys).select(
-        *keys, "base", "opt", (F.col("base") - F.col("opt")).alias("diff"), speedup.alias("speedup"), verdict.alias("verdict")
+        *keys, "base", "opt", (F.col("base") - F.col("opt")).alias("diff"), speedup.alias("speedup"), verdict.alias("verdict"), *carried
     )
 
 
 SORTS = {
     "speedup": "speedup",
     "abs": "diff",
-    "sample": "sample",
+    "sample": ("category", "sample"),
     "blocks": "block_num",
 }
 
 
 def sort_report(report: DataFrame, by: str = "speedup") -> DataFrame:
-    """Ordered by speedup, absolute gain or block count (largest first), or by sample."""
+    """Ordered by speedup, absolute gain or block count (largest first), or by category and sample; ties by the latter."""
     if by not in SORTS:
         raise ValueError(f"unknown sort key {by!r}")
-    column = SORTS[by]
-    return report.orderBy(F.asc(column) if by == "sample" else F.desc(column))
+    names = SORTS["sample"]
+    return report.orderBy(*names) if by == "sample" else report.orderBy(F.desc(SORTS[by]), *names)
+
+
+def valid(df: DataFrame, zeros: bool = False, value: str = "perf_us") -> DataFrame:
+    """Rows with a usable time: numbers, without signs. A time of 0 is a failed profile; `zeros` keeps it, as the reorder mode does, and so lowers means."""
+    fine = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) < float("inf"))
+    return df.filter(fine & (F.col(value) >= 0 if zeros else F.col(value) > 0))
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    """Samples in the order of the detailed report, by category, then by name, equal names by time; + place in the category, from 1."""
+    place = F.row_number().over(Window.partitionBy("category").orderBy("sample", "perf_us"))
+    return df.withColumn("place", place).orderBy("category", "place")
+
+
+def _to(places: int, *names: str) -> list[Column]:
+    """Columns rounded for a report, as the formatter would round their shortest decimal form; infinite values are kept."""
+    return [F.when(F.abs(n) < float("inf"), round_exact(F.col(n), places)).otherwise(F.col(n)) for n in names]
+
+
+def category_report(df: DataFrame) -> DataFrame:
+    """(line) of the category summary: headings, a line for each category in order, and the total."""
+    names = [("category", -15), ("samples", 10), ("total_us", 15), ("mean_us", 15), ("pct", 10)]
+    row = "%-15s %-10d %-15.2f %-15.2f %-10.2f"
+    head = " ".join(f"{n:<{abs(w)}}" for n, w in names)
+    body = by_group(df).select(F.lit(1).alias("part"), F.col("category").alias("at"), F.format_string(row, "category", "samples", *_to(2, "total", "mean", "pct")).alias("line"))
+    whole = df.agg(F.count("perf_us").alias("n"), F.coalesce(F.sum("perf_us"), F.lit(0.0)).alias("t"), F.coalesce(F.avg("perf_us"), F.lit(0.0)).alias("m"))
+    total = whole.select(F.lit(3).alias("part"), F.lit("").alias("at"), F.format_string(row, F.lit("total"), "n", *_to(2, "t", "m"), F.lit(100.0)).alias("line"))
+    rules = df.sparkSession.createDataFrame([(0, "a", "-" * 80), (0, "b", head), (0, "c", "-" * 80), (2, "", "-" * 80)], "part int, at string, line string")
+    return rules.unionByName(body).unionByName(total).orderBy("part", "at")
+
+
+def compare_report(report: DataFrame, base: DataFrame, opt: DataFrame, by: str = "speedup") -> DataFrame:
+    """(part, place, line) of the comparison: headings, a line for each sample in order, counts, totals and one-sided samples.
+
+    place orders the lines of a part; it is unique but not gapless, as samples are ordered without being gathered.
+    """
+    spark, rule = report.sparkSession, "-" * 100
+    head = f"{'Category':<20} {'Sample':<25} {'M':>6} {'Blocks':>7} {'Base(us)':>10} {'Opt(us)':>10} {'Diff(us)':>10} {'Speedup':>8}"
+    line = F.format_string(
+        "%-20s %-25s %6d %7d %10.2f %10.2f %10.2f %7.3fx", "category", "sample", F.coalesce("m", F.lit(0).cast("long")), F.coalesce("block_num", F.lit(0).cast("long")), *_to(2, "base", "opt", "diff"), *_to(3, "speedup")
+    )
+    body = sort_report(report, by).select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("place"), line.alias("line"))
+    s = summary(report)
+    sums = report.agg(F.coalesce(F.sum("base"), F.lit(0.0)).alias("tb"), F.coalesce(F.sum("opt"), F.lit(0.0)).alias("to"))
+    sides = only_one_side(base, opt).agg(F.count_if(F.col("side") == "base").alias("ob"), F.count_if(F.col("side") == "opt").alias("oo"))
+    lines = [
+        F.format_string("samples: %d", "samples"),
+        F.format_string("improved: %d, unchanged: %d, regressed: %d", "improved", "unchanged", "regressed"),
+        F.format_string("total: baseline=%.2fus, optimized=%.2fus, ratio=%.3fx", *_to(2, "tb", "to"), *_to(3, "total_ratio")),
+        F.format_string("speedup: min=%.3fx, max=%.3fx, mean=%.3fx, median=%.3fx", *_to(3, "min_speedup", "max_speedup", "mean_speedup", "median_speedup")),
+        F.format_string("only in baseline: %d", "ob"),
+        F.format_string("only in optimized: %d", "oo"),
+    ]
+    tail = s.join(sums).join(sides).select(F.lit(2).alias("part"), F.posexplode(F.array(F.lit(rule), *lines)).alias("place", "line"))
+    top = spark.createDataFrame([(0, 0, head), (0, 1, rule)], "part int, place long, line string")
+    return top.unionByName(body).unionByName(tail.withColumn("place", F.col("place").cast("long"))).orderBy("part", "place")
 
 
 def summary(report: DataFrame) -> DataFrame:

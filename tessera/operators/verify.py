@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round_exact
+
 # The tolerances of the check.
 ATOL, RTOL, BAD_RATIO = 1e-6, 1e-4, 1e-4
 
@@ -33,13 +35,13 @@ def verify(output: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def mismatches(output: DataFrame, golden: DataFrame) -> DataFrame:
-    """The listed mismatches: golden zeros are left out; rdiff divides by the signed golden value."""
+    """The listed mismatches: golden zeros are left out; rdiff is the size of the error over the signed golden value."""
     bad = paired(output, golden).filter(~close(F.col("o"), F.col("g")) & (F.col("g") != 0))
-    return bad.withColumn("rdiff", (F.col("o") - F.col("g")) / F.col("g"))
+    return bad.withColumn("rdiff", F.abs(F.col("o") - F.col("g")) / F.col("g"))
 
 
 def dump_grid(c: DataFrame, n: int) -> DataFrame:
     """A bounded slice of columns as text, a line to a row."""
     wide = c.filter(F.col("n") < n).groupBy("row").pivot("n", list(range(n))).agg(F.first("val"))
-    cells = [F.format_string("%6.1f", F.coalesce(F.col(str(i)), F.lit(0.0))) for i in range(n)]
+    cells = [F.format_string("%6.1f", round_exact(F.coalesce(F.col(str(i)), F.lit(0.0)), 1)) for i in range(n)]
     return wide.select("row", F.concat_ws("\t", *cells).alias("line"))

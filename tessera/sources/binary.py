@@ -1,32 +1,74 @@
-"""Headerless binary arrays."""
+"""Headerless binary arrays.
+
+An array is a file or, written in parallel, a folder whose name ends in `.bin`
+with parts in order of their names.
+"""
+
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_array(spark: SparkSession, path: str, dtype: str = "int32") -> DataFrame:
-    """(file, idx, value double): the elements of each file; empty files are an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    """(file, idx, value double): the elements of each array; empty files and broken elements are an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
+    # Spark gives no row for an empty file, so those listed are counted against those read.
+    if len(files.inputFiles()) != files.count():
+        raise ValueError(f"not an array of this type, as a file is empty: {path}")
     width = np.dtype(dtype).itemsize
-    checked = files.withColumn(
-        "content",
-        F.when((F.col("length") == 0) | (F.col("length") % width != 0), F.raise_error(F.concat(F.lit("not an array of this type: "), "path")).cast("binary")).otherwise(F.col("content")),
-    ).select("path", "content")
+    # Places follow from the parts' lengths, which are read without their contents.
+    whole = F.when(F.col("path").rlike(r"\.bin/[^/]*$"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.col("path"))
+    before = Window.partitionBy("file").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    places = files.select(whole.alias("file"), "path", "length").select("file", "path", (F.coalesce(F.sum("length").over(before), F.lit(0)) / width).cast("long").alias("start"))
+    bad = (F.col("length") == 0) | (F.col("length") % width != 0)
+    fail = F.raise_error(F.concat(F.lit("not an array of this type: "), "path")).cast("binary")
+    checked = files.select("path", F.when(bad, fail).otherwise(F.col("content")).alias("content")).join(places, "path").select("file", "start", "content")
 
     def decode(batches):
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for name, start, content in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), batch.column("content"), strict=True):
                 values = np.frombuffer(content.as_buffer(), dtype=dtype).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(values)), pa.array(np.arange(len(values), dtype=np.int64)), pa.array(values)],
-                    ["file", "idx", "value"],
-                )
+                for i in range(0, len(values), 1 << 16):
+                    part = values[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(start + i, start + i + len(part))), pa.array(part)], ["file", "idx", "value"])
 
     return checked.mapInArrow(decode, "file string, idx long, value double")
 
 
+def write_array(df: DataFrame, path: str, dtype: str = "int32") -> int:
+    """df(idx long, value) as a folder of raw parts in idx order; gives the number of elements.
+
+    Tasks write to a name of their own and then rename, so a repeated task leaves one part.
+    """
+    if not path.rstrip("/").endswith(".bin"):
+        raise ValueError("the folder of an array ends in .bin")
+
+    def store(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+        part = TaskContext.get().partitionId()
+        fs.create_dir(root, recursive=True)
+        draft, n = f"{root}/_{uuid.uuid4().hex}", 0
+        with fs.open_output_stream(draft) as out:
+            for batch in batches:
+                values = batch.column("value").to_numpy(zero_copy_only=False).astype(dtype)
+                out.write(values.tobytes())
+                n += len(values)
+        if n:
+            fs.move(draft, f"{root}/part-{part:06d}.bin")
+        else:
+            fs.delete_file(draft)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    done = df.select("idx", "value").repartitionByRange("idx").sortWithinPartitions("idx").mapInArrow(store, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_reorder_map(spark: SparkSession, path: str) -> DataFrame:
-    """(new_row, old_row) from an int32 file."""
+    """(new_row, old_row) from an int32 array."""
     return read_array(spark, path, "int32").select(F.col("idx").alias("new_row"), F.col("value").cast("long").alias("old_row"))

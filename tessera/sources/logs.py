@@ -1,5 +1,8 @@
 """Readers of performance and timing logs."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +63,38 @@ def reorder_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def timing_log(lines: DataFrame) -> DataFrame:
-    """(file, timer, run, ms): a line that names the timer, then 'Run n: x ms' on the next."""
-    nxt = F.lead("line").over(Window.partitionBy("file").orderBy("seq"))
-    run = r"Run\s+(\d+)\D+?([0-9.]+)\s*ms"
-    paired = lines.filter(F.col("line") != "").withColumn("next", nxt)
-    return paired.filter(F.col("next").rlike(run) & ~F.col("line").rlike(run)).select(
+def timing_log(lines: DataFrame, timers: list[str] | None = None) -> DataFrame:
+    """(file, sample, timer, run, ms): a line that names the timer, then 'Run n: x ms' on the next.
+
+    `timers` keeps only those whose line holds one of these names; none takes
+    all. Lines are numbered and grouped by split of a file, so a long log is no
+    single task's; a run that opens a split takes the timer that closes the one
+    before, and so does a sample's name. Only the run right after a timer counts.
+    """
+    run = r"^Run\s+(\d+):\s+([0-9.]+)\s*ms"
+    full = lines.filter(F.col("line") != "").select("file", F.col("seq.at").alias("at"), "seq", "line")
+    sample = F.when(F.col("line").startswith("Sample:"), F.trim(F.regexp_replace("line", "^Sample:", "")))
+    inside = Window.partitionBy("file", "at").orderBy("seq")
+    told = full.withColumns({"before": F.lag("line").over(inside), "name": F.last(sample, True).over(inside)})
+    ends = told.groupBy("file", "at").agg(F.max_by("line", "seq").alias("last"), F.max_by(sample, F.when(sample.isNotNull(), F.col("seq"))).alias("named"))
+    earlier = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "at", F.lag("last").over(Window.partitionBy("file").orderBy("at")).alias("last"), F.last("named", True).over(earlier).alias("named"))
+    runs = told.filter(F.col("line").rlike(run)).join(carried, ["file", "at"])
+    timer = F.coalesce("before", "last")
+    out = runs.select(
         "file",
-        F.regexp_replace("line", r":\s*$", "").alias("timer"),
-        F.regexp_extract("next", run, 1).cast("int").alias("run"),
-        F.regexp_extract("next", run, 2).cast("double").alias("ms"),
-    )
+        F.coalesce("name", "named").alias("sample"),
+        F.regexp_replace(timer, r":\s*$", "").alias("timer"),
+        F.regexp_extract("line", run, 1).cast("int").alias("run"),
+        F.regexp_extract("line", run, 2).cast("double").alias("ms"),
+    ).filter(F.col("timer").isNotNull() & ~F.col("timer").rlike(run))
+    if timers is None:
+        return out
+    return out.filter(reduce(or_, [F.col("timer").contains(t) for t in timers], F.lit(False)))
 
 
 def profiler_csv(spark: SparkSession, path: str, column: int = 2) -> DataFrame:
-    """The third field of each data line with all but digits and points stripped."""
+    """(perf_us): the third field of each data line with all but digits and points stripped; null if that is no number."""
     table = spark.read.csv(path, header=True)
     name = table.columns[column]
     return table.select(F.regexp_replace(F.col(f"`{name}`"), r"[^0-9.]", "").try_cast("double").alias("perf_us"))

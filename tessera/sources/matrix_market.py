@@ -1,67 +1,79 @@
-"""Matrix Market coordinate text."""
+"""Matrix Market coordinate text.
+
+A matrix is a file `name.mtx` or, as Spark writes text, a folder `name.mtx` of
+part files in order of their names.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.coo import expand_symmetry as mirrored
+
+# The banner's word and the symmetries that store one triangle, with the sign of the other one.
+BANNER = "%%matrixmarket"
+SIGNS = {"symmetric": 1.0, "hermitian": 1.0, "skew-symmetric": -1.0}
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, category, matrix, seq, line) of all .mtx files below path, comments and blank lines left out.
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, category, matrix, seq, line) of all matrices below path; seq orders lines within a matrix.
 
-    Files are read as splittable text; seq orders lines within a file by the
-    split's start and the line's place in it.
+    Files are read as splittable text; a line is placed by its part, its split's
+    start and its place in the split.
     """
-    raw = (
+    part = F.col("_metadata.file_path")
+    whole = r"^(.*?\.mtx)(?:/[^/]*)?$"
+    return (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.mtx")
+        .option("pathGlobFilter", "{*.mtx,part-*}")
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("seq"),
+            F.regexp_extract(part, whole, 1).alias("file"),
+            F.struct(part.alias("part"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("seq"),
             F.trim(F.regexp_replace("value", r"[\t\r]", " ")).alias("line"),
         )
-        .filter(~F.col("file").contains("/.ipynb_checkpoints/"))
-    )
-    return raw.filter((F.col("line") != "") & ~F.col("line").startswith("%")).select(
-        F.regexp_extract("file", r"([^/]*)/[^/]*$", 1).alias("category"),
-        F.regexp_extract("file", r"([^/]*)\.mtx$", 1).alias("matrix"),
-        "file",
-        "seq",
-        F.split("line", r"\s+").alias("tok"),
+        .filter((F.col("file") != "") & ~F.col("file").contains("/.ipynb_checkpoints/") & (F.col("line") != ""))
+        .select(F.regexp_extract("file", r"([^/]*)/[^/]*$", 1).alias("category"), F.regexp_extract("file", r"([^/]*)\.mtx$", 1).alias("matrix"), "file", "seq", "line")
     )
 
 
 def read_mtx(spark: SparkSession, path: str, expand_symmetry: bool = False, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(entries, meta): entries(category, matrix, row, col, val) 0-based, meta(category, matrix, m, k, nnz, stored).
+    """(entries, meta): entries(file, category, matrix, row, col, val) 0-based, meta(file, category, matrix, m, k, nnz, symmetry, stored).
 
-    The first line that is no comment is the header and needs three numbers.
-    Two-column entries get the value 1; any other width is an error, as is a
-    count that differs from the header. The banner's symmetry is ignored unless
-    expand_symmetry is set.
+    Matrices are told apart by their file, so equal names don't mix. The first
+    line that is no comment is the header and needs three numbers. Two-column
+    entries get the value 1; any other width is an error. With `check` both
+    tables raise where a matrix does not hold the entries that its header says.
+    The banner's symmetry is ignored unless expand_symmetry is set, which adds
+    the mirrored entries of symmetric, Hermitian and skew-symmetric matrices.
     """
-    lines = read_lines(spark, path)
-    heads = lines.groupBy("file", "category", "matrix").agg(F.min_by("tok", "seq").alias("tok"), F.min("seq").alias("seq"))
-    bad_head = F.size("tok") < 3
+    raw = raw_lines(spark, path)
+    lines = raw.filter(~F.col("line").startswith("%")).withColumn("tok", F.split("line", r"\s+")).drop("line")
+    banners = raw.filter(F.lower("line").startswith(BANNER)).groupBy("file").agg(F.element_at(F.split(F.lower(F.min_by("line", "seq")), r"\s+"), -1).alias("symmetry"))
+    heads = lines.groupBy("file", "category", "matrix").agg(F.min_by("tok", "seq").alias("tok"), F.min("seq").alias("seq"), (F.count("*") - 1).alias("stored"))
     number = lambda i, kind: F.col("tok")[i].cast(kind)
-    body = lines.join(heads.select("file", F.col("seq").alias("head")), "file").filter(F.col("seq") != F.col("head"))
+    stored = F.col("stored")
+    if check:
+        differs = F.concat(F.lit("entries differ from the header in "), F.col("file"))
+        stored = F.when(stored != number(2, "long"), F.raise_error(differs).cast("long")).otherwise(stored)
+    bad_head = F.when(F.size("tok") < 3, F.raise_error(F.lit("the header needs M K nnz")).cast("long"))
+    meta = heads.join(banners, "file", "left").select(
+        "file", "category", "matrix", F.coalesce(bad_head, number(0, "long")).alias("m"), number(1, "long").alias("k"), number(2, "long").alias("nnz"),
+        F.coalesce("symmetry", F.lit("general")).alias("symmetry"), stored.alias("stored"), F.col("seq").alias("head"),
+    )
+    body = lines.join(meta.filter("stored >= 0").select("file", "head", "symmetry"), "file").filter(F.col("seq") != F.col("head"))
     wrong = F.raise_error(F.concat(F.lit("an entry needs 2 or 3 columns: "), F.concat_ws(" ", "tok")))
     val = F.when(F.size("tok") == 3, number(2, "double")).when(F.size("tok") == 2, F.lit(1.0)).otherwise(wrong.cast("double"))
-    entries = body.select("category", "matrix", (number(0, "long") - 1).alias("row"), (number(1, "long") - 1).alias("col"), val.alias("val"))
-    counts = entries.groupBy("category", "matrix").agg(F.count("*").alias("stored"))
-    meta = heads.join(counts, ["category", "matrix"], "left").select(
-        "category",
-        "matrix",
-        F.when(bad_head, F.raise_error(F.lit("the header needs M K nnz")).cast("long")).otherwise(number(0, "long")).alias("m"),
-        number(1, "long").alias("k"),
-        number(2, "long").alias("nnz"),
-        F.coalesce("stored", F.lit(0)).alias("stored"),
-    )
-    if check:
-        differs = F.concat(F.lit("entries differ from the header in "), F.col("matrix"))
-        meta = meta.withColumn("stored", F.when(F.col("stored") != F.col("nnz"), F.raise_error(differs).cast("long")).otherwise(F.col("stored")))
+    entries = body.select("file", "category", "matrix", (number(0, "long") - 1).alias("row"), (number(1, "long") - 1).alias("col"), val.alias("val"), "symmetry")
     if expand_symmetry:
-        keyed = entries.filter("row <> col").select("category", "matrix", F.col("col").alias("row"), F.col("row").alias("col"), "val")
-        entries = entries.unionByName(keyed)
-    return entries, meta
+        half = F.col("symmetry").isin(*SIGNS)
+        sign = F.when(F.col("symmetry") == "skew-symmetric", F.lit(-1.0)).otherwise(F.lit(1.0))
+        entries = mirrored(entries.filter(half), sign).unionByName(entries.filter(~half))
+    return entries.drop("symmetry"), meta.drop("head")
 
 
+def write_mtx(coo: DataFrame, path: str, m: int, k: int, symmetry: str = "general") -> None:
+    """A matrix as a folder `name.mtx` of text parts in row order; indices from 1. A symmetric one is given by one triangle."""
+    cells = coo.select(F.lit(2).alias("part"), "row", "col", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "val").alias("line"))
+    size = coo.agg(F.count("*").alias("nnz")).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.concat_ws(" ", F.lit(m), F.lit(k), "nnz").alias("line"))
+    banner = coo.sparkSession.createDataFrame([(0, 0, 0, f"%%MatrixMarket matrix coordinate real {symmetry}")], "part int, row long, col long, line string")
+    banner.unionByName(size).unionByName(cells).orderBy("part", "row", "col").select("line").write.mode("overwrite").text(path)

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.logs import PERF_FIELDS
+
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
     """Columnar form of any relation (arrays, blocks, B, golden, C, core split)."""
@@ -20,19 +22,45 @@ def write_text(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
 
 
 def write_metadata(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """A table of one row as KEY=value lines."""
+    pairs = F.array(*[F.concat(F.lit(c.upper() + "="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
+    df.limit(1).select(F.explode(pairs).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of KEY=value lines."""
+    return spark.read.text(path).select(F.substring_index("value", "=", 1).alias("key"), F.expr("substring(value, instr(value, '=') + 1)").alias("value")).filter("key <> ''")
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """df(place, line) as text in order of place: the parts' names keep the order."""
+    df.orderBy("place").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").csv(path, sep="|")
+    """Rows of a performance log, fields parted by ' | '; a null is an empty field."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PERF_FIELDS]
+    df.select(F.concat_ws(" | ", *fields).alias("value")).write.mode("append").text(path)
+
+
+def append_reorder_log(df: DataFrame, path: str) -> None:
+    """Rows ts, category, sample, m, k, n, nnz, perf, verify in the bracketed form."""
+    line = F.format_string("[%s] | Category: %s | Sample: %s | Dims(%d, %d, %d, %d) | Perf: %s | Verify: %s", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "category", "sample", "m", "k", "n", "nnz", F.col("perf").cast("string"), "verify")
+    df.select(line.alias("value")).write.mode("append").text(path)
 
 
 def append_timings(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """timings(sample, timer, run, ms) as a stanza for each sample: its name, then each timer with its runs and a rule."""
+    runs = df.groupBy("sample", "timer").agg(F.array_sort(F.collect_list(F.struct("run", "ms"))).alias("r"))
+    line = lambda x: F.format_string("    Run %d: %.6f ms", x["run"], x["ms"])
+    text = F.concat(F.lit("  "), "timer", F.lit(":\n"), F.array_join(F.transform("r", line), "\n"))
+    stanza = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timer", text.alias("t")))), lambda x: x["t"]), "\n")
+    body = runs.groupBy("sample").agg(stanza.alias("s"))
+    body.select(F.concat(F.lit("Sample: "), "sample", F.lit("\n"), "s", F.lit("\n" + "-" * 40)).alias("value")).write.mode("append").text(path)
 
 
 def reuse_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at path if it is complete there, else build() written to it. Works on any store that Spark reads."""
+    """The table at path if it is complete there, else build() written to it. A table that was not finished has no success mark."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         write_table(build(), path)
