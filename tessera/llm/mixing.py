@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, stored, text_or_empty, whole_row, words_of
-from tessera.llm.components import components
+from tessera.functions.store import dropped, stored
+from tessera.llm.common import text_or_empty, whole_row, words_of
+from tessera.operators.components import components
 
 #: Fixed values of the mix.
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"

@@ -8,7 +8,8 @@ names as the result's are replaced. An empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_GAP, let, stored, text_or_empty, words_of
+from tessera.functions.store import stored
+from tessera.llm.common import NOT_GAP, let, text_or_empty, words_of
 
 #: Fixed values of the base rules and the symbols that they count.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PCT = "#*$%&|<>", 8, 20, 30

@@ -18,7 +18,8 @@ in all columns meet. Repeated rows get slots of their own. An empty table gives
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, whole_row
+from tessera.functions.store import stored
+from tessera.llm.common import whole_row
 
 SHARDS, SEED = 16, 7
 #: Mean rows and bytes of a bucket at most, which is shuffled at once.

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_or_empty
+from tessera.functions.store import stored
+from tessera.llm.common import text_or_empty
 
 WINDOW, KGRAM = 200, 50
 #: Bytes hashed at once, and strings sorted at once.
