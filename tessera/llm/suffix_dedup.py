@@ -3,11 +3,14 @@
 Every WINDOW-byte string has an anchor: its KGRAM-byte part of least hash,
 leftmost if several tie. Equal strings have equal anchors at equal places, so
 only strings whose anchor's hash occurs again can repeat. A run of strings with
-one anchor is a segment. Segments that are equal as a whole repeat as a whole;
-the other segments of an anchor are brought together and the suffixes that
-start their strings are sorted: a mergesort whose comparisons find the common
-extension by binary search over prefix polynomial hashes. Neighbours that agree
-on WINDOW bytes are verified byte by byte.
+one anchor is a segment. Segments of one anchor and one digest form a class with
+a first member that stands for it. The first members of an anchor's classes are
+brought together and the suffixes that start their strings are sorted: a
+mergesort whose comparisons find the common extension by binary search over
+prefix polynomial hashes. Neighbours that agree on WINDOW bytes are verified byte
+by byte, and so is each member of a class against the first one. Should a digest
+have put different bytes together, all is done again with another seed. Only
+whole texts are told apart by a digest alone, 128 bits of their SHA-256.
 
 Null texts are empty. Texts shorter than WINDOW bytes keep all. Equal texts are
 worked on once; repeated rows each get a result. Other columns are ignored; an
@@ -15,6 +18,7 @@ empty table gives no rows.
 """
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.store import stored
+from tessera.functions.store import dropped, stored
 from tessera.llm.common import text_or_empty
 
 WINDOW, KGRAM = 200, 50
@@ -98,11 +102,12 @@ def segments(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW, kgram:
 ANCHORS = "h long, digest long, text_key binary, at int, n int, lead int, known boolean, deal long"
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
+def _anchors(docs: DataFrame, seed: int) -> DataFrame:
     """A row for each segment. A task passes on two copies of a text at most; that it repeats is then known.
 
-    The same holds for equal segments of one slice: two meet the others of their anchor, further ones are `known` to
-    repeat and are dealt out by their place, so a line that is everywhere is not dealt to one task.
+    The same holds for equal segments of one slice: two meet the others of their anchor, further ones, equal to these
+    byte by byte, are `known` to repeat and are dealt out by their place, so a line that is everywhere is not dealt to
+    one task.
     """
     most = (1 << SLICE_BITS) - 1
 
@@ -116,14 +121,16 @@ def _anchors(docs: DataFrame) -> DataFrame:
         doc = np.searchsorted(begin, first, side="right") - 1
         shift = np.array([s for _, _, s in items])[doc]
         view = memoryview(data)
-        digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i : j + WINDOW], 1) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(a))
+        digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i : j + WINDOW], seed) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(a))
         digest = digest.astype(np.int64)
         keys = pa.array([k for k, _, _ in items], pa.binary()).take(pa.array(doc))
         at = (first - begin[doc] + shift).astype(np.int32)
         order = np.lexsort((digest, h))
         same = (h[order[2:]] == h[order[:-2]]) & (digest[order[2:]] == digest[order[:-2]])
         known = np.zeros(len(a), bool)
-        known[order[2:]] = same
+        whole = lambda x: view[first[x] : last[x] + WINDOW]
+        for x, y in zip(order[2:][same].tolist(), order[:-2][same].tolist(), strict=True):
+            known[x] = whole(x) == whole(y)
         text = np.frombuffer(b"".join(k[:8] for k, _, _ in items), np.uint64)[doc]
         deal = np.where(known, _mix(text + _mix(at.astype(np.uint64))).astype(np.int64), h)
         cols = [h, digest, keys, at, (last - first + 1).astype(np.int32), (a - first).astype(np.int32), known, deal]
@@ -154,13 +161,15 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-REPEATS = "kind int, h long, text_key binary, at int, n int, lead int"
-WHOLE, OPEN, PARTNER = 0, 1, 2
+REPEATS = "kind int, h long, digest long, text_key binary, at int, n int, lead int"
+#: What a segment is: KNOWN to repeat, a MEMBER of a class that another one stands for, OPEN if it has none like it but
+#: others of its anchor, and PARTNER or FIRST if it stands for its class, with or without other classes of its anchor.
+KNOWN, OPEN, PARTNER, MEMBER, FIRST = 0, 1, 2, 3, 4
+SEGMENT = ["h", "digest", "text_key", "at", "n", "lead"]
 
 
 def _repeats(anchors: DataFrame) -> DataFrame:
-    """Segments whose anchor's hash occurs again: WHOLE ones repeat as they are, OPEN ones are to be sorted with
-    the others of their anchor, among them one PARTNER for each kind of WHOLE ones."""
+    """The segments whose anchor's hash occurs again, with their kind."""
 
     def judge(t: pa.Table, seen: int, first: bool, final: bool):
         """(rows out, the last run's first row, its rows seen beyond that, whether it is its anchor's first run).
@@ -176,17 +185,23 @@ def _repeats(anchors: DataFrame) -> DataFrame:
         size[0] += seen
         many = ~(new_h[starts] & np.append(h[starts[1:]] != h[starts[1:] - 1], True))
         many[-1] &= final
-        whole = (size > 1)[run]
-        open_, partner = (many & (size == 1))[run], new_d & (many & (size > 1))[run]
-        whole[0] &= not seen
-        rows = np.concatenate((np.flatnonzero(whole), np.flatnonzero(open_), np.flatnonzero(partner)))
+        ended = np.ones(len(starts), bool)
+        ended[-1] = final
+        again = size > 1
+        kinds = {
+            MEMBER: again[run] & ~new_d,
+            OPEN: (many & ~again)[run],
+            PARTNER: new_d & (many & again)[run],
+            FIRST: new_d & (ended & ~many & again)[run],
+        }
+        rows = np.concatenate([np.flatnonzero(x) for x in kinds.values()])
         held = t.slice(int(starts[-1]), 1), int(size[-1]) - 1, bool(new_h[starts[-1]])
         if not len(rows):
             return None, *held
-        kind = np.repeat(np.array([WHOLE, OPEN, PARTNER], np.int32), [whole.sum(), open_.sum(), partner.sum()])
+        kind = np.repeat(np.array(list(kinds), np.int32), [x.sum() for x in kinds.values()])
         out = t.take(pa.array(rows)).combine_chunks()
-        cols = [pa.array(kind)] + [out.column(c).combine_chunks() for c in ("h", "text_key", "at", "n", "lead")]
-        return pa.RecordBatch.from_arrays(cols, ["kind", "h", "text_key", "at", "n", "lead"]), *held
+        cols = [pa.array(kind)] + [out.column(c).combine_chunks() for c in SEGMENT]
+        return pa.RecordBatch.from_arrays(cols, ["kind", *SEGMENT]), *held
 
     def run(batches):
         rest, seen, first = None, 0, True
@@ -196,7 +211,7 @@ def _repeats(anchors: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([batch])
             known = t.filter(t.column("known"))
             if known.num_rows:
-                yield from known.select(["h", "text_key", "at", "n", "lead"]).add_column(0, "kind", pa.array(np.full(known.num_rows, WHOLE, np.int32))).combine_chunks().to_batches()
+                yield from known.select(SEGMENT).add_column(0, "kind", pa.array(np.full(known.num_rows, KNOWN, np.int32))).combine_chunks().to_batches()
                 t = t.filter(pc.invert(t.column("known")))
                 if not t.num_rows:
                     continue
@@ -338,7 +353,10 @@ def _packed(rows) -> pa.RecordBatch:
 
 
 def _cut(joined: DataFrame) -> DataFrame:
-    """The bytes of OPEN and PARTNER segments; those of large anchors in pieces of WIDTHS[0]."""
+    """The bytes of segments that are OPEN or stand for a class; those of large anchors in pieces of WIDTHS[0].
+
+    Segments that stand for a class come a second time, of kind FIRST, keyed by it, to be compared with its members.
+    """
     width = WIDTHS[0]
 
     def run(batches):
@@ -348,7 +366,11 @@ def _cut(joined: DataFrame) -> DataFrame:
                 raw = body.as_py()
                 for p in parts:
                     held = raw[p["at"] : p["at"] + p["n"] - 1 + WINDOW]
-                    if p["large"]:
+                    if p["kind"] in (PARTNER, FIRST):
+                        rows.append((p["h"], FIRST, p["digest"], p["at"], p["n"], p["lead"], 0, held))
+                    if p["kind"] == FIRST:
+                        pass
+                    elif p["large"]:
                         rows += [(k, p["kind"], key, p["at"] + i, n, r, width, b) for k, i, n, r, b in pieces(p["h"], p["n"], p["lead"], held, width)]
                     else:
                         rows.append((p["h"], p["kind"], key, p["at"], p["n"], p["lead"], 0, held))
@@ -450,7 +472,7 @@ def _sorted_spans(cut: DataFrame) -> DataFrame:
     return cut.drop("width").repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
 
 
-KEPT = "text_key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+KEPT = "text_key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, collided boolean"
 
 
 def removed_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -465,46 +487,65 @@ def removed_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _remove(joined: DataFrame, bodies: bool = False) -> DataFrame:
-    """What each text keeps; with `bodies`, the kept bytes too."""
+    """What each text keeps; with `bodies`, the kept bytes too. `collided` tells that a member of a class is not what its class is."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for key, body, copies, spans in zip(batch.column("text_key").to_pylist(), batch.column("body"), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            names = ("text_key", "copies", "spans", "claims")
+            for body, key, copies, spans, claims in zip(batch.column("body"), *[batch.column(c).to_pylist() for c in names], strict=True):
                 raw = body.as_py()
+                collided = any(raw[x["at"] : x["at"] + len(x["bytes"])] != x["bytes"] for x in claims or ())
                 runs = [(0, len(raw))] if copies > 1 and len(raw) >= WINDOW else removed_runs([(x["s"], x["e"]) for x in spans or ()])
                 at, kept = 0, []
                 for s, e in runs:
                     kept.append(raw[at:s])
                     at = e
                 rest = b"".join([*kept, raw[at:]])
-                row = (key, len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest())
+                row = (key, len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), collided)
                 rows.append((*row, rest) if bodies else row)
             if rows:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * bodies
-                names = ["text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * bodies
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.binary()] * bodies
+                names = ["text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "collided"] + ["kept"] * bodies
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return joined.select("text_key", "body", "copies", "spans").mapInArrow(run, KEPT + ", kept binary" * bodies)
+    return joined.select("text_key", "body", "copies", "spans", "claims").mapInArrow(run, KEPT + ", kept binary" * bodies)
 
 
-def remove_repeats(docs: DataFrame, bodies: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `bodies` also kept (binary)."""
-    body = text_or_empty().cast("binary")
-    keyed = docs.select("doc_id", F.unhex(F.md5(text_or_empty())).alias("text_key"), body.alias("body"))
-    repeats = stored(_repeats(_anchors(keyed.select("text_key", "body"))))
+def _kept(keyed: DataFrame, seed: int, bodies: bool) -> DataFrame:
+    repeats = stored(_repeats(_anchors(keyed.select("text_key", "body"), seed)))
     texts = keyed.groupBy("text_key").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    open_ = repeats.filter(F.col("kind") != WHOLE)
-    large, some = _marked(open_.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > LARGE_GROUP).select("h"))
-    told = open_.join(large.withColumn("large", F.lit(True)), "h", "left")
-    parts = told.groupBy("text_key").agg(F.collect_list(F.struct("kind", "h", "at", "n", "lead", F.coalesce("large", F.lit(False)).alias("large"))).alias("parts"))
-    cut, known = _cut(texts.join(parts, "text_key")), None
+    sorts = repeats.filter(F.col("kind").isin(OPEN, PARTNER))
+    large, some = _marked(sorts.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > LARGE_GROUP).select("h"))
+    told = repeats.filter(F.col("kind").isin(OPEN, PARTNER, FIRST)).join(large.withColumn("large", F.lit(True)), "h", "left")
+    digest = F.unhex(F.lpad(F.hex("digest"), 16, "0")).alias("digest")
+    part = F.struct("kind", "h", digest, "at", "n", "lead", F.coalesce("large", F.lit(False)).alias("large"))
+    cut = stored(_cut(texts.join(told.groupBy("text_key").agg(F.collect_list(part).alias("parts")), "text_key")))
+    pieces_, known = cut.filter(F.col("kind") != FIRST), None
     if some:
-        cut, known = _settled(cut)
-    found = _sorted_spans(cut)
-    whole = repeats.filter(F.col("kind") == WHOLE).select("text_key", F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + WINDOW).cast("int").alias("e"))
-    if known is not None:
-        found = found.unionByName(known)
-    spans = found.unionByName(whole).groupBy("text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    kept = _remove(texts.join(spans, "text_key", "left"), bodies)
-    return keyed.select("doc_id", "text_key").join(kept, "text_key").drop("text_key")
+        pieces_, known = _settled(pieces_)
+    found = _sorted_spans(pieces_)
+    end = (F.col("at") + F.col("n") - 1 + WINDOW).cast("int")
+    whole = repeats.filter(F.col("kind") != OPEN).select("text_key", F.col("at").alias("s"), end.alias("e"))
+    spans = found.unionByName(whole) if known is None else found.unionByName(known).unionByName(whole)
+    # The bytes that each member of a class should have, those of the segment that stands for it.
+    firsts = cut.filter(F.col("kind") == FIRST).select(F.col("key").alias("h"), F.col("text_key").alias("digest"), "bytes")
+    claims = repeats.filter(F.col("kind") == MEMBER).select("h", digest, "text_key", "at").join(firsts, ["h", "digest"])
+    told = spans.select("text_key", F.struct("s", "e").alias("span"), F.lit(None).cast("struct<at:int,bytes:binary>").alias("claim")).unionByName(
+        claims.select("text_key", F.lit(None).cast("struct<s:int,e:int>").alias("span"), F.struct("at", "bytes").alias("claim"))
+    )
+    told = told.groupBy("text_key").agg(F.collect_set("span").alias("spans"), F.collect_list("claim").alias("claims"))
+    kept = stored(_remove(texts.join(told, "text_key", "left"), bodies))
+    dropped(repeats, cut)
+    return kept
+
+
+def remove_repeats(docs: DataFrame, bodies: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `bodies` also kept (binary)."""
+    digest = F.substring(F.unhex(F.sha2(text_or_empty(), 256)), 1, 16)
+    keyed = docs.select("doc_id", digest.alias("text_key"), text_or_empty().cast("binary").alias("body"))
+    for seed in count(1):
+        kept = _kept(keyed, seed, bodies)
+        if kept.filter("collided").isEmpty():
+            return keyed.select("doc_id", "text_key").join(kept.drop("collided"), "text_key").drop("text_key")
+        dropped(kept)

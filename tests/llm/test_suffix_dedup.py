@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 
 from tessera.llm import suffix_dedup as S
 
@@ -92,6 +93,26 @@ def test_runs_over_many_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_digest_that_collides(spark, monkeypatch):
+    """With the first seed all segments have one digest: members that differ from their class are found, and the next seed settles them."""
+
+    class Weak:
+        @staticmethod
+        def xxh3_64_intdigest(data, seed):
+            return 7 if seed == 1 else xxhash.xxh3_64_intdigest(data, seed)
+
+    monkeypatch.setattr(S, "xxhash", Weak)
+    seeds, kept = [], S._kept
+    monkeypatch.setattr(S, "_kept", lambda keyed, seed, bodies: seeds.append(seed) or kept(keyed, seed, bodies))
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    core = make(120)
+    texts = [make(140) + core + make(140) for _ in range(4)] + [make(300)] * 2 + [make(30) + core + make(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.remove_repeats(docs).collect()) == brute(texts)
+    assert seeds == [1, 2]
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
