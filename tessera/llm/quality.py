@@ -17,7 +17,8 @@ SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PCT = "#*$%&|<>", 8, 20, 30
 MAX_HOST_RATE = 0.5
 #: Up to so many rejected hosts travel to all executors; more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
-#: Bounds of the prior's weight in documents.
+#: Bounds of the prior's weight in documents: hosts no more alike than chance makes them get the largest one, and a host
+#: of many documents is judged by its own rate under both.
 MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -79,16 +80,18 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     """(host, n, failed, rate, shrunk): failure rates shrunk by an empirical beta prior.
 
-    The prior's mean is the corpus rate and its weight follows from the spread
-    of the hosts' rates (method of moments, hosts weighted by their documents).
+    The prior's mean is the corpus rate. Its weight follows from the spread of the
+    hosts' rates, hosts weighted by their documents, less the spread that chance
+    alone gives (method of moments): 1 / rho - 1 with rho the share of the spread
+    that lies between hosts. It is kept within MIN_PRIOR and MAX_PRIOR.
     """
     per = feats.groupBy(host).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
     per = per.withColumn("rate", F.col("failed") / F.col("n"))
-    m, m2 = per.agg(F.sum("failed") / F.sum("n"), F.sum(F.col("failed") * F.col("rate")) / F.sum("n")).first()
-    if m is None:
-        m = m2 = 0.0
-    v = m2 - m * m
-    prior = min(max(m * (1 - m) / v - 1 if v > 1e-12 else MAX_PRIOR, MIN_PRIOR), MAX_PRIOR)
+    hosts, docs, m, m2 = per.agg(F.count("*"), F.sum("n"), F.sum("failed") / F.sum("n"), F.sum(F.col("failed") * F.col("rate")) / F.sum("n")).first()
+    m = m or 0.0
+    even = m * (1 - m)
+    rho = ((m2 - m * m) * docs / even - hosts) / (docs - hosts) if even > 1e-12 and docs > hosts else 0.0
+    prior = min(max(1 / rho - 1 if rho > 1e-12 else MAX_PRIOR, MIN_PRIOR), MAX_PRIOR)
     shrunk = (F.col("failed") + m * prior) / (F.col("n") + prior)
     return per.select(host, "n", "failed", "rate", shrunk.alias("shrunk"))
 

@@ -93,8 +93,9 @@ cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symb
 from w left join dup using (k) left join cov using (k)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f),
 h as (select source, count(*) as n, count_if(base_failed) as fl from b group by 1),
-m as (select sum(fl) / sum(n) as m, sum(fl * (fl / n)) / sum(n) as m2 from h),
-p as (select m, least(greatest(case when m2 - m * m > 1e-12 then m * (1 - m) / (m2 - m * m) - 1 else 1000.0 end, 2.0), 1000.0) as a from m),
+m as (select count(*) as hosts, sum(n) as docs, sum(fl) / sum(n) as m, sum(fl * (fl / n)) / sum(n) as m2 from h),
+r as (select m, case when m * (1 - m) > 1e-12 and docs > hosts then ((m2 - m * m) * docs / (m * (1 - m)) - hosts) / (docs - hosts) else 0.0 end as rho from m),
+p as (select m, least(greatest(case when rho > 1e-12 then 1 / rho - 1 else 1000.0 end, 2.0), 1000.0) as a from r),
 bad as (select source from h, p where (fl + m * a) / (n + a) > 0.5)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 not base_failed and not exists (select 1 from bad where bad.source is not distinct from b.source) as kept from b""",
