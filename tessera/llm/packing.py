@@ -1,7 +1,9 @@
 """Token counts and best-two-fit packing into fixed-length sequences.
 
 Null texts are empty and hold the end token alone. Repeated rows are packed as
-often as they occur. Other columns are ignored. An empty table gives no rows.
+often as they occur, null ids too. Of pieces of one length the one of the larger
+document, piece and checksum goes first. Other columns are ignored, whatever their
+names. An empty table gives no rows.
 """
 
 import base64
@@ -153,7 +155,7 @@ def checksums(ids: pa.ListArray) -> list[int]:
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """pieces + ids_crc32, sequence_id, offset. Groups are dealt by document hash and packed one by one."""
+    """pieces + ids_crc32, sequence_id, offset. Groups are dealt by a hash of document and place in the input, so equal rows spread, and packed one by one."""
     names = [c.split()[0] for c in PACKED.split(", ")]
 
     def run(key, table):
@@ -165,7 +167,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         sequences = bins + key[0].as_py() * (1 << 40)
         return table.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets)).select(names)
 
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups)))
+    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     return keyed.groupBy("_group").applyInArrow(run, PACKED)
 
 

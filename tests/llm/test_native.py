@@ -48,6 +48,18 @@ def test_bad_host_is_rejected(spark):
     assert quality.keep_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("failed,prior", [([5, 4, 6, 5], 1000.0), ([0, 10, 0, 10], 2.0), ([1, 9, 5, 3], None)])
+def test_prior_leaves_chance_out(spark, failed, prior):
+    """Four hosts of ten documents: as alike as chance makes them, wholly unlike, and between."""
+    feats = spark.createDataFrame([(f"h{i}", j < f) for i, f in enumerate(failed) for j in range(10)], "source string, base_failed boolean")
+    m = sum(failed) / 40
+    if prior is None:
+        spread = sum(10 * (f / 10 - m) ** 2 for f in failed)
+        prior = 1 / ((spread / (m * (1 - m)) - 4) / 36) - 1
+    for r in quality.host_rates(feats).collect():
+        assert abs(r["shrunk"] - (r["failed"] + m * prior) / (10 + prior)) < 1e-9
+
+
 def test_packing(spark):
     from tessera.llm.queries import tokenizer_paths
 
@@ -103,6 +115,34 @@ def test_packed_sequences_hold_the_tokens(spark, tmp_path):
         assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r["ids"]))
 
 
+def test_packing_of_repeats_clashes_and_long_words(spark):
+    """Rows alike in all columns, names of the result's columns, a null id and a word of many tokens."""
+    from tessera.llm.queries import tokenizer_paths
+
+    texts = ["same words here"] * 60 + ["x" * 9000, None, "", "tail of words " * 900]
+    rows = [(7 if i < 60 else None if i == 61 else i, t, "p", -1, "no") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece string, start long, ids string").repartition(3)
+    got = packing.pack_documents(docs, *tokenizer_paths(), group_docs=16).collect()
+    encode = packing.encoder(tokenizer_paths()[0])
+    want = Counter((r[0], len(encode(r[1] or "")) + 1) for r in rows)
+    whole, places = defaultdict(int), defaultdict(list)
+    for r in got:
+        whole[r["doc_id"]] += r["length"]
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(r["ids"]) == r["length"] and 0 <= r["start"]
+    total = Counter()
+    for (doc, n), times in want.items():
+        total[doc] += n * times
+    assert total == whole
+    for held in places.values():
+        end = 0
+        for at, n in sorted(held):
+            assert at == end
+            end += n
+        assert end <= packing.CAPACITY
+    assert len({r["sequence_id"] >> 40 for r in got if r["doc_id"] == 7}) > 1
+
+
 def test_two_fit_beats_greedy():
     import numpy as np
 
