@@ -19,6 +19,8 @@ CAPACITY, END_ID = 2048, 0
 GROUP_DOCS = 4096
 #: Bytes of text of a group at most on average, since a worker holds a group's ids, and tokens of a batch of pieces.
 GROUP_BYTES, BATCH_TOKENS = 64 << 20, 4 << 20
+#: Partitions that the groups are dealt to; with more groups a task takes several, one after another.
+MAX_PARTS = 20_000
 SPECIAL = "<|endoftext|>"
 
 _encoders: dict[str, object] = {}
@@ -155,7 +157,10 @@ def checksums(ids: pa.ListArray) -> list[int]:
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """pieces + ids_crc32, sequence_id, offset. Groups are dealt by a hash of document and place in the input, so equal rows spread, and packed one by one."""
+    """pieces + ids_crc32, sequence_id, offset. Groups are dealt by a hash of document and place in the input, so equal rows spread, and packed one by one.
+
+    Up to MAX_PARTS groups each group is a partition of its own, so what a task reads doesn't grow with the table.
+    """
     names = [c.split()[0] for c in PACKED.split(", ")]
 
     def run(key, table):
@@ -164,11 +169,13 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         table = table.append_column("ids_crc32", pa.array(checksums(ids), pa.int64()))
         table = table.sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = best_two_fit(table.column("length").to_numpy(), capacity)
-        sequences = bins + key[0].as_py() * (1 << 40)
+        sequences = bins + key[1].as_py() * (1 << 40)
         return table.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets)).select(names)
 
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
-    return keyed.groupBy("_group").applyInArrow(run, PACKED)
+    group = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups))
+    parts = min(groups, MAX_PARTS)
+    keyed = pieces.withColumn("_group", group).withColumn("_part", F.pmod("_group", F.lit(parts)).cast("int"))
+    return keyed.repartitionById(parts, "_part").groupBy("_part", "_group").applyInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
