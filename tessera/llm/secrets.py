@@ -217,18 +217,44 @@ def as_rules(model) -> list:
     return [rule(t._call_java("rootNode")) for t in model.trees]
 
 
-def score(rules: list, x: Column) -> Column:
-    """Mean share of secrets over the trees, for an array of features."""
+def levels(rule) -> int:
+    return 1 + max(levels(rule[2]), levels(rule[3])) if isinstance(rule, tuple) else 0
+
 
-    def walk(r) -> Column:
-        if not isinstance(r, tuple):
-            return F.lit(r)
-        f, at, low, high = r
-        return F.when(x[f] <= at, walk(low)).otherwise(walk(high))
+def score(rules: list, x: Column) -> Column:
+    """Mean share of secrets over the trees, for an array of features.
 
-    total = walk(rules[0])
-    for r in rules[1:]:
-        total = total + walk(r)
+    Each tree is laid out as a heap of equal depth (a leaf above the last level
+    stands for its whole subtree), all trees one after another in three constant
+    arrays, so the plan stays small however large the forest is.
+    """
+    depth = max(1, *map(levels, rules))
+    width = 1 << depth
+    features, bounds, shares = [0] * (len(rules) * width), [0.0] * (len(rules) * width), [0.0] * (len(rules) * width)
+
+    def lay(rule, tree: int, node: int, level: int) -> None:
+        if level == depth:
+            shares[tree * width + node - width] = rule
+            return
+        feature, bound, low, high = rule if isinstance(rule, tuple) else (0, 0.0, rule, rule)
+        features[tree * width + node], bounds[tree * width + node] = feature, bound
+        lay(low, tree, 2 * node, level + 1)
+        lay(high, tree, 2 * node + 1, level + 1)
+
+    for tree, rule in enumerate(rules):
+        lay(rule, tree, 1, 0)
+    # Folded into literals by the optimizer.
+    constant = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    features, bounds, shares = constant(features, "int"), constant(bounds, "double"), constant(shares, "double")
+
+    def leaf(tree: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            at = tree * width + node
+            return node * 2 + F.when(F.get(x, F.get(features, at)) <= F.get(bounds, at), 0).otherwise(1)
+
+        return F.get(shares, F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step) + tree * width - width)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), F.lit(0.0), lambda s, tree: s + leaf(tree))
     return total / len(rules)
 
 

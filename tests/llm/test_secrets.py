@@ -163,3 +163,20 @@ def test_clashing_names_repeats_and_addresses(spark):
     got = sorted((tuple(r) for r in secrets.redact_documents(docs).collect()), key=str)
     assert got == sorted([(1, "thing [SECRET]", "s", 14, *names)] * 2 + [(None, None, None, None, *names), (2, "amqp://guest:[SECRET]@host/x kY7!", "s", 33, *names)], key=str)
     assert secrets.scan(docs).count() == 4
+
+
+def test_score_against_a_plain_walk(spark):
+    rules = [(0, 5.5, (1, 0.25, 0.1, 0.9), 0.3), 0.7, (2, 1.0, 0.2, (0, 3.0, (1, 0.5, 0.0, 1.0), 0.6))]
+
+    def walk(rule, x):
+        while isinstance(rule, tuple):
+            feature, bound, low, high = rule
+            rule = low if x[feature] is not None and x[feature] <= bound else high
+        return rule
+
+    xs = [[a, b, c] for a in (1.0, 3.0, 5.5, 7.0, None) for b in (0.0, 0.25, 0.5, 0.9) for c in (0.5, 1.0, 2.0)]
+    for forest in (rules, [0.4], rules[:1]):
+        got = spark.createDataFrame([(x,) for x in xs], "x array<double>").select("x", secrets.score(forest, F.col("x"))).collect()
+        assert len(got) == len(xs)
+        for x, s in got:
+            assert abs(s - sum(walk(r, x) for r in forest) / len(forest)) < 1e-12
