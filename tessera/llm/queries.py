@@ -1,7 +1,8 @@
 """The registered corpus queries and their SQL."""
 
+from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, jaccard, licenses, mixing, packing, preference, quality, secrets, sharding, suffix_dedup
+from tessera.llm import cover_tree, jaccard, licenses, mixing, packing, pieces, preference, quality, secrets, sharding, suffix_dedup
 from tessera.llm.common import read
 
 
@@ -11,6 +12,12 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_suffix_dedup(spark, d):
     return suffix_dedup.remove_repeats(read(spark, d, "documents"))
 
@@ -51,7 +58,14 @@ def op10_sharding(spark, d):
     return sharding.shard_documents(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding)}
+def op11_piece_encoding(spark, d):
+    model = piece_model_path()
+    back = pieces.decode(pieces.encode(read(spark, d, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding, op11_piece_encoding)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
