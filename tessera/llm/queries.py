@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, jaccard, licenses, mixing, packing, pieces, preference, quality, secrets, sharding, suffix_dedup
+from tessera.llm import cover_tree, jaccard, licenses, merkle, mixing, packing, pieces, preference, quality, secrets, sharding, suffix_dedup
 from tessera.llm.common import read
 
 
@@ -65,7 +65,16 @@ def op11_piece_encoding(spark, d):
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding, op11_piece_encoding)}
+def op12_merkle_manifest(spark, d):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    rows = merkle.manifest(read(spark, d, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed=changed)
+    root = merkle.folded(F.col("changed_leaf"), F.col("proof"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), root.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_quality_rules, op4_best_fit_packing, op5_chat_formatting, op6_license_scans, op7_secret_scans, op8_source_mixing, op9_jaccard_join, op10_sharding, op11_piece_encoding, op12_merkle_manifest)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -94,7 +103,25 @@ _MASK = """list_aggregate(list_transform(list_filter(range(1, len({s}) + 1), lam
  (coalesce(list_sum(list_transform({s}[1:i], lambda t: length(t.role) + length(t.text) + 13)), 0) - 0)::bigint::varchar), 'string_agg', ',')"""
 _RENDER = "coalesce(list_aggregate(list_transform({s}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), 'string_agg', ''), '')"
 
+_FIELD = "coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+lambda s, b: list_reduce(list_prepend(xor(s, b), [1, 1, 1, 1, 1, 1, 1, 1]::bigint[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"""
+#: The tree of each group by levels: a node's place, the size of its level, its hash; then siblings by level, a step for each leaf and level.
+_MERKLE = f"""with recursive d as (select row_number() over () as k, *, {_LEAF.format(n="n_chars")} as leaf, {_LEAF.format(n="(n_chars + case when " + _CRC + " % 7 = 0 then 1 else 0 end)")} as changed from documents),
+a as (select k, doc_id, coalesce('=' || lang, '-') as g, leaf, changed, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
+t as (select 0 as level, g, i, n, leaf as h from a union all select level + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from t where n > 1 group by level, g, i // 2, n),
+s as (select g, h, row_number() over (order by g) - 1 as i, count(*) over () as n, max(level) over (partition by g) as height from t where n = 1),
+u as (select 0 as level, i, n, h from s union all select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from u where n > 1 group by level, i // 2, n),
+p as (select a.k, t.level, (a.i >> t.level) & 1 as side, b.h from a join t on a.g = t.g and a.i >> t.level = t.i and t.n > 1 left join t b on b.g = t.g and b.level = t.level and b.i = xor(t.i, 1)
+union all select a.k, s.height + u.level, (s.i >> u.level) & 1, b.h from a join s on a.g = s.g join u on s.i >> u.level = u.i and u.n > 1 left join u b on b.level = u.level and b.i = xor(u.i, 1)),
+f as (select k, 0 as level, changed as h from a union all select f.k, f.level + 1, sha256(case when p.h is null then f.h when p.side = 1 then p.h || f.h else f.h || p.h end) from f join p on f.k = p.k and f.level = p.level),
+e as (select k, arg_max(h, level) as h from f group by 1), q as (select k, sha256(coalesce(string_agg(h, '' order by level), '')) as proof_sha256 from p group by 1)
+select doc_id, leaf, s.h as subroot, r.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, e.h as folded_root, e.h = r.h as verified
+from a join s on a.g = s.g join (select h from u where n = 1) r on true join e on e.k = a.k left join q on q.k = a.k"""
+
 ORACLES = {
+    "op12_merkle_manifest": _MERKLE,
     "op3_quality_rules": f"""with d as (select row_number() over () as k, doc_id, source, coalesce(text, '') as text from documents),
 w as (select k, doc_id, source, {WORDS} as w, text from d),
 win as (select k, i, array_to_string(w[i:i + 7], ' ') as s from (select k, w, unnest(range(1, len(w) - 6)) as i from w where len(w) > 7)),

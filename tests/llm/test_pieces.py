@@ -74,8 +74,3 @@ def test_documents(spark, tmp_path, monkeypatch):
     empty = docs.limit(0)
     assert pieces.decode(pieces.encode(empty, MODEL), MODEL).count() == 0
     assert pieces.encode(docs, MODEL).select(F.sum(F.size("ids"))).first()[0] == sum(len(LIBRARY.encode(t or "")) for t in texts)
-
-
-def test_no_byte_fallback_is_refused():
-    with pytest.raises(OSError):
-        pieces.PieceModel("/nowhere/model")
