@@ -32,7 +32,7 @@ KNOWN, KNOWN_CHARS = 400_000, 64
 #: Characters that are cut into stretches at once.
 WINDOW = 1 << 18
 #: Ids, or characters, that a task holds before it gives rows on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def stretches(joined: set[str]) -> str:
@@ -105,18 +105,26 @@ class PieceModel:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a stretch of text; a character that is no piece stands alone."""
-        n, pos, out, shorter, fits = len(text), 0, [], self.shorter, self.fits
-        longest = array("H", [1]) * n
+        n, pos, out, shorter, judged = len(text), 0, [], self.shorter, self.judged
+        longest = [1] * n if n <= KNOWN_CHARS else array("H", [1]) * n
         for end, size in self.matches.iter(text):
             longest[end - size + 1] = size
         failed, any_failed = bytearray(n // 8 + 1), False
         token = text[: longest[0]]
-        while pos < n:
+        while True:
             end = pos + len(token)
-            if not (any_failed and failed[end >> 3] >> (end & 7) & 1) and (not out or fits(out[-1], token)):
+            if any_failed and failed[end >> 3] >> (end & 7) & 1:
+                good = False
+            elif out:
+                good = judged.get((out[-1], token))
+                if good is None:
+                    good = self.fits(out[-1], token)
+            else:
+                good = True
+            if good:
                 out.append(token)
                 if end == n:
-                    break
+                    return out
                 pos = end
                 token = text[pos : pos + longest[pos]]
             elif len(token) > 1:
@@ -126,17 +134,13 @@ class PieceModel:
                 any_failed = True
                 token = out.pop()
                 pos -= len(token)
-        return out
 
     def stretch_ids(self, stretch: str) -> bytes:
-        ids = array("i")
-        for p in self.split(stretch):
-            i = self.ids.get(p)
-            if i is None:
-                ids.extend([self.bytes[b] for b in p.encode()])
-            else:
-                ids.append(i)
-        return ids.tobytes()
+        parts = self.split(stretch)
+        ids = list(map(self.ids.get, parts))
+        if None in ids:
+            ids = [i for p, i in zip(parts, ids, strict=True) for i in ([i] if i is not None else [self.bytes[b] for b in p.encode()])]
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, a window at a time; a window's last stretch may go on and is left to the next."""
@@ -172,27 +176,40 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of docs(doc_id, text), without begin or end ids."""
+def _rows(docs: DataFrame, path: str, back: bool) -> DataFrame:
     kept = docs.select("doc_id", "text")
-    schema = T.StructType([kept.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    fields = [kept.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+    schema = T.StructType(fields + [T.StructField("text", T.StringType())] if back else fields)
 
     def run(batches):
         m = model(path)
         for batch in batches:
-            rows, held, start = [], 0, 0
+            rows, texts, held, start = [], [], 0, 0
             for k, t in enumerate(batch.column("text")):
                 rows.append(m.encode(t.as_py() or ""))
+                if back:
+                    texts.append(m.library.decode(rows[-1].tolist()) or "")
                 held += len(rows[-1])
                 if held >= FLUSH or k == batch.num_rows - 1:
                     ends = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(rows)), lists], ["doc_id", "ids"])
-                    rows, held, start = [], 0, k + 1
+                    columns = [batch.column("doc_id").slice(start, len(rows)), lists] + ([pa.array(texts, pa.string())] if back else [])
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    rows, texts, held, start = [], [], 0, k + 1
 
     return kept.mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids array<int>) of docs(doc_id, text), without begin or end ids."""
+    return _rows(docs, path, False)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """encode's columns + text, the text that `decode` makes of the ids, in one pass."""
+    return _rows(docs, path, True)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded(doc_id, ids) + text, as the library gives it back; no ids give an empty text."""
     kept = encoded.select("doc_id", "ids")

@@ -59,8 +59,7 @@ def op10_sharding(spark, d):
 
 
 def op11_piece_encoding(spark, d):
-    model = piece_model_path()
-    back = pieces.decode(pieces.encode(read(spark, d, "documents"), model), model)
+    back = pieces.round_trip(read(spark, d, "documents"), piece_model_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -33,6 +33,13 @@ def test_long_runs_and_markers(text):
     assert OWN.encode(text).tolist() == LIBRARY.encode(text)
 
 
+def test_stretches_against_plain_merging():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices(["th", "e", "tion", "▁", "in", "g", "é", "x", "漢"], k=rng.randrange(1, 12)))
+        assert OWN.split(text) == OWN.merged(text)
+
+
 def test_windows_agree(monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choices(["the", "tion", " ", "  ", ".", "7", "漢", "\n", "qz"], k=4000))
@@ -71,6 +78,8 @@ def test_documents(spark, tmp_path, monkeypatch):
         ids = LIBRARY.encode(text or "")
         want.append(str((doc_id, len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids)))))
     assert got == sorted(want)
+    two = pieces.decode(pieces.encode(docs, MODEL), MODEL)
+    assert sorted(map(str, two.collect())) == sorted(map(str, pieces.round_trip(docs, MODEL).collect()))
     empty = docs.limit(0)
     assert pieces.decode(pieces.encode(empty, MODEL), MODEL).count() == 0
     assert pieces.encode(docs, MODEL).select(F.sum(F.size("ids"))).first()[0] == sum(len(LIBRARY.encode(t or "")) for t in texts)
