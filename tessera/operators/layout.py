@@ -1,5 +1,7 @@
 """Derived layouts: row-compressed, blocked, and column-condensed blocks."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,43 @@ def bcsr_values(coo: DataFrame, block: int = BLOCK) -> DataFrame:
         ((F.col("row") % block) * block + F.col("col") % block).cast("int").alias("off"),
         "val",
     )
-    return _densify(cells, ["rw", "bc"], block)
+    return _dense(cells, ["rw", "bc"], block, False)
 
 
-def _densify(cells: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """A block has block*block cells at most, so the collected list is bounded."""
-    packed = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("off", "val"))).alias("cell"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(block * block - 1)), lambda i: F.coalesce(F.col("cell")[i], F.lit(0.0)))
-    return packed.select(*keys, dense.alias("vals"))
+def _dense(cells: DataFrame, keys: list[str], block: int, gather: bool) -> DataFrame:
+    """keys + vals, the dense row-major values of each block; with `gather`, cols before it: the column at each of the block's places.
+
+    A block has block*block cells at most, so the collected list is bounded.
+    Places after the block's last column repeat that column. Arrays of many
+    blocks are filled at once in NumPy.
+    """
+    names, size = ["off", "val", *(["col"] if gather else [])], block * block
+    packed = cells.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("cells"))
+
+    def fill(batches):
+        for batch in batches:
+            n = batch.num_rows
+            lists = batch.column("cells")
+            flat = lists.flatten()
+            block_of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            off = flat.field("off").to_numpy()
+            vals = np.zeros(n * size)
+            vals[block_of * size + off] = flat.field("val").fill_null(0.0).to_numpy()
+            out = [batch.column(k) for k in keys]
+            if gather:
+                cols = np.full((n, block), np.iinfo(np.int64).min)
+                cols[block_of, off % block] = flat.field("col").to_numpy()
+                out.append(_lists(np.maximum.accumulate(cols, axis=1), block))
+            yield pa.RecordBatch.from_arrays([*out, _lists(vals, size)], [*keys, *(["cols"] if gather else []), "vals"])
+
+    schema = ", ".join([*[f"{k} long" for k in keys], *(["cols array<long>"] if gather else []), "vals array<double>"])
+    return packed.mapInArrow(fill, schema)
+
+
+def _lists(values: np.ndarray, size: int) -> pa.ListArray:
+    """Lists of `size` values each."""
+    flat = values.reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), pa.array(flat))
 
 
 def condensed_positions(coo: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -98,12 +129,7 @@ def condensed_cells(coo: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def condensed_blocks(coo: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rw, blk, cols array<long>, vals array<double>): condensed blocks with their gather lists."""
-    cells = condensed_cells(coo, block)
-    vals = _densify(cells.select("rw", "blk", "off", "val"), ["rw", "blk"], block)
-    cols = gather_list(coo, block).groupBy("rw", "blk").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "col"))), lambda x: x["col"]).alias("cols")
-    )
-    return vals.join(cols, ["rw", "blk"])
+    return _dense(condensed_cells(coo, block), ["rw", "blk"], block, True)
 
 
 def fill_rates(coo: DataFrame, block: int = BLOCK) -> DataFrame:
