@@ -18,10 +18,11 @@ empty table gives no rows.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.store import dropped, stored
+from tessera.llm.common import whole_row
 from tessera.operators.components import components
 
 #: Shingle counts are kept in this many cells, a fixed size for any corpus; they only order shingles.
@@ -389,10 +390,16 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
+def _rest_order(docs: DataFrame) -> Column:
+    """An order of rows by all columns but id and text; maps, which have no order, by their JSON."""
+    parts = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    return F.struct(F.lit(0), *parts)
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: that with the least doc_id (nulls last), then the least text key.
+    """One document of each component: that with the least doc_id (nulls last), then the least text key, then the least other columns in their order.
 
-    Rows that repeat this id and text go too. Wordless documents stay.
+    So it is the same row however the table is dealt out. Wordless documents stay.
     """
     found = _grouped(docs, size, percent)
     rows = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("c"))
@@ -406,4 +413,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     out = among(heads.filter("c = 1").select("doc_id", "text_key").unionByName(wordless))
     again = heads.filter("c > 1").select("doc_id", "text_key")
-    return out if again.isEmpty() else out.unionByName(among(again).dropDuplicates(["doc_id", "text"]))
+    if again.isEmpty():
+        return out
+    # Each task keeps one row of those that repeat an id and a text, so a large group of them never meets.
+    least = among(again).groupBy("doc_id", F.md5("text").alias("_key")).agg(F.min_by(whole_row(docs), _rest_order(docs)).alias("_row"))
+    return out.unionByName(least.select("_row.*"))

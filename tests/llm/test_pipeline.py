@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 from test_jaccard import brute
+from pyspark.sql import functions as F
 from test_native import check_mix
 
 from tessera.llm import mixing
@@ -60,3 +61,25 @@ def test_empty(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_the_same_row_of_repeats_stays_however_rows_are_dealt(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(3, text, "en", f"s{i}", 7 - i) for i in range(6)] + [(3, text, "en", None, 2), (None, text, "de", "a", 1)]
+    rows += [(None, text + " of another kind", "de", s, 1) for s in ("b", "a", "c")]
+    rows += [(9, " ".join(f"other{i}" for i in range(30)), "fr", s, None) for s in ("y", "x", "x")]
+    want = {(3, None), (9, "x")}
+    for parts in (1, 2, 3, 5):
+        mixed = rows[parts:] + rows[:parts]
+        docs = spark.createDataFrame(mixed, SCHEMA).repartition(parts).withColumns({"m": F.expr("map('k', n_chars)"), "_key": F.lit(1), "_row": F.lit(2)})
+        kept = P.near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert {(r["doc_id"], r["source"]) for r in kept.collect()} == want
+
+
+def test_clashing_columns_pass_all_stages(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA).limit(60).withColumns({c: F.lit(1) for c in ("root", "h", "key", "nid", "size", "target", "n_words", "kept")})
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert set(docs.columns) >= {"root", "h", "key", "nid", "size", "target", "n_words", "kept", "doc_id", "text"}
+    assert P.STAGES[-1][1](spark, docs, "").count() > 0
