@@ -5,10 +5,11 @@ other columns there are and however they are named. Null texts have no words, so
 the first stage removes them; null sources are one host and one source. Of rows
 that repeat an id and a text, the near duplicates keep one; rows that share an id
 but not their text are documents of their own in every stage. Ties are broken by
-the least id, then by the text's digest. An empty table passes all stages.
+the least id, then by the text's digest, then by the other columns in their order.
+An empty table passes all stages.
 """
 
-from tessera.functions.store import stored
+from tessera.functions.store import dropped, stored
 from tessera.llm import jaccard, mixing, packing, quality, secrets
 from tessera.llm.common import read
 from tessera.llm.queries import tokenizer_paths
@@ -58,5 +59,6 @@ def run(spark, sf_dir):
     """The stages applied to the documents one after another, each result written and read again."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
