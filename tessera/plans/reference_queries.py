@@ -319,6 +319,22 @@ def lsh_recall(spark, d):
     return counted.select("pairs", "made_up", (F.col("hits") >= 0.9 * F.col("pairs")).alias("recalled"))
 
 
+def mkst_forest(spark, d):
+    """How many edges of each similarity the maximum spanning forest has: the same for all such forests."""
+    forest, _ = reorder.mkst_forest(orders_parts(spark, d))
+    return forest.groupBy(F.round("w", 9).alias("sim")).agg(F.count("*").alias("edges"))
+
+
+def order_laws(spark, d):
+    """What makes an order of rows: as many as there are, none twice, places gapless from 0."""
+    found = None
+    for name, order in (("mkst", mkst_order(spark, d)), ("dtc", dtc_order(spark, d))):
+        counts = [F.count("*").alias("rows"), F.countDistinct("old_row").alias("old"), F.countDistinct("new_row").alias("new"), F.min("new_row").alias("first"), F.max("new_row").alias("last")]
+        one = order.agg(*counts).withColumn("name", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def mkst_order(spark, d):
     return reorder.mkst_order(orders_parts(spark, d), order_count(spark, d))
 
@@ -441,11 +457,22 @@ QUERIES = {
         spmm_embeddings, bcsr_values, csr_round_trip, bounds_filter, bounds_dropped, skew_expanded, padded_order, permuted_rows, mtx_entries,
         mtx_meta, mtx_skew_entries, window_array, reorder_map, core_table, reused_table, gather_text, block_metadata, log_rows, log_counts,
         log_last_rows, reorder_log_rows, timing_log_rows, profiler_times, delimited_rows, valid_times, samples_in_order, category_lines,
-        compare_lines, dumped_grid, lsh_recall,
+        compare_lines, dumped_grid, lsh_recall, mkst_forest, order_laws,
     )
 }
 
+KNN = "e as (select i, j, inter / union_size as sim from pr union all select j, i, inter / union_size from pr), kn as (select i, j, sim from (select *, row_number() over (partition by i order by sim desc, j desc) as k from e) where k <= 64)"
+#: A forest has as many edges at or above a similarity as the pairs there join nodes less the parts they make; labels of parts spread by least neighbors.
+FOREST = """u as (select distinct least(i, j) as a, greatest(i, j) as b, sim from kn), lv as (select sim, row_number() over (order by sim desc) as t from (select distinct sim from u)),
+g as (select t, a, b from u join lv on u.sim >= lv.sim), b as (select t, a, b from g union all select t, b, a from g),
+cc as (select t, a as node, a as label, 0 as it from (select distinct t, a from b) union all
+select * from (select c.t, c.node, least(any_value(c.label), min(o.label)) as label, any_value(c.it) + 1 as it from cc c join b on b.t = c.t and b.a = c.node join cc o on o.t = b.t and o.node = b.b where c.it < 40 group by 1, 2)),
+f as (select t, count(*) - count(distinct label) as edges from cc where it = 40 group by 1)
+select round(sim, 9) as sim, sum(edges)::bigint as edges from (select lv.sim, f.edges - coalesce(lag(f.edges) over (order by t), 0) as edges from f join lv using (t)) group by 1 having sum(edges) > 0"""
+
 ORACLES = {
+    "mkst_forest": f"with recursive {A}, {PAIRS}, {KNN}, {FOREST}",
+    "order_laws": "select name, n as rows, n as old, n as new, cast(0 as bigint) as first, n - 1 as last from (select max(o_orderkey) + 1 as n from orders), (values ('mkst'), ('dtc')) t(name)",
     "spmm_orders_parts": f"with {A} {SPMM}",
     "spmm_reordered_restored": f"with {A} {SPMM}",
     "spmm_blocked": f"with {A} {SPMM}",

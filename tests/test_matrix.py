@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_row_orders import kruskal, plain_merge, plain_walk
 
 from tessera.functions import prefix
 from tessera.functions.numeric import ceil_div, div_floor, round_exact, round_f16, round_up
@@ -217,30 +218,14 @@ def test_pairs_of_hot_columns(spark, monkeypatch):
 
 @pytest.mark.parametrize("n", [64, 2])
 def test_forest_order(spark, n):
-    """Against a walk that looks at all edges in each step."""
+    """Against Kruskal's forest over the same pairs, walked by hand."""
     sets, m = random_rows(2), 63
-    near = {i: sorted(((like(sets[i], sets[j]), j) for j in sets if j != i and like(sets[i], sets[j]) >= 0.2), reverse=True)[:n] for i in sets}
-    inside, order = set(), []
-    for root in range(m):
-        if root in inside:
-            continue
-        inside.add(root)
-        tree, children = [root], {}
-        while True:
-            edges = [(-w, i, j) for i in tree for w, j in near.get(i, ()) if j not in inside]
-            if not edges:
-                break
-            w, i, j = min(edges)
-            inside.add(j)
-            tree.append(j)
-            children.setdefault(i, []).append((w, j))
-
-        def visit(x):
-            order.append(x)
-            for _, y in sorted(children.get(x, ())):
-                visit(y)
-
-        visit(root)
+    near = {(min(i, j), max(i, j), w) for i in sets for w, j in sorted(((like(sets[i], sets[j]), j) for j in sets if j != i and like(sets[i], sets[j]) >= 0.2), reverse=True)[:n]}
+    trees = {}
+    for root, _, row in plain_walk(kruskal(near)[0]):
+        trees.setdefault(root, []).append(row)
+    inside = {x for t in trees.values() for x in t}
+    order = [x for root in range(m) if root in trees or root not in inside for x in trees.get(root, [root])]
     got = reorder.mkst_order(frame(spark, sets), m, n).orderBy("new_row").collect()
     assert [tuple(r) for r in got] == list(enumerate(order))
 
@@ -266,18 +251,38 @@ def cluster_by_hand(sets, cap, later):
     return sorted(sorted(p["rows"]) for p in parts)
 
 
+def clusters_in_turn(spark, sets, cap, later):
+    """The clusters of one walk through the pairs in order, by their least rows."""
+    pairs = [(i, j, like(sets[i], sets[j])) for i in sets for j in sets if i < j and like(sets[i], sets[j]) >= 0.2]
+    turns = spark.createDataFrame(pairs, "i long, j long, sim double").selectExpr("i", "j", "sim", "xxhash64(i, j)").collect()
+    parts = {x: [x] for x in sets}
+    for x, up in plain_merge([tuple(r) for r in turns], cap, later).items():
+        if x != up:
+            parts[up] += parts.pop(x)
+    return sorted(sorted(p) for p in parts.values())
+
+
 @pytest.mark.parametrize("caps", [(16, 128), (3, 2)])
 def test_cluster_order(spark, caps):
     sets, m = random_rows(4), 63
-    inner = cluster_by_hand(sets, caps[0], True)
+    inner = clusters_in_turn(spark, sets, caps[0], True)
     unions = {p[0]: frozenset().union(*(sets[r] for r in p)) for p in inner}
     rows_of = {p[0]: p for p in inner}
-    outer = cluster_by_hand(unions, caps[1], False) + [[r] for r in range(m) if r not in sets]
+    outer = clusters_in_turn(spark, unions, caps[1], False) + [[r] for r in range(m) if r not in sets]
     order = [r for part in sorted(outer) for c in part for r in rows_of.get(c, [c])]
     got = reorder.dtc_order(frame(spark, sets), m, cap=caps[0], outer_cap=caps[1]).orderBy("new_row").collect()
     assert [tuple(r) for r in got] == list(enumerate(order))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_clusters_are_as_close_as_those_of_a_queue(spark, seed):
+    """Against merging that goes on with pairs of leading rows that are hardly alike."""
+    sets = random_rows(seed)
+    inside = lambda parts: [like(sets[i], sets[j]) for p in parts for i in p for j in p if i < j]
+    mine, queue = inside(clusters_in_turn(spark, sets, 16, True)), inside(cluster_by_hand(sets, 16, True))
+    assert not queue or sum(mine) / len(mine) >= sum(queue) / len(queue)
+
+
 def test_streamed_product(spark, tmp_path):
     """Entries that arrive in two files, one coordinate in both, give the product of all of them."""
     parts = [[(0, 1, 2.0), (3, 2, 1.0)], [(0, 1, 5.0), (4, 0, -1.0)]]
