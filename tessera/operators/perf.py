@@ -4,18 +4,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import round_exact
+from tessera.functions.prefix import running_sum_in_order
+from tessera.functions.store import dropped, stored
 
 # Speedups beyond these count as a change.
 IMPROVED, REGRESSED = 1.005, 0.995
 # Columns of a log that a comparison carries along.
 CARRIED = ("m", "block_num")
 
+#: Ranges that a pass for a median counts.
+BUCKETS = 4096
+
 
 def by_group(df: DataFrame, group: str = "category", value: str = "perf_us") -> DataFrame:
     """(group, total, samples, mean, pct) per group; pct is 0 when the grand total is 0."""
     per = df.groupBy(group).agg(F.sum(value).alias("total"), F.count(value).alias("samples"), F.avg(value).alias("mean"))
-    whole = F.sum("total").over(Window.partitionBy())
-    return per.withColumn("pct", F.when(whole == 0, 0.0).otherwise(100 * F.col("total") / whole))
+    whole = F.col("_whole")
+    summed = per.crossJoin(F.broadcast(df.agg(F.sum(value).alias("_whole"))))
+    return summed.withColumn("pct", F.when(whole == 0, 0.0).otherwise(100 * F.col("total") / whole)).drop("_whole")
 
 
 def with_grand_total(df: DataFrame, group: str = "category", value: str = "perf_us") -> DataFrame:
@@ -54,6 +60,54 @@ def sort_report(report: DataFrame, by: str = "speedup") -> DataFrame:
     return report.orderBy(*names) if by == "sample" else report.orderBy(F.desc(SORTS[by]), *names)
 
 
+def placed_report(report: DataFrame, by: str = "speedup") -> DataFrame:
+    """report + place, gapless from 1 in the order of `sort_report`, without gathering the rows in a task."""
+    if by not in SORTS:
+        raise ValueError(f"unknown sort key {by!r}")
+    names = [F.col(c) for c in SORTS["sample"]]
+    order = names if by == "sample" else [F.desc(SORTS[by]), *names]
+    placed = running_sum_in_order(report.withColumn("_one", F.lit(1)), [], order, "_one", "_before")
+    return placed.withColumn("place", F.col("_before") + 1).drop("_one", "_before")
+
+
+def middle(df: DataFrame, value: str) -> float | None:
+    """The exact median of a column, the mean of the two middle values of an even number; null for no values.
+
+    Each pass counts the values in BUCKETS ranges between the bounds so far and
+    goes on in the range that holds the middle, until it is a single value. A pass
+    gathers a row for each range, and no task sees more than its share of the rows.
+    """
+    values = stored(df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull()))
+    n = values.count()
+    if not n:
+        return None
+
+    def at(rank: int) -> float:
+        """The value with so many before it. Infinite values and NaN, the greatest, are ranges of their own."""
+        lo = hi = None
+        while True:
+            inside = values if lo is None else values.filter((F.col("x") >= lo) & (F.col("x") <= hi))
+            ends = inside.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.when(F.abs("x") < float("inf"), F.col("x"))).alias("a"), F.max(F.when(F.abs("x") < float("inf"), F.col("x"))).alias("b")).first()
+            if ends["lo"] == ends["hi"] or ends["a"] is None and ends["lo"] != ends["lo"]:
+                return ends["lo"]
+            a, b = ends["a"] or 0.0, ends["b"] or 0.0
+            # Halves, as the width of all doubles is none.
+            share = (F.col("x") / 2 - a / 2) / (b / 2 - a / 2) if b > a else F.lit(0.0)
+            bucket = F.when(F.isnan("x"), BUCKETS + 2).when(F.col("x") == float("inf"), BUCKETS + 1).when(F.col("x") == float("-inf"), -1).otherwise(F.floor(share * BUCKETS))
+            rows = inside.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("bucket").collect()
+            for r in rows:
+                if rank < r["n"]:
+                    break
+                rank -= r["n"]
+            lo, hi = r["lo"], r["hi"]
+            if lo == hi or lo != lo:
+                return lo
+
+    low, high = at((n - 1) // 2), at(n // 2)
+    dropped(values)
+    return low if low == high else low + (high - low) / 2
+
+
 def valid(df: DataFrame, zeros: bool = False, value: str = "perf_us") -> DataFrame:
     """Rows with a usable time: numbers, without signs. A time of 0 is a failed profile; `zeros` keeps it, as the reorder mode does, and so lowers means."""
     fine = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) < float("inf"))
@@ -120,7 +174,7 @@ def summary(report: DataFrame) -> DataFrame:
         F.min("speedup").alias("min_speedup"),
         F.max("speedup").alias("max_speedup"),
         F.avg("speedup").alias("mean_speedup"),
-        F.percentile("speedup", F.lit(0.5)).alias("median_speedup"),
+        F.lit(middle(report, "speedup")).cast("double").alias("median_speedup"),
         F.try_divide(F.sum("base"), F.sum("opt")).alias("total_ratio"),
     )
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import round_f16
-from tessera.functions.prefix import running_start
+from tessera.functions.prefix import running_start, running_sum_in_order
 from tessera.functions.store import fresh_path
 from tessera.operators import coo as C
 from tessera.operators import layout, partition, perf, reorder, spmm, verify
@@ -112,24 +112,25 @@ def skew_expanded(spark, d):
     return C.expand_symmetry(orders_parts(spark, d).filter("row < col"), -1.0)
 
 
-def reversed_order(spark, d) -> DataFrame:
-    m = order_count(spark, d)
-    return spark.range(m).select(F.col("id").alias("new_row"), (m - 1 - F.col("id")).alias("old_row"))
+def customer_order(spark, d) -> DataFrame:
+    """The orders by customer, as a new order of the matrix's rows."""
+    t = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit(1).alias("one"))
+    return running_sum_in_order(t, [], [F.col("o_custkey"), F.col("o_orderkey")], "one", "new_row").select("new_row", F.col("o_orderkey").alias("old_row"))
 
 
 def padded_order(spark, d):
     m = order_count(spark, d)
-    return C.pad_rows(reversed_order(spark, d), m, (m + 15) // 16 * 16)
+    return C.pad_rows(customer_order(spark, d), m, (m + 15) // 16 * 16)
 
 
 def permuted_rows(spark, d):
-    return C.permute_rows(orders_parts(spark, d), reversed_order(spark, d))
+    return C.permute_rows(orders_parts(spark, d), customer_order(spark, d))
 
 
 def half_matrix(spark, d, symmetry):
-    """The parts and suppliers of one line number, as a matrix file written and read again."""
+    """The parts and suppliers, as a matrix file written and read again."""
     path = fresh_path(spark)
-    t = table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("val"))
+    t = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("val"))
     if symmetry != "general":
         t = t.filter("row >= col")
     n = part_count(spark, d)
@@ -159,7 +160,7 @@ def window_array(spark, d):
 
 def reorder_map(spark, d):
     path = f"{fresh_path(spark)}/reorder_ref.bin"
-    binary.write_array(reversed_order(spark, d).select(F.col("new_row").alias("idx"), F.col("old_row").alias("value")), path)
+    binary.write_array(customer_order(spark, d).select(F.col("new_row").alias("idx"), F.col("old_row").alias("value")), path)
     return binary.read_reorder_map(spark, path)
 
 
@@ -170,10 +171,13 @@ def core_table(spark, d):
 
 
 def reused_table(spark, d):
-    """Built once; the second call finds it and builds nothing."""
+    """Built once for its input; the second call finds it and builds nothing, and another parameter builds another."""
     path = fresh_path(spark)
-    sinks.reuse_or_build(spark, path, lambda: csr_row_ptr(spark, d))
-    return sinks.reuse_or_build(spark, path, lambda: spark.range(0))
+    build = lambda block: sinks.reuse_or_build(spark, path, lambda: layout.bcsr_blocks(orders_parts(spark, d), block), [f"{d}/lineitem.parquet"], {"block": block})
+    for block in (16, 8):
+        build(block)
+    again = lambda block: sinks.reuse_or_build(spark, path, lambda: spark.range(0), [f"{d}/lineitem.parquet"], {"block": block}).withColumn("block", F.lit(block))
+    return again(16).unionByName(again(8))
 
 
 def gather_text(spark, d):
@@ -275,6 +279,13 @@ def compare_lines(spark, d):
     return perf.compare_report(perf.compare(base, opt).withColumns({"m": F.lit(1).cast("long"), "block_num": F.lit(2).cast("long")}), base, opt).select("line")
 
 
+def compare_places(spark, d):
+    """The place of each sample in the report by speedup and in that by gain."""
+    report = perf.compare(*sides(spark, d))
+    place = lambda by: perf.placed_report(report, by).select(F.lit(by).alias("sort"), "place", "category", "sample")
+    return place("speedup").unionByName(place("abs"))
+
+
 def dumped_grid(spark, d):
     return verify.dump_grid(spmm_orders_parts(spark, d), 4)
 
@@ -457,7 +468,7 @@ QUERIES = {
         spmm_embeddings, bcsr_values, csr_round_trip, bounds_filter, bounds_dropped, skew_expanded, padded_order, permuted_rows, mtx_entries,
         mtx_meta, mtx_skew_entries, window_array, reorder_map, core_table, reused_table, gather_text, block_metadata, log_rows, log_counts,
         log_last_rows, reorder_log_rows, timing_log_rows, profiler_times, delimited_rows, valid_times, samples_in_order, category_lines,
-        compare_lines, dumped_grid, lsh_recall, mkst_forest, order_laws,
+        compare_lines, dumped_grid, lsh_recall, compare_places, mkst_forest, order_laws,
     )
 }
 
@@ -471,6 +482,7 @@ f as (select t, count(*) - count(distinct label) as edges from cc where it = 40
 select round(sim, 9) as sim, sum(edges)::bigint as edges from (select lv.sim, f.edges - coalesce(lag(f.edges) over (order by t), 0) as edges from f join lv using (t)) group by 1 having sum(edges) > 0"""
 
 ORACLES = {
+    "compare_places": f"with {SIDES}, {CMP} select 'speedup' as sort, row_number() over (order by speedup desc, category, sample) as place, category, sample from cm union all select 'abs', row_number() over (order by diff desc, category, sample), category, sample from cm",
     "mkst_forest": f"with recursive {A}, {PAIRS}, {KNN}, {FOREST}",
     "order_laws": "select name, n as rows, n as old, n as new, cast(0 as bigint) as first, n - 1 as last from (select max(o_orderkey) + 1 as n from orders), (values ('mkst'), ('dtc')) t(name)",
     "spmm_orders_parts": f"with {A} {SPMM}",
@@ -508,14 +520,14 @@ ORACLES = {
     "bounds_filter": f"with {A} select row, col, val from a where row < (select max(o_orderkey) + 1 from orders) // 2 and col < (select max(p_partkey) + 1 from part) // 2",
     "bounds_dropped": f"with {A} select count_if(row >= (select max(o_orderkey) + 1 from orders) // 2 or col >= (select max(p_partkey) + 1 from part) // 2) as dropped, count(*) as total from a",
     "skew_expanded": f"with {A} select row, col, val from a where row < col union all select col, row, -val from a where row < col",
-    "padded_order": "select i as new_row, case when i < m then m - 1 - i else i end as old_row from (select max(o_orderkey) + 1 as m from orders), lateral (select unnest(range((m + 15) // 16 * 16)) as i)",
-    "permuted_rows": f"with {A} select (select max(o_orderkey) from orders) - row as row, col, val from a",
-    "mtx_entries": "select 'first' as category, 'lines' as matrix, l_partkey - 1 + 1 as row, l_suppkey as col, sum(l_quantity) as val from lineitem where l_linenumber = 1 group by 3, 4",
-    "mtx_meta": "select 'first' as category, 'lines' as matrix, (select max(p_partkey) + 1 from part) as m, (select max(p_partkey) + 1 from part) as k, count(*) as nnz, 'general' as symmetry, count(*) as stored from (select distinct l_partkey, l_suppkey from lineitem where l_linenumber = 1)",
-    "mtx_skew_entries": "with h as (select l_partkey as row, l_suppkey as col, sum(l_quantity) as val from lineitem where l_linenumber = 1 and l_partkey >= l_suppkey group by 1, 2) select row, col, val from h union all select col, row, -val from h where row <> col",
+    "padded_order": "select new_row, old_row from (select row_number() over (order by o_custkey, o_orderkey) - 1 as new_row, o_orderkey as old_row from orders) union all select i, i from (select max(o_orderkey) + 1 as m from orders), lateral (select unnest(range(m, (m + 15) // 16 * 16)) as i)",
+    "permuted_rows": f"with {A} select new_row as row, col, val from a join (select row_number() over (order by o_custkey, o_orderkey) - 1 as new_row, o_orderkey as old_row from orders) on row = old_row",
+    "mtx_entries": "select 'first' as category, 'lines' as matrix, l_partkey - 1 + 1 as row, l_suppkey as col, sum(l_quantity) as val from lineitem group by 3, 4",
+    "mtx_meta": "select 'first' as category, 'lines' as matrix, (select max(p_partkey) + 1 from part) as m, (select max(p_partkey) + 1 from part) as k, count(*) as nnz, 'general' as symmetry, count(*) as stored from (select distinct l_partkey, l_suppkey from lineitem)",
+    "mtx_skew_entries": "with h as (select l_partkey as row, l_suppkey as col, sum(l_quantity) as val from lineitem where l_partkey >= l_suppkey group by 1, 2) select row, col, val from h union all select col, row, -val from h where row <> col",
     "window_array": f"with {A}, {COND}, {WIN}, aw as (select x.rw, coalesce(w.nblocks, 0) as nb from (select unnest(range((select (max(o_orderkey) + 16) // 16 from orders))) as rw) x left join w using (rw)) select rw as idx, cast(sum(nb) over (order by rw) - nb as double) as value from aw",
-    "reorder_map": "select i as new_row, m - 1 - i as old_row from (select max(o_orderkey) + 1 as m from orders), lateral (select unnest(range(m)) as i)",
-    "reused_table": f"with {A}, r as (select row, count(*) as nnz from a group by 1) select row, nnz, cast(sum(nnz) over (order by row) - nnz as bigint) as start from r",
+    "reorder_map": "select new_row, old_row from (select row_number() over (order by o_custkey, o_orderkey) - 1 as new_row, o_orderkey as old_row from orders)",
+    "reused_table": f"with {A} " + " union all ".join(f"select row // {n} as rw, col // {n} as bc, count(*) as nnz, col // {n} * {n} as col_start, {n} as block from a group by 1, 2, 4" for n in (16, 8)),
     "gather_text": f"with {A}, {COND}, z as (select rw, max(pos) as last from p group by 1), g as (select rw, last, unnest(range((last // 16 + 1) * 16)) as ix from z) select g.rw, ix // 16 as blk, string_agg(cast(p.col as varchar), ' ' order by ix) as cols from g join p on p.rw = g.rw and p.pos = least(ix, last) group by 1, 2",
     "block_metadata": f"with {A}, {COND}, {WIN}, f as (select (select count(*) from a) as nnz, (select count(*) from (select distinct row // 16, col // 16 from a)) as blocks, (select cast(sum(nblocks) as bigint) from w) as condensed_blocks) select 'NNZ' as key, cast(nnz as varchar) as value from f union all select 'BLOCKS', cast(blocks as varchar) from f union all select 'CONDENSED_BLOCKS', cast(condensed_blocks as varchar) from f",
     "log_rows": LOG.format(add=""),

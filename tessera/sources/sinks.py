@@ -1,5 +1,10 @@
 """Writers for matrices, layouts and reports."""
 
+import json
+from collections.abc import Sequence
+from hashlib import sha256
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +64,45 @@ def append_timings(df: DataFrame, path: str) -> None:
     body.select(F.concat(F.lit("Sample: "), "sample", F.lit("\n"), "s", F.lit("\n" + "-" * 40)).alias("value")).write.mode("append").text(path)
 
 
-def reuse_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at path if it is complete there, else build() written to it. A table that was not finished has no success mark."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        write_table(build(), path)
-    return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, inputs: Sequence[str] = (), params: dict | None = None) -> str:
+    """A digest of what a table is built from: the names, sizes and times of all input files, and the parameters.
+
+    Files are listed and digested by Spark, without their contents, so inputs may
+    be many and remote. A table that changes in any file gets another digest.
+    """
+    told = json.dumps(params or {}, sort_keys=True, default=str)
+    if not inputs:
+        return sha256(told.encode()).hexdigest()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(inputs)).select("path", "length", F.unix_micros("modificationTime").alias("t"))
+    # Sums of hashes don't depend on the order of the files.
+    each = F.sha2(F.concat_ws("|", "path", "length", "t"), 256)
+    part = lambda i: F.sum(F.conv(F.substring(each, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")
+    sums = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), *[part(i) for i in range(8)]).first()
+    return sha256((told + "|" + "|".join(map(str, sums))).encode()).hexdigest()
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether the mark beside a table is there; it is written after the table."""
+    try:
+        return not spark.read.schema("done string").text(f"{path}.done").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def reuse_or_build(spark: SparkSession, path: str, build, inputs: Sequence[str] = (), params: dict | None = None) -> DataFrame:
+    """The table below path that was built from these inputs and parameters, else build() written there.
+
+    Each fingerprint has a folder of its own, so a changed input gives a new table
+    and readers of the old one keep theirs. A table that was not finished has no mark
+    beside it and is written again.
+    """
+    place = f"{path}/{fingerprint(spark, inputs, params)}"
+    if not _finished(spark, place):
+        write_table(build(), place)
+        spark.createDataFrame([("done",)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}.done")
+    return spark.read.parquet(place)
 
 
 def report_lines(df: DataFrame, widths: dict[str, int]) -> DataFrame:

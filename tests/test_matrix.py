@@ -193,6 +193,29 @@ def test_stored_zeros(spark):
     assert rows(c, "row", "n", "val") == rows(spmm.spmm(a, spmm.dense_b(spark, 4, 2)), "row", "n", "val") == [(0, 0, 1.0), (0, 1, 8.0), (5, 0, 0.0), (5, 1, 0.0)]
 
 
+@pytest.mark.parametrize("values", [[], [3.5], [1.0, 2.0], [2.0] * 7, [float("inf"), 1.0, 2.0], [float("inf")] * 3 + [0.5], [float("-inf"), float("inf"), 4.0, 5.0], [1e308, -1e308, 3.0], [1.0, math.nextafter(1.0, 2.0), 1e-300, 5.0, None]])
+def test_exact_median(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(2)
+    assert perf.middle(df, "x") == df.agg(F.percentile("x", F.lit(0.5))).first()[0]
+
+
+def test_median_of_many(spark, monkeypatch):
+    monkeypatch.setattr(perf, "BUCKETS", 3)
+    rng = random.Random(4)
+    for n in (100, 101):
+        df = spark.createDataFrame([(rng.choice([rng.random(), 0.25, rng.random() * 1e9]),) for _ in range(n)], "x double")
+        assert perf.middle(df, "x") == pytest.approx(df.agg(F.percentile("x", F.lit(0.5))).first()[0], rel=1e-12)
+
+
+def test_places_of_a_report(spark):
+    rng = random.Random(8)
+    base = spark.createDataFrame([("c", f"s{i}", rng.choice([1.0, 2.0, 3.0])) for i in range(60)], "category string, sample string, perf_us double").repartition(4)
+    report = perf.compare(base, base.withColumn("perf_us", F.lit(2.0)))
+    for by in ("speedup", "abs", "sample"):
+        want = [r["sample"] for r in perf.sort_report(report, by).collect()]
+        assert [(r["place"], r["sample"]) for r in perf.placed_report(report, by).orderBy("place").collect()] == list(enumerate(want, 1))
+
+
 def random_rows(seed, m=60, columns=25):
     rng = random.Random(seed)
     return {r: frozenset(rng.sample(range(columns), rng.randrange(1, 6))) for r in range(m) if rng.random() < 0.9}
@@ -351,6 +374,15 @@ def test_sources(spark, tmp_path):
         got = sinks.reuse_or_build(spark, out, lambda n=n: built.append(n) or spark.range(n))
         assert got.count() == 3
     assert built == [3]
+    spark.range(4).write.parquet(str(tmp_path / "input"))
+    use = lambda params: sinks.reuse_or_build(spark, out, lambda: built.append(params) or spark.read.parquet(str(tmp_path / "input")), [str(tmp_path / "input")], params).count()
+    assert [use({"b": 1}), use({"b": 1}), use({"b": 2})] == [4, 4, 4] and built == [3, {"b": 1}, {"b": 2}]
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "input"))
+    assert [use({"b": 1}), use({"b": 1})] == [6, 6] and built == [3, {"b": 1}, {"b": 2}, {"b": 1}]
+    # A table without its mark was not finished.
+    place = f"{out}/{sinks.fingerprint(spark, [str(tmp_path / 'input')], {'b': 1})}"
+    spark.createDataFrame([], "value string").write.mode("overwrite").text(f"{place}.done")
+    assert use({"b": 1}) == 6 and len(built) == 5
     sinks.write_text(good.drop("seq", "file"), str(tmp_path / "csv"), header=True)
     assert rows(spark.read.csv(str(tmp_path / "csv"), header=True), "category", "perf_us") == [("HB", "11.5"), ("HB", "12.5")]
     sinks.append_log(good, str(tmp_path / "again"))
