@@ -352,6 +352,8 @@ def test_sources(spark, tmp_path):
     place = str(tmp_path / "vals.bin")
     assert binary.write_array(spark.range(0, 1000, 1, 7).select(F.col("id").alias("idx"), (F.col("id") / 8).alias("value")), place, "float16") == 1000
     assert rows(binary.read_array(spark, place, "float16"), "idx", "value") == [(i, i / 8) for i in range(1000)]
+    for size in (1, 7, 64, 1 << 30):
+        assert rows(binary.read_array(spark, place, "float16", size), "idx", "value") == [(i, i / 8) for i in range(1000)]
     (tmp_path / "none.dat").write_bytes(b"")
     with pytest.raises(Exception, match="not an array"):
         binary.read_array(spark, str(tmp_path / "none.dat")).collect()
