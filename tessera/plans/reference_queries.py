@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import round_f16
 from tessera.functions.prefix import running_start, running_sum_in_order
-from tessera.functions.store import fresh_path
+from tessera.functions.store import fresh_path, stored
 from tessera.operators import coo as C
 from tessera.operators import layout, partition, perf, reorder, spmm, verify
 from tessera.sources import binary, logs, matrix_market, sinks
@@ -322,12 +322,16 @@ def lsh_pairs(spark, d):
 
 
 def lsh_recall(spark, d):
-    """How the banded search does against the exact one: pairs it made up, and whether it found nine of ten."""
+    """How the banded search does against the exact one, by threshold: pairs it made up, and whether it found nine of ten."""
     a = orders_parts(spark, d)
-    exact, near = reorder.jaccard_pairs(a).select("i", "j"), reorder.lsh_jaccard_pairs(a).select("i", "j", F.lit(1).alias("hit"))
-    both = exact.withColumn("true", F.lit(1)).join(near, ["i", "j"], "full_outer")
-    counted = both.agg(F.count("true").alias("pairs"), F.count_if(F.col("true").isNull()).alias("made_up"), F.count_if(F.col("true").isNotNull() & F.col("hit").isNotNull()).alias("hits"))
-    return counted.select("pairs", "made_up", (F.col("hits") >= 0.9 * F.col("pairs")).alias("recalled"))
+    exact, found = stored(reorder.jaccard_pairs(a).select("i", "j", "sim")), None
+    for threshold in (0.2, 0.35, 0.5, 0.8):
+        near = reorder.lsh_jaccard_pairs(a, threshold).select("i", "j", F.lit(1).alias("hit"))
+        both = exact.filter(F.col("sim") >= threshold).select("i", "j", F.lit(1).alias("true")).join(near, ["i", "j"], "full_outer")
+        counted = both.agg(F.count("true").alias("pairs"), F.count_if(F.col("true").isNull()).alias("made_up"), F.count_if(F.col("true").isNotNull() & F.col("hit").isNotNull()).alias("hits"))
+        one = counted.select(F.lit(threshold).alias("threshold"), "pairs", "made_up", (F.col("hits") >= 0.9 * F.col("pairs")).alias("recalled"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def mkst_forest(spark, d):
@@ -551,5 +555,5 @@ printf('speedup: min=%.3fx, max=%.3fx, mean=%.3fx, median=%.3fx', lo, hi, me, md
 union all select printf('only in baseline: %d', count(*)) from (select category, sample from b except select category, sample from o)
 union all select printf('only in optimized: %d', count(*)) from (select category, sample from o except select category, sample from b)""",
     "dumped_grid": f"with {A}, c as ({SPMM}) select row, string_agg(printf('%6.1f', val), chr(9) order by n) as line from c where n < 4 group by 1",
-    "lsh_recall": f"with {A}, {PAIRS} select count(*) as pairs, cast(0 as bigint) as made_up, true as recalled from pr",
+    "lsh_recall": f"with {A}, {PAIRS} select t::double as threshold, count_if(inter / union_size >= t) as pairs, cast(0 as bigint) as made_up, true as recalled from pr, (values (0.2), (0.35), (0.5), (0.8)) v(t) group by t",
 }
