@@ -143,6 +143,7 @@ def compare_report(report: DataFrame, base: DataFrame, opt: DataFrame, by: str =
     place orders the lines of a part; it is unique but not gapless, as samples are ordered without being gathered.
     """
     spark, rule = report.sparkSession, "-" * 100
+    # The heading and the line format of the comparison report.
     head = f"{'Category':<20} {'Sample':<25} {'M':>6} {'Blocks':>7} {'Base(us)':>10} {'Opt(us)':>10} {'Diff(us)':>10} {'Speedup':>8}"
     line = F.format_string(
         "%-20s %-25s %6d %7d %10.2f %10.2f %10.2f %7.3fx", "category", "sample", F.coalesce("m", F.lit(0).cast("long")), F.coalesce("block_num", F.lit(0).cast("long")), *_to(2, "base", "opt", "diff"), *_to(3, "speedup")
