@@ -382,6 +382,12 @@ def spmm_wide_128(spark, d):
     return wide.select("row", F.aggregate("c", F.lit(0.0), lambda s, x: s + x).alias("row_sum"), F.array_max("c").alias("row_max"))
 
 
+def spmm_tiled_128(spark, d):
+    """The same product and checksums by tiles of B, whatever its size."""
+    tiled = spmm.spmm_tiled(orders_parts(spark, d), spmm.dense_b_rows(spark, part_count(spark, d), 128), 128)
+    return tiled.select("row", F.aggregate("c", F.lit(0.0), lambda s, x: s + x).alias("row_sum"), F.array_max("c").alias("row_max"))
+
+
 def verify_close(spark, d):
     return verify.verify(spmm_blocked(spark, d), spmm_orders_parts(spark, d))
 
@@ -467,7 +473,7 @@ QUERIES = {
     for f in (
         spmm_orders_parts, spmm_users_events, spmm_dense_grid, spmm_f16, coo_dedup_sum, coo_dedup_last, csr_row_ptr, bcsr_blocks,
         condensed_positions, condensed_windows, condensed_blocks, gather_list, fill_rates, core_split_24, jaccard_pairs, knn_topn,
-        lsh_pairs, mkst_order, dtc_order, spmm_reordered_restored, spmm_blocked, spmm_rowvec, spmm_wide_128, verify_close,
+        lsh_pairs, mkst_order, dtc_order, spmm_reordered_restored, spmm_blocked, spmm_rowvec, spmm_wide_128, spmm_tiled_128, verify_close,
         verify_mismatches, perf_by_group, perf_grand_total, perf_compare, perf_summary, perf_only_one_side, mean_time_by_timer,
         spmm_embeddings, bcsr_values, csr_round_trip, bounds_filter, bounds_dropped, skew_expanded, padded_order, permuted_rows, mtx_entries,
         mtx_meta, mtx_skew_entries, window_array, reorder_map, core_table, reused_table, gather_text, block_metadata, log_rows, log_counts,
@@ -476,6 +482,7 @@ QUERIES = {
     )
 }
 
+WIDE = f"with {A}, c as (select row, n, sum(val * {B_VAL}) as v from a, (select unnest(range(128)) as n) group by 1, 2) select row, cast(sum(v) as double) as row_sum, cast(max(v) as double) as row_max from c group by 1"
 KNN = "e as (select i, j, inter / union_size as sim from pr union all select j, i, inter / union_size from pr), kn as (select i, j, sim from (select *, row_number() over (partition by i order by sim desc, j desc) as k from e) where k <= 64)"
 #: A forest has as many edges at or above a similarity as the pairs there join nodes less the parts they make; labels of parts spread by least neighbors.
 FOREST = """u as (select distinct least(i, j) as a, greatest(i, j) as b, sim from kn), lv as (select sim, row_number() over (order by sim desc) as t from (select distinct sim from u)),
@@ -493,7 +500,8 @@ ORACLES = {
     "spmm_reordered_restored": f"with {A} {SPMM}",
     "spmm_blocked": f"with {A} {SPMM}",
     "spmm_rowvec": f"with {A} {SPMM}",
-    "spmm_wide_128": f"with {A}, c as (select row, n, sum(val * {B_VAL}) as v from a, (select unnest(range(128)) as n) group by 1, 2) select row, cast(sum(v) as double) as row_sum, cast(max(v) as double) as row_max from c group by 1",
+    "spmm_wide_128": WIDE,
+    "spmm_tiled_128": WIDE,
     "spmm_users_events": f"with k as (select event_type, row_number() over (order by event_type) - 1 as col from (select distinct event_type from events)), a as (select user_id as row, col, cast(count(*) as double) as val from events join k using (event_type) group by 1, 2) {SPMM}",
     "spmm_dense_grid": f"with {A}, c as ({SPMM}) select r as row, cast(g.n as integer) as n, coalesce(c.val, 0.0) as val from (select unnest(range((select max(o_orderkey) + 1 from orders))) as r) cross join {NS} g left join c on c.row = r and c.n = g.n",
     "spmm_f16": f"with h as (select l_orderkey as row, l_partkey as col, l_quantity / 10 as v from lineitem), a as (select row, col, sum(round_even(({HALF}) * 1048576, 0)) as val from h group by 1, 2) {SPMM}",

@@ -413,3 +413,20 @@ def test_long_timing_log(spark, tmp_path, monkeypatch):
         assert rows(got, "sample", "timer", "ms") == sorted((f"s{i}", "launch", i + 0.5) for i in range(400))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("tile_bytes, sums_bytes", [(1, 1), (5 * 8 * 7, 5 * 8 * 11), (spmm.TILE_BYTES, spmm.SUMS_BYTES)])
+def test_tiled_product(spark, tile_bytes, sums_bytes):
+    rng = random.Random(3)
+    # A third of the entries in one column; repeated places; a row with a value in every column; ids above 2^53; columns without a row of B.
+    entries = [(rng.randrange(90), 4 if i % 3 == 0 else rng.randrange(60), float(rng.randrange(-3, 4))) for i in range(600)]
+    entries += [(91, c, 1.0) for c in range(60)] + [(2**60 + 1, 7, 2.0), (2**60 + 2, 7, 3.0), (92, 400, 1.0), (93, 0, 0.0)]
+    a = spark.createDataFrame([*entries, (None, 1, 1.0), (1, None, 1.0), (1, 1, None)], COO)
+    b = spmm.dense_b_rows(spark, 53, 5)
+    got = {r["row"]: r["c"] for r in spmm.spmm_tiled(a, b, 5, tile_bytes, sums_bytes).collect()}
+    want = {}
+    for r, c, v in entries:
+        if c < 53:
+            want[r] = [x + v * (1 + (31 * c + 17 * n) % 10) for n, x in enumerate(want.get(r, [0.0] * 5))]
+    assert got == want
+    assert spmm.spmm_tiled(a.limit(0), b, 5).count() == spmm.spmm_tiled(a, b.limit(0), 5).count() == 0
