@@ -1,18 +1,21 @@
 """Two-pass shuffle into shards.
 
 Pass one scatters whole rows by seeded hash into shards, and within a shard into
-buckets whose mean size is bounded in bytes and in rows. Pass two shuffles each
-bucket (Fisher-Yates with seeded draws), numbers its rows and writes them. A swap
-copies the bucket's list of places, so buckets are kept at some hundred rows: the
-work is then in proportion to all rows, and each row costs one bucket's list at
-most. Since rows fall to buckets at random and buckets are shuffled evenly, the
-order within a shard is a random one. Rows are sorted
-by bucket, which Spark spills, so no bucket has to fit in memory. The shard of a row depends on its id and
-the number of shards alone, by highest random weight: a new shard takes rows
-only into itself. Null texts have size 1; null ids fall to one shard.
-The bucket of a row and its place before the shuffle depend on one digest of all its columns, so rows that share an id, or
-have none, are spread over the buckets of their shard; only rows that are equal
-in all columns meet. Repeated rows get slots of their own. An empty table gives no rows.
+buckets of a bounded mean size in bytes and in rows; a shard with more rows gets
+more buckets. Pass two shuffles each bucket (Fisher-Yates with seeded draws),
+numbers its rows and writes them. Since rows fall to buckets at random and
+buckets are shuffled evenly, the order within a shard is a random one. Rows are
+sorted by bucket, which Spark spills, so no bucket has to fit in memory. The
+places of a bucket are 4 bytes each in one binary value, and a swap copies that
+value: 16 KiB at 4096 rows, a cost for each row that doesn't follow the table.
+
+The shard of a row depends on its id and the number of shards alone, by highest
+random weight: a new shard takes rows only into itself. Null texts have size 1;
+null ids fall to one shard. The bucket of a row and its place before the shuffle
+follow from 128 bits over all its columns, so rows that share an id, or have
+none, are spread over the buckets of their shard. Rows equal in all columns (in
+these bits) that are more than a bucket's rows are counted, numbered anew and
+spread by number. Repeated rows get slots of their own. An empty table gives no rows.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +26,9 @@ from tessera.llm.common import whole_row
 
 SHARDS, SEED = 16, 7
 #: Mean rows and bytes of a bucket at most, which is shuffled at once.
-BUCKET_ROWS, BUCKET_BYTES = 400, 1 << 20
+BUCKET_ROWS, BUCKET_BYTES = 4096, 64 << 20
+#: Tasks that buckets are dealt to at most; beyond it a task does several, one after another.
+MAX_TASKS = 20_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -32,22 +37,38 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*weights)["s"]
 
 
+def bucket_hash(seed: int, *keys: Column) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit("bucket"), *keys)
+
+
 def bucket_of(keys: list[Column], buckets: int, seed: int = SEED) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), *keys), F.lit(buckets))
+    return F.pmod(bucket_hash(seed, *keys), F.lit(buckets))
 
 
 def fisher_yates(n: Column, *salt: Column) -> Column:
     """A seeded permutation of 0..n-1: from the last place down, each place swaps with one at or below it."""
+    return _swapped(n, lambda: F.sequence(n - 1, F.lit(1), F.lit(-1)), salt)
+
+
+def places_after(n: Column, *salt: Column) -> Column:
+    """Where the same shuffle puts each of 0..n-1, its inverse: the same swaps from the first place up."""
+    return _swapped(n, lambda: F.sequence(F.lit(1), n - 1), salt)
+
 
-    def swap(a: Column, i: Column) -> Column:
-        j = F.pmod(F.xxhash64(F.lit(SEED), *salt, i), i + 1).cast("int")
-        moved = F.concat(
-            F.slice(a, F.lit(1), j), F.array(a[i]), F.slice(a, j + 2, F.greatest(i - j - 1, F.lit(0))), F.array(a[j]), F.slice(a, i + 2, n - i)
-        )
-        return F.when(j == i, a).otherwise(moved)
+def _swapped(n: Column, steps, salt) -> Column:
+    def at(a: Column, i: Column) -> Column:
+        return F.substring(a, i * 4 + 1, F.lit(4))
+
+    def draw(i: Column) -> Column:
+        return F.struct(i.alias("i"), F.pmod(F.xxhash64(F.lit(SEED), *salt, i), i + 1).cast("int").alias("j"))
+
+    def swap(a: Column, d: Column) -> Column:
+        return F.overlay(F.overlay(a, at(a, d["j"]), d["i"] * 4 + 1, F.lit(4)), at(a, d["i"]), d["j"] * 4 + 1, F.lit(4))
 
     places = F.sequence(F.lit(0), n - 1)
-    return F.when(n < 2, places).otherwise(F.aggregate(F.sequence(n - 1, F.lit(1), F.lit(-1)), places, swap))
+    packed = F.unhex(F.array_join(F.transform(places, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    unpacked = F.aggregate(F.transform(steps(), draw), packed, swap, lambda a: F.transform(places, lambda x: F.conv(F.hex(at(a, x)), 16, 10).cast("int")))
+    return F.when(n < 2, places).otherwise(unpacked)
 
 
 def digest_of(rows: DataFrame) -> Column:
@@ -65,19 +86,43 @@ def bytes_of(rows: DataFrame) -> Column:
     return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(8 * len(kinds)).cast("long"))
 
 
+def numbered_copies(placed: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
+    """placed (shard, digest, r) + copy: 0, or of rows with more than `most` equal ones a number from 0.
+
+    Such rows are reduced to one of a kind by partial aggregates and made again
+    from its count, so their numbers need no sort of all of them.
+    """
+    many = kinds.filter(F.col("n") > most).select("shard", "digest", "n")
+    kept = placed.join(many, ["shard", "digest"], "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    one = placed.join(many, ["shard", "digest"]).groupBy("shard", "digest").agg(F.first("r").alias("r"), F.first("n").alias("n"))
+    parts = one.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {most}")))).repartition("shard", "digest", "part")
+    numbers = F.sequence(F.col("part") * most, F.least("n", (F.col("part") + 1) * most) - 1)
+    return kept.unionByName(parts.select("shard", "digest", "r", F.explode(numbers).alias("copy")))
+
+
 def dealt_rows(rows: DataFrame, shards: int, seed: int, bucket_rows: int, bucket_bytes: int) -> DataFrame:
     """r (a whole row as a struct), shard, slot; slots are gapless from 0 in each shard."""
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(bytes_of(rows)), F.lit(0))).first()
-    buckets = max(1, round(n / shards / bucket_rows), -(-size // (shards * bucket_bytes)))
-    digest = rows.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), digest_of(rows).alias("digest"), whole_row(rows).alias("r"))
-    placed = digest.withColumn("bucket", bucket_of([F.col("digest.h0"), F.col("digest.h1")], buckets, seed))
+    digest = rows.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), digest_of(rows).alias("digest"), bytes_of(rows).alias("bytes"), whole_row(rows).alias("r"))
+    kinds = digest.groupBy("shard", "digest").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    # One row for each shard.
+    held = kinds.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most")).collect()
+    buckets = {r["shard"]: max(1, -(-r["n"] // bucket_rows), -(-r["bytes"] // bucket_bytes)) for r in held}
+    placed = digest.select("shard", "digest", "r")
+    if any(r["most"] > bucket_rows for r in held):
+        placed = numbered_copies(placed, kinds, bucket_rows)
+    else:
+        placed = placed.withColumn("copy", F.lit(0).cast("long"))
+    within = F.array(*[F.lit(buckets.get(s, 1)).cast("long") for s in range(shards)])[F.col("shard")]
+    placed = placed.withColumn("bucket", F.pmod(bucket_hash(seed, F.col("digest.h0"), F.col("digest.h1"), F.col("copy")), within))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n"))
-    order = fisher_yates(F.col("n").cast("int"), F.col("shard"), F.col("bucket"))
-    orders = base.select("shard", "bucket", "base", order.alias("order"))
-    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("digest.h0", "digest.h1", "r")) - 1
-    dealt = placed.withColumn("at", at).join(orders, ["shard", "bucket"])
-    slot = F.col("base") + F.array_position("order", F.col("at")) - 1
+    tasks = min(MAX_TASKS, max(1, sum(buckets.values())))
+    # The shuffles are drawn where the buckets lie, and not by the few tasks that number them.
+    places = places_after(F.col("n").cast("int"), F.col("shard"), F.col("bucket"))
+    orders = base.repartition(tasks, "shard", "bucket").select("shard", "bucket", "base", places.alias("places"))
+    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("digest.h0", "digest.h1")) - 1
+    dealt = placed.repartition(tasks, "shard", "bucket").withColumn("at", at).join(orders.hint("merge"), ["shard", "bucket"])
+    slot = F.col("base") + F.col("places")[F.col("at")]
     return dealt.select("r", F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot")).sortWithinPartitions("shard", "slot")
 
 

@@ -491,3 +491,28 @@ def test_sharding_against_a_walk(spark):
     assert sorted((d, c) for v in slots.values() for _, d, c in v) == sorted((i % 1100, zlib.crc32((t or "").encode())) for i, t in enumerate(texts))
     for held in slots.values():
         assert [s for s, _, _ in sorted(held)] == list(range(len(held)))
+
+
+def test_places_after_a_shuffle(spark):
+    df = spark.createDataFrame([(s, b, n) for s in range(2) for b in range(3) for n in (1, 2, 3, 17, 300)], "shard int, bucket long, n int")
+    salt = (F.col("n"), F.col("shard"), F.col("bucket"))
+    for r in df.select("n", sharding.fisher_yates(*salt).alias("p"), sharding.places_after(*salt).alias("q")).collect():
+        assert sorted(r["p"]) == list(range(r["n"])) and [r["p"][k] for k in r["q"]] == list(range(r["n"]))
+
+
+def test_sharding_many_equal_rows(spark):
+    # A third of all rows are equal in all columns; buckets hold 50 rows on average.
+    data = [(7, "same", "x")] * 700 + [(None, None, None)] * 120 + [(i, f"t{i}", "x") for i in range(1300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, copy string").repartition(5)
+    got = sharding.shuffle_rows(docs, 4, bucket_rows=50).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["copy"] or "") for r in got) == sorted((d is not None, d or 0, t or "", c or "") for d, t, c in data)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    again = sharding.shuffle_rows(docs.repartition(2), 4, bucket_rows=50).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    # The equal rows are spread over their shard: no half of it holds most of them.
+    same = [r["slot"] for r in got if r["text"] == "same"]
+    half = len(slots[next(r["shard"] for r in got if r["text"] == "same")]) / 2
+    assert 0.35 < sum(s < half for s in same) / len(same) < 0.65
