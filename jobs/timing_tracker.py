@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import main, with_defaults
 from tessera.operators import perf
+from tessera.streaming.incremental import as_glob
 
 log = logging.getLogger("jobs.timing_tracker")
 
@@ -55,12 +56,6 @@ def changes(daily: DataFrame, base_days: int) -> DataFrame:
     return perf.compare(side(True), side(False))
 
 
-def as_glob(path: str) -> str:
-    """The path as a pattern for itself: a stream takes a plain path for a folder, and a table may be one file."""
-    path = path.rstrip("/")
-    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-
-
 def run(spark: SparkSession, events: str, output: str, checkpoint: str, config: dict | None = None) -> dict[str, int]:
     """Takes the new files of the table at `events`; returns how many events were taken and rejected, and the report's rows."""
     conf = with_defaults("timing_tracker", config)

@@ -9,6 +9,7 @@ from tessera.functions.store import fresh_path, stored
 from tessera.operators import coo as C
 from tessera.operators import layout, partition, perf, reorder, spmm, verify
 from tessera.sources import binary, logs, matrix_market, sinks
+from tessera.streaming import incremental
 
 N = 8
 
@@ -388,6 +389,15 @@ def spmm_tiled_128(spark, d):
     return tiled.select("row", F.aggregate("c", F.lit(0.0), lambda s, x: s + x).alias("row_sum"), F.array_max("c").alias("row_max"))
 
 
+def streamed_product(spark, d):
+    """The product of a matrix kept current from a stream: of the lines at a place, the last one counts."""
+    lines = spark.readStream.schema(table(spark, d, "lineitem").schema).parquet(incremental.as_glob(f"{d}/lineitem.parquet"))
+    entries = lines.select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"), F.col("l_linenumber").alias("seq"))
+    path = fresh_path(spark)
+    incremental.follow(entries, f"{path}/log", f"{path}/checkpoint")
+    return spmm.spmm_formula(incremental.current(spark, f"{path}/log"), N)
+
+
 def verify_close(spark, d):
     return verify.verify(spmm_blocked(spark, d), spmm_orders_parts(spark, d))
 
@@ -473,7 +483,7 @@ QUERIES = {
     for f in (
         spmm_orders_parts, spmm_users_events, spmm_dense_grid, spmm_f16, coo_dedup_sum, coo_dedup_last, csr_row_ptr, bcsr_blocks,
         condensed_positions, condensed_windows, condensed_blocks, gather_list, fill_rates, core_split_24, jaccard_pairs, knn_topn,
-        lsh_pairs, mkst_order, dtc_order, spmm_reordered_restored, spmm_blocked, spmm_rowvec, spmm_wide_128, spmm_tiled_128, verify_close,
+        lsh_pairs, mkst_order, dtc_order, spmm_reordered_restored, spmm_blocked, spmm_rowvec, spmm_wide_128, spmm_tiled_128, streamed_product, verify_close,
         verify_mismatches, perf_by_group, perf_grand_total, perf_compare, perf_summary, perf_only_one_side, mean_time_by_timer,
         spmm_embeddings, bcsr_values, csr_round_trip, bounds_filter, bounds_dropped, skew_expanded, padded_order, permuted_rows, mtx_entries,
         mtx_meta, mtx_skew_entries, window_array, reorder_map, core_table, reused_table, gather_text, block_metadata, log_rows, log_counts,
@@ -502,6 +512,7 @@ ORACLES = {
     "spmm_rowvec": f"with {A} {SPMM}",
     "spmm_wide_128": WIDE,
     "spmm_tiled_128": WIDE,
+    "streamed_product": f"with a as (select l_orderkey as row, l_partkey as col, arg_max(l_quantity, (l_linenumber, l_quantity)) as val from lineitem group by 1, 2) {SPMM}",
     "spmm_users_events": f"with k as (select event_type, row_number() over (order by event_type) - 1 as col from (select distinct event_type from events)), a as (select user_id as row, col, cast(count(*) as double) as val from events join k using (event_type) group by 1, 2) {SPMM}",
     "spmm_dense_grid": f"with {A}, c as ({SPMM}) select r as row, cast(g.n as integer) as n, coalesce(c.val, 0.0) as val from (select unnest(range((select max(o_orderkey) + 1 from orders))) as r) cross join {NS} g left join c on c.row = r and c.n = g.n",
     "spmm_f16": f"with h as (select l_orderkey as row, l_partkey as col, l_quantity / 10 as v from lineitem), a as (select row, col, sum(round_even(({HALF}) * 1048576, 0)) as val from h group by 1, 2) {SPMM}",

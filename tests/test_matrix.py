@@ -312,12 +312,44 @@ def test_streamed_product(spark, tmp_path):
     for i, part in enumerate(parts):
         spark.createDataFrame(part, COO).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(COO).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running = incremental.streaming_spmm(stream, 3).writeStream.format("memory").queryName("running").outputMode("complete")
+    running = spmm.spmm_formula(stream, 3).writeStream.format("memory").queryName("running").outputMode("complete")
     running.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     want = rows(spmm.spmm_formula(spark.createDataFrame(parts[0] + parts[1], COO), 3), "row", "n", "val")
     assert rows(spark.table("running"), "row", "n", "val") == want
 
 
+def test_matrix_kept_current(spark, tmp_path):
+    """Over two runs: later entries replace earlier ones, however they arrive; only touched rows are made anew."""
+    schema = "row long, col long, val double, seq long"
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+
+    def arrive(*entries):
+        spark.createDataFrame(entries, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        incremental.follow(stream, log, state)
+        return rows(incremental.current(spark, log), "row", "col", "val")
+
+    arrive((0, 1, 2.0, 5), (0, 1, 9.0, 4), (3, 2, 1.0, 1), (3, 2, 1.0, 1), (None, 1, 1.0, 1), (1, 1, 1.0, None))
+    first = run()
+    assert first == [(0, 1, 2.0), (3, 2, 1.0)] == run()
+    seen = spark.read.parquet(log).agg(F.max("batch")).first()[0]
+    # One newer, one late, one of the same seq with a greater value, one new place with a stored 0.
+    arrive((0, 1, 7.0, 6))
+    arrive((0, 1, -1.0, 3), (3, 2, 4.0, 1), (8, 0, 0.0, 2))
+    assert run() == [(0, 1, 7.0), (3, 2, 4.0), (8, 0, 0.0)]
+    arrive((8, 2, 3.0, 1))
+    mark = spark.read.parquet(log).agg(F.max("batch")).first()[0]
+    assert mark > seen
+    standing = run()
+    times = lambda a: spmm.spmm_formula(a, 3)
+    whole = rows(times(incremental.current(spark, log)), "row", "n", "val")
+    assert rows(incremental.refreshed(spark, log, mark, times), "row", "n", "val") == [r for r in whole if r[0] == 8]
+    assert rows(incremental.refreshed(spark, log, -1, times), "row", "n", "val") == whole
+    assert standing == [(0, 1, 7.0), (3, 2, 4.0), (8, 0, 0.0), (8, 2, 3.0)]
+
+
 def test_sources(spark, tmp_path):
     d = tmp_path / "HB"
     d.mkdir()
