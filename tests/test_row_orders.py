@@ -2,8 +2,11 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions.joins import spread_join
 from tessera.functions.prefix import running_sum_in_order
+from tessera.operators import coo as C
 from tessera.operators.clusters import merged
 from tessera.operators.forest import depth_first, followed, maximum_forest, rooted
 
@@ -129,3 +132,13 @@ def test_rounds_equal_one_walk(spark, seed, cap, later):
 
 def test_no_pairs(spark):
     assert merged(spark.createDataFrame([], "i long, j long, sim double"), 16, True).count() == 0
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Files of numbers are small and their rows many: neither the salted join nor the grouped running sum leaves a broadcast to chance."""
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "key long, v long")
+    summed = running_sum_in_order(pairs, ["key"], [F.col("v")], "v", "s")
+    for df in (spread_join(pairs, pairs.withColumnRenamed("v", "w"), "key"), summed, C.permute_rows(pairs.withColumnRenamed("key", "row"), pairs.toDF("new_row", "old_row"))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
