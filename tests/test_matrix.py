@@ -462,3 +462,19 @@ def test_tiled_product(spark, tile_bytes, sums_bytes):
             want[r] = [x + v * (1 + (31 * c + 17 * n) % 10) for n, x in enumerate(want.get(r, [0.0] * 5))]
     assert got == want
     assert spmm.spmm_tiled(a.limit(0), b, 5).count() == spmm.spmm_tiled(a, b.limit(0), 5).count() == 0
+
+
+def test_sums_of_a_row_lie_side_by_side(spark):
+    """Widths beside and beyond a lane; ragged rows and nulls as in the plain sums; the exchange carries no row for each cell."""
+    coo = spark.createDataFrame([(r, c, float(r * c % 7 + 1)) for r in range(9) for c in range(5) if (r + c) % 3], "row long, col long, val double")
+    cells = {(r["row"], r["col"]): r["val"] for r in coo.collect()}
+    for n in (1, 8, 19):
+        got = {(r["row"], r["n"]): r["val"] for r in spmm.spmm_formula(coo, n).collect()}
+        assert got == {(i, j): sum(v * (1 + (31 * c + 17 * j) % 10) for (r, c), v in cells.items() if r == i) for i, _ in cells for j in range(n)}
+        assert got == {(r["row"], r["n"]): r["val"] for r in spmm.spmm_rows(coo, spmm.dense_b_rows(spark, 5, n)).collect()}
+    ragged = spark.createDataFrame([(0, [2.0, None]), (1, [3.0] * 10), (2, [])], "k long, b array<double>")
+    ones = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0)], "row long, col long, val double")
+    got = sorted(tuple(r) for r in spmm.spmm_rows(ones, ragged).collect())
+    assert got == [(0, 0, 2.0), (0, 1, None), *[(1, j, 3.0) for j in range(10)]]
+    plan = spmm.spmm_formula(coo, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Aggregate")
