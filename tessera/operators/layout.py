@@ -1,12 +1,18 @@
 """Derived layouts: row-compressed, blocked, and column-condensed blocks."""
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import BLOCK, ceil_div, div_floor, fill_fraction, fill_mean, fill_per_block
 from tessera.functions.prefix import running_start
+from tessera.functions.store import stored
+
+#: Entries of a window of rows that one task numbers; the columns of longer windows are numbered in ranges.
+LONG_WINDOW = 1 << 16
 
 
 def csr_row_ptr(coo: DataFrame) -> DataFrame:
@@ -32,8 +38,8 @@ def bcsr_blocks(coo: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def bcsr_values(coo: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(rw, bc, vals array<double>): dense row-major values of each uncondensed block.
+def bcsr_values(coo: DataFrame, block: int = BLOCK, then: "Then | None" = None) -> DataFrame:
+    """(rw, bc, vals array<double>): dense row-major values of each uncondensed block, or what `then` makes of them.
 
     Repeated coordinates are added up first.
     """
@@ -43,10 +49,14 @@ def bcsr_values(coo: DataFrame, block: int = BLOCK) -> DataFrame:
         ((F.col("row") % block) * block + F.col("col") % block).cast("int").alias("off"),
         "val",
     )
-    return _dense(cells, ["rw", "bc"], block, False)
+    return _dense(cells, ["rw", "bc"], block, False, then)
+
 
+#: A function of (batch, cols, vals) that gives a batch, and its schema: filled blocks are reduced in the task that fills them.
+Then = tuple[Callable[[pa.RecordBatch, np.ndarray | None, np.ndarray], pa.RecordBatch], str]
 
-def _dense(cells: DataFrame, keys: list[str], block: int, gather: bool) -> DataFrame:
+
+def _dense(cells: DataFrame, keys: list[str], block: int, gather: bool, then: Then | None = None) -> DataFrame:
     """keys + vals, the dense row-major values of each block; with `gather`, cols before it: the column at each of the block's places.
 
     A block has block*block cells at most, so the collected list is bounded.
@@ -65,15 +75,20 @@ def _dense(cells: DataFrame, keys: list[str], block: int, gather: bool) -> DataF
             off = flat.field("off").to_numpy()
             vals = np.zeros(n * size)
             vals[block_of * size + off] = flat.field("val").fill_null(0.0).to_numpy()
-            out = [batch.column(k) for k in keys]
+            out, cols = [batch.column(k) for k in keys], None
             if gather:
                 cols = np.full((n, block), np.iinfo(np.int64).min)
                 cols[block_of, off % block] = flat.field("col").to_numpy()
-                out.append(_lists(np.maximum.accumulate(cols, axis=1), block))
+                cols = np.maximum.accumulate(cols, axis=1)
+                out.append(_lists(cols, block))
+            if then:
+                yield then[0](pa.RecordBatch.from_arrays(out[: len(keys)], keys), cols, vals.reshape(n, size))
+                continue
             yield pa.RecordBatch.from_arrays([*out, _lists(vals, size)], [*keys, *(["cols"] if gather else []), "vals"])
 
-    schema = ", ".join([*[f"{k} long" for k in keys], *(["cols array<long>"] if gather else []), "vals array<double>"])
-    return packed.mapInArrow(fill, schema)
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *(["cols array<long>"] if gather else []), "vals array<double>"])
+    return packed.mapInArrow(fill, then[1] if then else schema)
 
 
 def _lists(values: np.ndarray, size: int) -> pa.ListArray:
@@ -90,14 +105,18 @@ def condensed_positions(coo: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def condensed_window_blocks(coo: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rw, ncols, nblocks, start): blocks of each window and the running block number."""
-    per = (
+    return running_start(window_sizes(coo, block), "rw", "nblocks", "start")
+
+
+def window_sizes(coo: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(rw, ncols, nblocks): distinct columns and condensed blocks of each window."""
+    return (
         coo.select(div_floor(F.col("row"), block).alias("rw"), "col")
         .distinct()
         .groupBy("rw")
         .agg(F.count("*").alias("ncols"))
         .withColumn("nblocks", ceil_div(F.col("ncols"), block))
     )
-    return running_start(per, "rw", "nblocks", "start")
 
 
 def gather_list(coo: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -116,9 +135,25 @@ def gather_list(coo: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def condensed_cells(coo: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(rw, blk, off, col, val): entries at their place in condensed blocks; repeats added up."""
-    cells = coo.groupBy("row", "col").agg(F.sum("val").alias("val")).withColumn("rw", div_floor(F.col("row"), block))
-    return cells.join(condensed_positions(coo, block), ["rw", "col"]).select(
+    """(rw, blk, off, col, val): entries at their place in condensed blocks; repeats added up.
+
+    A window's columns are numbered by one sort of its entries. Windows of more
+    than LONG_WINDOW entries are counted first and take their places from
+    condensed_positions, so none is a single task's.
+    """
+    held = coo.dropna(subset=["row", "col"])
+    window = div_floor(F.col("row"), block)
+    cells = held.groupBy("row", "col").agg(F.sum("val").alias("val")).withColumn("rw", window)
+    long = held.groupBy(window.alias("rw")).agg(F.count("*").alias("_n")).filter(F.col("_n") > LONG_WINDOW).select("rw")
+    ranked = lambda part: part.withColumn("pos", F.dense_rank().over(Window.partitionBy("rw").orderBy("col")) - 1)
+    if long.isEmpty():
+        placed = ranked(cells)
+    else:
+        long = F.broadcast(stored(long))
+        of_long = held.withColumn("rw", window).join(long, "rw", "left_semi")
+        by_range = cells.join(long, "rw", "left_semi").join(condensed_positions(of_long, block), ["rw", "col"])
+        placed = ranked(cells.join(long, "rw", "left_anti")).unionByName(by_range)
+    return placed.select(
         "rw",
         div_floor(F.col("pos"), block).alias("blk"),
         ((F.col("row") % block) * block + F.col("pos") % block).cast("int").alias("off"),
@@ -127,9 +162,47 @@ def condensed_cells(coo: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def condensed_blocks(coo: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(rw, blk, cols array<long>, vals array<double>): condensed blocks with their gather lists."""
-    return _dense(condensed_cells(coo, block), ["rw", "blk"], block, True)
+def condensed_blocks(coo: DataFrame, block: int = BLOCK, then: Then | None = None) -> DataFrame:
+    """(rw, blk, cols array<long>, vals array<double>): condensed blocks with their gather lists, or what `then` makes of them."""
+    return gathered_blocks(condensed_cells(coo, block), ["rw", "blk"], block, then)
+
+
+def gathered_blocks(cells: DataFrame, keys: list[str], block: int = BLOCK, then: Then | None = None) -> DataFrame:
+    """keys + cols, vals of condensed cells, which may carry more keys than rw and blk."""
+    return _dense(cells, keys, block, True, then)
+
+
+def _cells_of(batch: pa.RecordBatch, cols: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+    """Keys, off, col and val of each value that is not 0."""
+    at, off = np.nonzero(vals)
+    kept = [c.take(pa.array(at)) for c in batch.columns]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(off), pa.array(cols[at, off % cols.shape[1]]), pa.array(vals[at, off])], [*batch.schema.names, "off", "col", "val"])
+
+
+def _sums_of(batch: pa.RecordBatch, cols: None, vals: np.ndarray) -> pa.RecordBatch:
+    """Keys, how many values a block has, their sum, and their sum weighted by place."""
+    n, size = vals.shape
+    sums = [pa.array(np.full(n, size, np.int32)), pa.array(vals.sum(axis=1)), pa.array((vals * np.arange(size)).sum(axis=1))]
+    return pa.RecordBatch.from_arrays([*batch.columns, *sums], [*batch.schema.names, "cells", "total", "weighted"])
+
+
+#: For condensed_blocks, their stored cells; for bcsr_values, their sums.
+STORED_CELLS: Then = (_cells_of, "rw long, blk long, off long, col long, val double")
+BLOCK_SUMS: Then = (_sums_of, "rw long, bc long, cells int, total double, weighted double")
+
+
+def stored_cells(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of written blocks(..., cols, vals): their other columns, off long, col, the column gathered there, and val, for each value that is not 0."""
+    keys = [c for c in blocks.columns if c not in ("cols", "vals")]
+    kinds = dict(blocks.dtypes)
+
+    def cells(batches):
+        for batch in batches:
+            cols, vals = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("cols", block), ("vals", block * block)))
+            yield _cells_of(batch.select(keys), cols, vals)
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "off long, col long, val double"])
+    return blocks.select(*keys, "cols", "vals").mapInArrow(cells, schema)
 
 
 def fill_rates(coo: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+
+from tessera.operators import layout, spmm
+from tessera.plans import reference_queries
 from tessera.sources import matrix_market
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +51,28 @@ def test_mirrored_entries_come_from_one_reading(spark, tmp_path):
     assert plan(both).count("FileScan text") == plan(one).count("FileScan text") + 1
     half = [tuple(r) for r in a.collect()]
     assert sorted(map(tuple, both.select("row", "col", "val").collect())) == sorted(half + [(c, r, -v) for r, c, v in half if r != c])
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 20, 0])
+def test_condensed_cells_by_one_sort(spark, monkeypatch, limit):
+    a = some_entries(spark).union(some_entries(spark).limit(30)).union(spark.createDataFrame([(None, 1, 1.0), (1, None, 1.0)], COO))
+    monkeypatch.setattr(layout, "LONG_WINDOW", limit)
+    cells = layout.condensed_cells(a)
+    if limit > 400:
+        assert "Join" not in plan(cells)
+    want, windows = {}, {}
+    for r, c, v in a.dropna().collect():
+        want[r, c] = want.get((r, c), 0.0) + v
+        windows.setdefault(r // 16, set()).add(c)
+    place = {w: {c: i for i, c in enumerate(sorted(cs))} for w, cs in windows.items()}
+    assert sorted(map(tuple, cells.collect())) == sorted((r // 16, place[r // 16][c] // 16, r % 16 * 16 + place[r // 16][c] % 16, c, v) for (r, c), v in want.items())
+
+
+def test_digests_are_made_where_blocks_are_filled(spark):
+    for q in (reference_queries.bcsr_values, reference_queries.condensed_blocks):
+        assert "Generate" not in plan(q(spark, SF))
+    a = some_entries(spark)
+    for r in layout.bcsr_values(a).join(layout.bcsr_values(a, then=layout.BLOCK_SUMS), ["rw", "bc"]).collect():
+        assert (r["cells"], r["total"], r["weighted"]) == (len(r["vals"]), sum(r["vals"]), sum(i * v for i, v in enumerate(r["vals"])))
+    blocks = layout.condensed_blocks(a)
+    assert sorted(map(tuple, layout.stored_cells(blocks).collect())) == sorted(map(tuple, layout.condensed_blocks(a, then=layout.STORED_CELLS).collect()))
