@@ -68,6 +68,26 @@ def test_condensed_cells_by_one_sort(spark, monkeypatch, limit):
     assert sorted(map(tuple, cells.collect())) == sorted((r // 16, place[r // 16][c] // 16, r % 16 * 16 + place[r // 16][c] % 16, c, v) for (r, c), v in want.items())
 
 
+@pytest.mark.parametrize(("shared", "chunk", "n"), [(True, 1, 11), (False, 1, 11), (False, 32 << 20, 3)])
+def test_blocked_product_multiplies_blocks_together(spark, monkeypatch, shared, chunk, n):
+    a, b = some_entries(spark), spmm.dense_b_rows(spark, 300, n)
+    monkeypatch.setattr(spmm, "CHUNK_BYTES", chunk)
+    if not shared:
+        monkeypatch.setattr(spmm, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(spmm, "PART_BLOCKS", 2)
+    c = spmm.spmm_blocked(a, b, 300, n)
+    assert plan(c).count("Join") == (not shared)
+    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, spmm.spmm_formula(a, n).collect()))
+
+
+def test_tiled_product_has_partitions_by_size(spark, monkeypatch):
+    a, b = some_entries(spark), spmm.dense_b_rows(spark, 300, 6)
+    monkeypatch.setattr(spmm, "PARTITION_BYTES", 1 << 10, raising=False)
+    c = spmm.spmm_tiled(a, b, 6, tile_bytes=1 << 10)
+    assert c.rdd.getNumPartitions() == -(-a.count() * 6 * 8 // 1024)
+    assert {(r, i): v for r, x in c.collect() for i, v in enumerate(x)} == {(r, i): v for r, i, v in spmm.spmm_formula(a, 6).collect()}
+
+
 def test_digests_are_made_where_blocks_are_filled(spark):
     for q in (reference_queries.bcsr_values, reference_queries.condensed_blocks):
         assert "Generate" not in plan(q(spark, SF))
