@@ -96,3 +96,7 @@ def test_digests_are_made_where_blocks_are_filled(spark):
         assert (r["cells"], r["total"], r["weighted"]) == (len(r["vals"]), sum(r["vals"]), sum(i * v for i, v in enumerate(r["vals"])))
     blocks = layout.condensed_blocks(a)
     assert sorted(map(tuple, layout.stored_cells(blocks).collect())) == sorted(map(tuple, layout.condensed_blocks(a, then=layout.STORED_CELLS).collect()))
+
+
+def test_golden_product_is_made_once(spark):
+    assert "l_partkey" not in plan(reference_queries.verify_mismatches(spark, SF))
