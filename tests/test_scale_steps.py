@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from jobs import matrix_blocks
 from tessera.operators import layout, spmm
 from tessera.plans import reference_queries
 from tessera.sources import matrix_market
@@ -100,3 +101,12 @@ def test_digests_are_made_where_blocks_are_filled(spark):
 
 def test_golden_product_is_made_once(spark):
     assert "l_partkey" not in plan(reference_queries.verify_mismatches(spark, SF))
+
+
+def test_no_filled_block_is_joined(spark, tmp_path, monkeypatch):
+    seen = []
+    write = matrix_blocks._write
+    monkeypatch.setattr(matrix_blocks, "_write", lambda df, *more: (seen.append(plan(df)), write(df, *more)))
+    matrix_blocks.run(spark, f"{SF}/documents.parquet", str(tmp_path / "out"))
+    before_fill = seen[0][: seen[0].index("MapInArrow")]
+    assert "Join" not in before_fill and "Exchange" not in before_fill
