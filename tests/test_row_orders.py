@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions.joins import spread_join
 from tessera.functions.prefix import running_sum_in_order
 from tessera.operators import coo as C
+from tessera.operators import forest as forests
 from tessera.operators.clusters import merged
-from tessera.operators.forest import depth_first, followed, maximum_forest, rooted
+from tessera.operators.forest import depth_first, followed, maximum_forest, rooted, walked
 
 
 def kruskal(edges):
@@ -142,3 +143,28 @@ def test_growing_tables_are_not_broadcast(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_bounded_graphs_need_no_joins_of_pointers(spark, monkeypatch):
+    """A task contracts a range of parts and walks trees of bounded size by itself."""
+    for name in ("followed", "rooted"):
+        monkeypatch.setattr(forests, name, lambda *a: pytest.fail("rounds of joins"))
+    edges = random_edges(7)
+    forest, labels = maximum_forest(frame(spark, edges))
+    want, _ = kruskal(edges)
+    assert sorted(map(tuple, forest.collect())) == sorted(want)
+    assert sorted(map(tuple, walked(forest, labels).collect())) == sorted(plain_walk(want))
+
+
+@pytest.mark.parametrize(("arcs", "hub", "large"), [(10, 3, 3), (16, 1000, 0), (30, 4, 1000)])
+def test_ranges_and_hubs_and_large_trees(spark, monkeypatch, arcs, hub, large):
+    """Ranges of a few arcs, parts with more arcs than a task holds, trees above the size that a task walks."""
+    for name, value in (("LOCAL_ARCS", arcs), ("HUB_ARCS", hub), ("LARGE_TREE", large), ("WALKED_EDGES", 5)):
+        monkeypatch.setattr(forests, name, value)
+    edges = random_edges(arcs) + [(0, i, i / 30) for i in range(1, 25)]
+    forest, labels = maximum_forest(frame(spark, edges))
+    want, parts = kruskal(edges)
+    assert sorted(map(tuple, forest.collect())) == sorted(want)
+    of = {r["node"]: r["part"] for r in labels.collect()}
+    assert set(of) == set(parts) and all((parts[a] == parts[b]) == (of[a] == of[b]) for a in parts for b in parts)
+    assert sorted(map(tuple, walked(forest, labels).collect())) == sorted(plain_walk(want))
