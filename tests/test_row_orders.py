@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.joins import spread_join
 from tessera.functions.prefix import running_sum_in_order
+from tessera.operators import clusters
 from tessera.operators import coo as C
 from tessera.operators import forest as forests
 from tessera.operators.clusters import merged
@@ -131,6 +132,27 @@ def test_rounds_equal_one_walk(spark, seed, cap, later):
     assert got == plain_merge(pairs, cap, later)
 
 
+@pytest.mark.parametrize(("arcs", "hub", "cap"), [(40, 1000, 4), (20, 12, 16), (1000, 5, 8)])
+def test_walks_of_ranges_equal_one_walk(spark, monkeypatch, arcs, hub, cap):
+    """Ranges of a few arcs, and rows with more arcs than a task holds."""
+    monkeypatch.setattr(clusters, "LOCAL_ARCS", arcs)
+    monkeypatch.setattr(clusters, "HUB_ARCS", hub)
+    rng = random.Random(arcs)
+    seen = {tuple(sorted(rng.sample(range(50), 2))) for _ in range(150)} | {(0, i) for i in range(1, 50)}
+    df = spark.createDataFrame([(i, j, rng.randrange(2, 9) / 10) for i, j in seen], "i long, j long, sim double").repartition(3)
+    pairs = [tuple(r) for r in df.selectExpr("i", "j", "sim", "xxhash64(i, j)").collect()]
+    assert {r["row"]: r["lead"] for r in merged(df, cap, True).collect()} == plain_merge(pairs, cap, True)
+
+
+def test_bounded_pairs_need_no_rounds(spark, monkeypatch):
+    """One task walks all pairs of a bounded range: a chain of rising similarity takes no round for each link."""
+    monkeypatch.setattr(clusters, "spread_join", lambda *a: pytest.fail("rounds of joins"))
+    chain = [(i, i + 1, (i + 1) / 100) for i in range(90)]
+    df = spark.createDataFrame(chain, "i long, j long, sim double")
+    pairs = [tuple(r) for r in df.selectExpr("i", "j", "sim", "xxhash64(i, j)").collect()]
+    assert {r["row"]: r["lead"] for r in merged(df, 16, True).collect()} == plain_merge(pairs, 16, True)
+
+
 def test_no_pairs(spark):
     assert merged(spark.createDataFrame([], "i long, j long, sim double"), 16, True).count() == 0
 
