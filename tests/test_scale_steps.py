@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from jobs import matrix_blocks
@@ -110,3 +111,11 @@ def test_no_filled_block_is_joined(spark, tmp_path, monkeypatch):
     matrix_blocks.run(spark, f"{SF}/documents.parquet", str(tmp_path / "out"))
     before_fill = seen[0][: seen[0].index("MapInArrow")]
     assert "Join" not in before_fill and "Exchange" not in before_fill
+
+
+def test_tiled_vectors_travel_as_bytes(spark):
+    a, b = some_entries(spark), spmm.dense_b_rows(spark, 300, 6)
+    assert "packed" in plan(spmm.spmm_tiled(a, b, 6, tile_bytes=1 << 10))
+    sums = np.arange(12.0).reshape(3, 4)
+    whole = spmm._packed([5, 6, 7], sums).column("packed")
+    assert (spmm._unpacked(whole, 4) == sums).all() and (spmm._unpacked(whole.slice(1), 4) == sums[1:]).all()
