@@ -2,8 +2,8 @@
 
 Operators that are one aggregate, such as the product with the synthetic operand,
 run over a stream as they are. Where a later entry replaces an earlier one at the
-same place, a sum over the stream would be wrong: the newest entries are kept
-here as streaming state and logged by batch.
+same place, a sum over the stream would be wrong: the newest entries of each batch
+are logged here, and the newest of the log count. The stream itself keeps no state.
 """
 
 from collections.abc import Callable
@@ -24,8 +24,8 @@ def newest(entries: DataFrame) -> DataFrame:
     """(row, col, newest): of the entries (row, col, val, seq) at a place that of highest seq, of equal ones the greatest value.
 
     Partial maxima run before the shuffle, so a place that is written very often
-    is no task's burden. As a stream its state has one row for each place.
-    Entries without row, column or seq are left out; a null value counts as least.
+    is no task's burden. Entries without row, column or seq are left out; a null
+    value counts as least.
     """
     placed = entries.dropna(subset=["row", "col", "seq"])
     return placed.groupBy("row", "col").agg(F.max(F.struct(F.col("seq").cast("long").alias("seq"), F.col("val").cast("double").alias("val"))).alias("newest"))
@@ -35,15 +35,15 @@ def follow(entries: DataFrame, path: str, checkpoint: str) -> None:
     """Takes what the stream holds beyond its checkpoint and logs the places it touched at `path`, a folder for each batch.
 
     A batch that is done twice replaces its own folder, so a run may be broken off and begun again.
+    A place is logged with the newest of the batch's entries, even if the log has a newer one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     # The log is there, if empty, before the first batch.
     entries.sparkSession.createDataFrame([], LOG).write.mode("append").partitionBy("batch").parquet(path)
-    stream = newest(entries).writeStream.outputMode("update").foreachBatch(write)
-    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from jobs import matrix_blocks
 from tessera.operators import layout, spmm
 from tessera.plans import reference_queries
 from tessera.sources import matrix_market
+from tessera.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 COO = "row long, col long, val double"
@@ -119,3 +120,16 @@ def test_tiled_vectors_travel_as_bytes(spark):
     sums = np.arange(12.0).reshape(3, 4)
     whole = spmm._packed([5, 6, 7], sums).column("packed")
     assert (spmm._unpacked(whole, 4) == sums).all() and (spmm._unpacked(whole.slice(1), 4) == sums[1:]).all()
+
+
+def test_followed_matrix_keeps_no_state(spark, tmp_path):
+    """The log alone has the newest entries: a stream's state would hold a row for each place in the executors' memory."""
+    path = str(tmp_path)
+    new = lambda rows: spark.createDataFrame(rows, "row long, col long, val double, seq long").write.mode("append").parquet(f"{path}/in")
+    stream = lambda: spark.readStream.schema("row long, col long, val double, seq long").parquet(f"{path}/in")
+    new([(1, 1, 5.0, 9), (1, 2, 3.0, 1), (2, 2, 4.0, 1)])
+    incremental.follow(stream(), f"{path}/log", f"{path}/mark")
+    new([(1, 1, 7.0, 2), (1, 2, 8.0, 2)])
+    incremental.follow(stream(), f"{path}/log", f"{path}/mark")
+    assert sorted(map(tuple, incremental.current(spark, f"{path}/log").collect())) == [(1, 1, 5.0), (1, 2, 8.0), (2, 2, 4.0)]
+    assert not (tmp_path / "mark" / "state").exists()
