@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from jobs import matrix_blocks
-from tessera.operators import layout, spmm
+from tessera.operators import layout, reorder, spmm
 from tessera.plans import reference_queries
 from tessera.sources import matrix_market
 from tessera.streaming import incremental
@@ -133,3 +133,20 @@ def test_followed_matrix_keeps_no_state(spark, tmp_path):
     incremental.follow(stream(), f"{path}/log", f"{path}/mark")
     assert sorted(map(tuple, incremental.current(spark, f"{path}/log").collect())) == [(1, 1, 5.0), (1, 2, 8.0), (2, 2, 4.0)]
     assert not (tmp_path / "mark" / "state").exists()
+
+
+def test_recall_counts_stand_one_by_one(spark):
+    """No threshold's search waits in the plan of the result, with its shuffles beside the others'."""
+    assert "Join" not in plan(reference_queries.lsh_recall(spark, SF))
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8])
+def test_cells_past_a_rows_need_are_not_sent(spark, threshold):
+    a = some_entries(spark, n=500, rows=90, cols=40)
+    a = a.union(a.filter("row % 7 = 0").selectExpr("row + 200", "col", "val"))
+    rows = {}
+    for r, c, _ in a.collect():
+        rows.setdefault(r, set()).add(c)
+    want = {(i, j) for i in rows for j in rows if i < j and len(rows[i] & rows[j]) / len(rows[i] | rows[j]) >= threshold}
+    sets = reorder.column_sets(a.select("row", "col").distinct())
+    assert want and {tuple(r) for r in reorder.jaccard_pairs(a, threshold, sets=sets).select("i", "j").collect()} == want
