@@ -150,3 +150,13 @@ def test_cells_past_a_rows_need_are_not_sent(spark, threshold):
     want = {(i, j) for i in rows for j in rows if i < j and len(rows[i] & rows[j]) / len(rows[i] | rows[j]) >= threshold}
     sets = reorder.column_sets(a.select("row", "col").distinct())
     assert want and {tuple(r) for r in reorder.jaccard_pairs(a, threshold, sets=sets).select("i", "j").collect()} == want
+
+
+def test_counted_words_are_not_added_up_again(spark, tmp_path, monkeypatch):
+    seen = []
+    write = matrix_blocks._write
+    monkeypatch.setattr(matrix_blocks, "_write", lambda df, *more: (seen.append(plan(df)), write(df, *more)))
+    matrix_blocks.run(spark, f"{SF}/documents.parquet", str(tmp_path / "out"))
+    assert "sum(val" not in seen[0]
+    a = some_entries(spark)
+    assert sorted(map(tuple, layout.condensed_cells(a, unique=True).collect())) == sorted(map(tuple, layout.condensed_cells(a).collect()))
